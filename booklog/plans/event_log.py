@@ -6,7 +6,8 @@ Every expression is row-local, so the log scales with the table and needs no shu
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from booklog.functions import evaluate_once
+from booklog.functions import evaluate_once, partition_key
+from booklog.operators.envelope import build_envelopes, encode_envelopes
 
 SOURCE_FILE = "events"
 TOPIC = "gds.raw.v1"
@@ -62,3 +63,50 @@ def event_lines(events: DataFrame) -> DataFrame:
     """``line_number, raw_line`` with one malformed line of each kind per 101 events."""
     lines = evaluate_once(events, "raw_line", _raw_line())
     return lines.select((F.col("event_id") + 1).alias("line_number"), "raw_line")
+
+
+def event_envelopes(events: DataFrame) -> DataFrame:
+    """Intact envelopes of the log with the broker position of each record."""
+    lines = evaluate_once(events, "raw_line", _raw_line()).select(
+        (F.col("event_id") + 1).alias("line_number"),
+        "raw_line",
+        (F.col("event_id") % 103).alias("slot"),
+        F.lit(TOPIC).alias("topic"),
+        (F.col("event_id") % 3).cast("int").alias("partition"),
+        F.floor(F.col("event_id") / F.lit(3)).alias("offset"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+    )
+    digest = F.sha2(F.lit(SOURCE_FILE), 256)
+    return build_envelopes(lines, F.lit(SOURCE_FILE), digest, F.col("timestamp"))
+
+
+def event_records(events: DataFrame) -> DataFrame:
+    """Broker records of the log with each kind of broken envelope once per 103 events."""
+    slot = F.col("slot")
+    damaged = event_envelopes(events).withColumns(
+        {
+            "schema_version": F.when(slot == 2, 2).otherwise(F.col("schema_version")),
+            "sent_id": F.col("event_id"),
+            "event_id": F.when(slot == 3, "0" * 64).otherwise(F.col("event_id")),
+        }
+    )
+    encoded = encode_envelopes(damaged)
+    own_key = F.when(slot == 3, partition_key(_json_group(), F.col("sent_id"))).otherwise(
+        F.col("key").cast("string")
+    )
+    key = F.when(slot == 4, "WRONG").otherwise(own_key)
+    value = F.when(slot == 0, "not-json").when(slot == 1, "{}").otherwise(
+        F.col("value").cast("string")
+    )
+    return encoded.select(
+        key.cast("binary").alias("key"),
+        value.cast("binary").alias("value"),
+        "topic",
+        "partition",
+        "offset",
+        "timestamp",
+    )
+
+
+def _json_group() -> Column:
+    return F.get_json_object(F.col("value").cast("string"), "$.group_id")

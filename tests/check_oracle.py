@@ -24,7 +24,7 @@ def main(sf_dir: str, *prefixes: str) -> int:
             df = build(spark, sf_dir)
             if name in oracles:
                 problem = differences(df, connection, oracles[name])
-                verdict = "ok" if problem is None else f"DIFFERS {problem}"
+                verdict = "ok" if problem is None else f"DIFFERS {problem[:1500]}"
             else:
                 problem, verdict = None, f"rows only ({df.count()})"
         except Exception as error:  # report every query before failing

@@ -38,7 +38,7 @@ def differences(df, connection, sql: str) -> str | None:
     if actual_names != expected_names:
         return f"columns {actual_names} != {expected_names}"
     if actual != expected:
-        extra = list((actual - expected).items())[:3]
-        missing = list((expected - actual).items())[:3]
+        extra = list((actual - expected).items())[:2]
+        missing = list((expected - actual).items())[:2]
         return f"{actual.total()} vs {expected.total()} rows; extra={extra}; missing={missing}"
     return None
