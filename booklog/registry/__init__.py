@@ -1,3 +1,4 @@
+from . import pipelines  # noqa: F401  registers its queries
 from .oracle import oracle_sql
 from .queries import queries
 

@@ -458,6 +458,81 @@ def _snapshot_queries() -> dict[str, str]:
     }
 
 
+_SIZES = """SELECT 'raw_events' AS dataset, COUNT(*) AS records FROM trusted
+  UNION ALL SELECT 'clean_events', COUNT(*) FROM accepted WHERE record_reason IS NULL
+  UNION ALL SELECT 'dead_letter', COUNT(*) FROM dead
+  UNION ALL SELECT 'hourly_airline_deltas', COUNT(*) FROM event_cube"""
+_DEAD_AND_CUBE = f"""{_DEAD},{_tokens('accepted_tokens', 'accepted')},
+  {_cube('event_cube', 'accepted_tokens', 'event_id')}"""
+
+
+def _pipeline_queries() -> dict[str, str]:
+    cube = f"{_ANY_DIM}, successful_response_records, success_token_count"
+    inspected = _audit_queries()["agg_pipeline_inspect"]
+    digest = _snapshot_queries()["sort_canonical"]
+    manifest = f"""SELECT (SELECT metrics_sha256 FROM digest) AS metrics_sha256,
+        'v1' AS output_version, COUNT(*) AS row_count, 1 AS schema_version,
+        'events-root' AS source_hdfs_root,
+        CAST(SUM(successful_booking_tokens) AS BIGINT) AS success_token_count,
+        CAST(SUM(successful_response_records) AS BIGINT) AS successful_response_records"""
+    digest_cte = f"digest AS ({digest})"
+    return {
+        "src_log_lines": f"WITH {_LINES} SELECT line_number, raw_line FROM lines",
+        "src_parquet_batches": f"""WITH {_ENVELOPES} SELECT {_RAW.replace(', kafka_timestamp', '')},
+            CAST(0 AS BIGINT) AS batch_id FROM trusted""",
+        "src_snapshot_csv": f"""WITH {_SNAPSHOT} SELECT 1 + row_number() OVER (
+            ORDER BY stat_date, stat_hour, airline_code) AS line_number, *,
+            NULL::VARCHAR AS violation FROM snapshot""",
+        "src_manifest": f"""WITH {_SNAPSHOT}, {digest_cte} {manifest},
+            NULL::VARCHAR AS violation FROM snapshot""",
+        "src_kafka_stream": f"""WITH {_ENVELOPES} SELECT "partition", "offset" FROM broker""",
+        "sink_envelope_kafka": f"""WITH {_LINES}, own AS (SELECT *,
+              nullif(trim(split_part(raw_line, ',', 1)), '') AS g, sha256('1' || chr(10) ||
+              repeat('e', 64) || chr(10) || line_number || chr(10) || raw_line) AS id FROM lines)
+            SELECT coalesce(g, id) AS "key", '{{"event_id":"' || id || '","group_id":' ||
+            coalesce('"' || g || '"', 'null') || ',"produced_at":"","raw_line":"' || raw_line ||
+            '","schema_version":1,"source_file":"events","source_file_sha256":"' ||
+            repeat('e', 64) || '","source_line_number":' || line_number || '}}' AS "value"
+            FROM own""",
+        "sink_batch_outputs": f"""WITH {_DEAD} SELECT failure_stage, failure_reason,
+            COUNT(*) AS records FROM dead GROUP BY ALL""",
+        "sink_replace_batch": f"""WITH {_ENVELOPES} SELECT 'dead_letter' AS dataset,
+              COUNT(*) AS records FROM broker WHERE value_text = 'not-json'
+            UNION ALL SELECT unnest(['raw_events', 'clean_events', 'hourly_airline_deltas']), 0""",
+        "sink_commit_marker": f"""WITH {_DEAD} SELECT CAST(0 AS BIGINT) AS batch_id,
+            (SELECT COUNT(*) FROM judged) AS input_count,
+            (SELECT COUNT(*) FROM trusted) AS envelope_valid_count,
+            (SELECT COUNT(*) FROM accepted WHERE record_reason IS NULL) AS business_valid_count,
+            (SELECT COUNT(*) FROM dead) AS dead_letter_count""",
+        "sink_publish_metrics": f"WITH {_EVENT_CUBE} SELECT {cube} FROM event_cube",
+        "sink_snapshot_csv": f"WITH {_SNAPSHOT}, {digest_cte} {manifest} FROM snapshot",
+        "sink_publication": f"""WITH {_SNAPSHOT}, {digest_cte}, totals AS (
+              SELECT COUNT(*) AS source_row_count, {_SUMS} FROM cube)
+            SELECT 'events-root' AS source_hdfs_root, totals.*,
+              (SELECT metrics_sha256 FROM digest) AS metrics_sha256, 'published' AS status,
+              served FROM totals, (VALUES (true), (false)) AS v(served)""",
+        "sink_profile": f"""SELECT * EXCLUDE (earliest_date, latest_date, observed_hours,
+            airline_codes) FROM ({_profile_queries()["agg_profile_totals"]})""",
+        "str_start_query": inspected,
+        "str_trigger_available_now": f"WITH {_EVENT_CUBE} SELECT {cube} FROM event_cube",
+        "str_trigger_processing_time": inspected,
+        "str_resume": f"""WITH {_ENVELOPES} SELECT CASE WHEN "offset" % 5 < 2 THEN 0 ELSE 1
+            END::BIGINT AS batch_id, COUNT(*) AS input_count FROM broker GROUP BY ALL""",
+        "str_persist_batch": f"WITH {_DEAD_AND_CUBE} {_SIZES}",
+        "str_progress": f"""WITH {_DEAD} SELECT (SELECT COUNT(*) FROM judged) AS input_count,
+            COUNT(*) AS dead_letter_count FROM dead""",
+        "agg_validate_outputs": f"""WITH {_QUALITY},{_tokens('accepted_tokens', 'accepted')},
+            {_cube('event_cube', 'accepted_tokens', 'event_id')}
+            SELECT (SELECT COUNT(*) FROM trusted) AS raw,
+            (SELECT COUNT(*) FROM accepted WHERE record_reason IS NULL) AS clean,
+            (SELECT COUNT(*) FROM dead) AS dead, (SELECT COUNT(*) FROM quality) AS quality_rows,
+            (SELECT COUNT(*) FROM event_cube) AS final_metric_rows, true AS valid""",
+        "str_refresh_cycle": f"""WITH {_EVENT_CUBE} SELECT event_date AS stat_date,
+            event_hour AS stat_hour, airline_code, successful_response_records,
+            success_token_count AS successful_booking_tokens FROM event_cube""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         **_records_queries(),
@@ -467,4 +542,5 @@ def oracle_sql() -> dict[str, str]:
         **_audit_queries(),
         **_profile_queries(),
         **_snapshot_queries(),
+        **_pipeline_queries(),
     }
