@@ -1,11 +1,11 @@
 from .identity import event_id, group_id_of, partition_key
-from .text import ascii_or_full_strip, evaluate_once, is_blank
+from .text import evaluate_once, split_stripped, strip
 
 __all__ = [
-    "ascii_or_full_strip",
     "evaluate_once",
     "event_id",
     "group_id_of",
-    "is_blank",
     "partition_key",
+    "split_stripped",
+    "strip",
 ]

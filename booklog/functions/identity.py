@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from booklog.functions.text import ascii_or_full_strip
+from booklog.functions.text import strip
 from booklog.schema import SCHEMA_VERSION
 
 
@@ -17,7 +17,7 @@ def event_id(source_sha256: Column, line_number: Column, raw_line: Column) -> Co
 
 def group_id_of(raw_line: Column) -> Column:
     """Text before the first comma, stripped; null when empty."""
-    return F.nullif(ascii_or_full_strip(F.substring_index(raw_line, ",", 1)), F.lit(""))
+    return F.nullif(strip(F.substring_index(raw_line, ",", 1)), F.lit(""))
 
 
 def partition_key(group_id: Column, own_id: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from booklog.functions import ascii_or_full_strip, evaluate_once, is_blank
+from booklog.functions import evaluate_once, split_stripped
 from booklog.schema import (
     LOG_TYPES,
     RECORD_STAGE,
@@ -30,14 +30,14 @@ def parse_date(text: Column) -> Column:
 
 def split_fields(lines: DataFrame) -> DataFrame:
     """Split on every comma, keeping empty fields; add the five leading fields and the count."""
-    fields = evaluate_once(lines, "fields", F.split("raw_line", ",", -1))
+    fields = evaluate_once(lines, "fields", split_stripped(F.col("raw_line"), -1))
     return fields.select(
         *lines.columns, *_leading_fields(), F.size("fields").alias("field_count")
     )
 
 
 def _field(position: int) -> Column:
-    return ascii_or_full_strip(F.try_element_at("fields", F.lit(position)))
+    return F.trim(F.try_element_at("fields", F.lit(position)))
 
 
 def _leading_fields() -> list[Column]:
@@ -48,8 +48,9 @@ def _leading_fields() -> list[Column]:
 def record_reason() -> Column:
     """First business rule that a split record breaks, null when it breaks none."""
     hour = F.col("event_hour")
+    is_blank = (F.col("field_count") == 1) & (F.col("field_group_id") == "")
     return (
-        F.when(is_blank(F.col("raw_line")), "blank_line")
+        F.when(is_blank, "blank_line")
         .when(F.col("field_count") < LEADING_FIELDS, "too_few_fields")
         .when(F.col("field_group_id") == "", "missing_group_id")
         .when(F.col("log_type") == "", "missing_log_type")
@@ -65,7 +66,9 @@ def classify_records(lines: DataFrame) -> DataFrame:
     Only the first five fields matter, so the payload is never split: the limit leaves it
     in one piece. ``field_count`` is exact up to that limit.
     """
-    split = evaluate_once(lines, "fields", F.split("raw_line", ",", LEADING_FIELDS + 1))
+    split = evaluate_once(
+        lines, "fields", split_stripped(F.col("raw_line"), LEADING_FIELDS + 1)
+    )
     fields = split.select(
         *lines.columns, *_leading_fields(), F.size("fields").alias("field_count")
     )

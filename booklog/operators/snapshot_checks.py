@@ -53,7 +53,8 @@ def order_violations(numbered: DataFrame) -> DataFrame:
     key = F.struct(*KEY)
     current = numbered.select("line_number", key.alias("key"))
     previous = numbered.select((F.col("line_number") + 1).alias("line_number"), key.alias("before"))
-    return current.join(previous, "line_number").filter("before >= key").select("line_number", "key.*")
+    joined = current.join(previous, "line_number").filter("before >= key")
+    return joined.select("line_number", "key.*", F.expr("before = key").alias("repeated"))
 
 
 def snapshot_totals(snapshot: DataFrame) -> DataFrame:

@@ -11,8 +11,6 @@ from booklog.operators.metrics import hourly_deltas
 from booklog.schema import BATCH_COMMIT, QUALITY_METRIC
 from booklog.sources import storage
 
-ROWS_PER_FILE = 1_000_000
-
 
 @dataclass(frozen=True)
 class BatchSummary:
@@ -41,7 +39,9 @@ def write_batch(records: DataFrame, batch_id: int, paths: DatasetPaths) -> Batch
         quality = split.quality_metrics(classified, batch_id).collect()
         summary = _summary(batch_id, quality)
         clean = split.clean_events(classified)
-        dead = _few_files(split.dead_letters(classified), summary.dead_letter_count)
+        # Usually few rows spread over every partition: the rebalance shuffles just them
+        # into files of the advisory size.
+        dead = split.dead_letters(classified).hint("rebalance")
         quality_rows = spark.createDataFrame(quality, QUALITY_METRIC).coalesce(1)
         replace_batch(split.raw_events(classified), paths.raw_events, batch_id)
         replace_batch(clean, paths.clean_events, batch_id)
@@ -72,11 +72,6 @@ def _directory(dataset: str, batch_id: int) -> str:
     return f"{dataset}/batch_id={batch_id}"
 
 
-def _few_files(frame: DataFrame, rows: int) -> DataFrame:
-    """Merge read partitions when the known row count needs only a few files."""
-    return frame.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
-
-
 def _summary(batch_id: int, quality: list) -> BatchSummary:
     def total(name: str) -> int:
         return sum(row.metric_value for row in quality if row.metric_name == name)

@@ -14,7 +14,6 @@ from booklog.sources import storage
 from booklog.sources.serving import (
     ServingPaths,
     find_publication,
-    is_served,
     publication_log,
     served_digest,
     serving_table,
@@ -55,10 +54,11 @@ def publish(
             snapshot.source_hdfs_root,
             snapshot.output_version,
             snapshot.metrics_sha256,
-        )
-        current = is_served(serving_table(spark, paths), same).first()
-        if current is not None:
-            return _result(snapshot, current.publication_id, "unchanged")
+        ).first()
+        if same is not None:
+            served = F.col("publication_id") == same.publication_id
+            if not serving_table(spark, paths).filter(served).isEmpty():
+                return _result(snapshot, same.publication_id, "unchanged")
 
     publication_id, started = str(uuid4()), _now()
     folder = paths.snapshot(publication_id)

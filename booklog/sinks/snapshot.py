@@ -1,19 +1,11 @@
 """Canonical CSV snapshot of the cube with a digest-stamped manifest."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from booklog.operators.snapshot_checks import (
-    KEY,
-    checked_rows,
-    duplicate_keys,
-    snapshot_totals,
-    to_snapshot,
-)
-from booklog.schema import SCHEMA_VERSION, SNAPSHOT_COLUMNS, SNAPSHOT_MANIFEST
+from booklog.operators.snapshot_checks import KEY, to_snapshot
+from booklog.schema import SCHEMA_VERSION, SNAPSHOT_MANIFEST
 from booklog.sources import storage
-from booklog.sources.lines import file_identity
-from booklog.sources.snapshot import Snapshot, SnapshotError, load_snapshot
+from booklog.sources.snapshot import TOTALS, Snapshot, check_metrics_file, snapshot_rows
 
 METRICS_FILE, MANIFEST_FILE = "metrics.csv", "manifest.json"
 
@@ -29,44 +21,35 @@ def export_snapshot(
 
     The interchange format is one sorted file, so one task writes it: it sorts with spill
     to disk and streams, holding nothing whole in memory. The cube has at most 24 hours x
-    the airline codes per day. Totals are computed before, in parallel, and the digest is
-    taken from the written file. A failure leaves the previous snapshot in place.
+    the airline codes per day. Rows, totals and digest are checked on the written file. A
+    failure leaves the previous snapshot in place.
     """
     if not source_root.strip() or not output_version.strip():
         raise ValueError("source_root and output_version must not be blank")
-    rows = to_snapshot(cube)
-    _require_valid(rows)
     staged = storage.staging_path(destination)
     try:
-        ordered = rows.repartition(1).sortWithinPartitions(*KEY)
+        ordered = to_snapshot(cube).repartition(1).sortWithinPartitions(*KEY)
         ordered.write.csv(f"{staged}/csv", header=True, lineSep="\n")
         _promote(spark, f"{staged}/csv", f"{staged}/{METRICS_FILE}")
-        digest = file_identity(spark, f"{staged}/{METRICS_FILE}").first().sha256
-        manifest = snapshot_totals(rows).select(
-            F.lit(digest).alias("metrics_sha256"),
-            F.lit(output_version).alias("output_version"),
-            "row_count",
-            F.lit(SCHEMA_VERSION).alias("schema_version"),
-            F.lit(source_root.rstrip("/")).alias("source_hdfs_root"),
-            "success_token_count",
-            "successful_response_records",
-        )
-        manifest.select(*SNAPSHOT_MANIFEST.fieldNames()).coalesce(1).write.json(f"{staged}/json")
+        checked = check_metrics_file(spark, f"{staged}/{METRICS_FILE}")
+        manifest = {
+            **checked.asDict(),
+            "output_version": output_version,
+            "schema_version": SCHEMA_VERSION,
+            "source_hdfs_root": source_root.rstrip("/"),
+        }
+        row = spark.createDataFrame([manifest], SNAPSHOT_MANIFEST).coalesce(1)
+        row.write.json(f"{staged}/json")
         _promote(spark, f"{staged}/json", f"{staged}/{MANIFEST_FILE}")
-        load_snapshot(spark, f"{staged}/{METRICS_FILE}", f"{staged}/{MANIFEST_FILE}")
         storage.swap(spark, staged, destination)
     finally:
         storage.delete(spark, staged)
-    return load_snapshot(spark, f"{destination}/{METRICS_FILE}", f"{destination}/{MANIFEST_FILE}")
-
-
-def _require_valid(rows: DataFrame) -> None:
-    broken = checked_rows(rows).filter("violation IS NOT NULL").first()
-    if broken is not None:
-        raise SnapshotError(f"{broken.violation}: {[broken[name] for name in SNAPSHOT_COLUMNS]}")
-    repeated = duplicate_keys(rows).first()
-    if repeated is not None:
-        raise SnapshotError(f"duplicate business key: {tuple(repeated)[:3]}")
+    return Snapshot(
+        snapshot_rows(spark, f"{destination}/{METRICS_FILE}"),
+        manifest["source_hdfs_root"],
+        output_version,
+        *[checked[name] for name in (*TOTALS, "metrics_sha256")],
+    )
 
 
 def _promote(spark: SparkSession, folder: str, file: str) -> None:

@@ -21,15 +21,22 @@ class InvalidEncodingError(ValueError):
     """The source is not UTF-8."""
 
 
-def log_lines(spark: SparkSession, path: str, number_across_files: bool = False) -> DataFrame:
+def log_lines(
+    spark: SparkSession,
+    path: str,
+    number_across_files: bool = False,
+    line_separator: str | None = None,
+) -> DataFrame:
     """``source_file, line_number, raw_line`` of every physical line, numbered from 1.
 
+    Lines end with LF, CR LF or CR unless a separator is given.
+
     The text is never shuffled or sorted. A row's id counts up inside its read task, so its
     line number is that id plus an offset of its file split, and the offsets come from one
     count per split. ``number_across_files`` numbers the parts of a directory, in name
     order, as one file.
     """
-    rows = spark.read.text(path).select(
+    rows = spark.read.text(path, lineSep=line_separator).select(
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row_id"),
@@ -65,10 +72,10 @@ def splits_of(spark: SparkSession, path: str) -> int:
         )
 
     opening = setting("spark.sql.files.openCostInBytes")
-    size = files.agg(F.coalesce(F.sum(F.col("length") + opening), F.lit(0))).first()[0]
-    per_core = size // max(spark.sparkContext.defaultParallelism, 1)
+    count, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    per_core = (size + count * opening) // max(spark.sparkContext.defaultParallelism, 1)
     widest = min(setting("spark.sql.files.maxPartitionBytes"), max(opening, per_core))
-    return files.agg(F.coalesce(F.sum(F.ceil(F.col("length") / widest)), F.lit(0))).first()[0]
+    return count + size // widest
 
 
 def require_utf8(spark: SparkSession, path: str) -> None:

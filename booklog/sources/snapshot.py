@@ -4,12 +4,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
-from booklog.operators.audit import one_row
 from booklog.operators.snapshot_checks import (
-    canonical_digest,
     canonical_line,
-    duplicate_keys,
     order_violations,
     row_violation,
     snapshot_totals,
@@ -48,15 +47,10 @@ class Snapshot:
     metrics_sha256: str
 
 
-def snapshot_lines(spark: SparkSession, csv_path: str) -> DataFrame:
-    """Typed rows with line number and first violation; line 1 is the header.
-
-    A carriage return would have split a line in two, so what it leaves behind shows up as
-    a wrong column count or, in the end, as a digest that differs from the canonical one.
-    """
-    lines = log_lines(spark, csv_path).filter("line_number > 1")
-    values = F.split("raw_line", ",", -1)
-    fields = lines.select("line_number", "raw_line", values.alias("v"))
+def _numbered_lines(spark: SparkSession, csv_path: str) -> DataFrame:
+    """Typed lines with their first violation; only LF ends a line, so a CR stays visible."""
+    lines = log_lines(spark, csv_path, line_separator="\n")
+    fields = lines.select("line_number", "raw_line", F.split("raw_line", ",", -1).alias("v"))
     integer = {"stat_hour": "int", SNAPSHOT_COLUMNS[3]: "bigint", SNAPSHOT_COLUMNS[4]: "bigint"}
     typed = fields.select(
         "line_number",
@@ -72,7 +66,26 @@ def snapshot_lines(spark: SparkSession, csv_path: str) -> DataFrame:
         .when(row_violation().isNotNull(), row_violation())
         .when(canonical_line() != F.col("raw_line"), "not_canonical")
     )
-    return typed.select("line_number", *SNAPSHOT_COLUMNS, violation.alias("violation"))
+    return typed.select("line_number", "raw_line", *SNAPSHOT_COLUMNS, violation.alias("violation"))
+
+
+def snapshot_lines(spark: SparkSession, csv_path: str) -> DataFrame:
+    """Typed rows with line number and first violation; line 1 is the header."""
+    return _numbered_lines(spark, csv_path).filter("line_number > 1").drop("raw_line")
+
+
+def snapshot_rows(spark: SparkSession, csv_path: str) -> DataFrame:
+    """The rows of a snapshot file that is known to be valid."""
+    schema = T.StructType(
+        [
+            T.StructField(name, T.StringType() if name in ("stat_date", "airline_code") else kind)
+            for name, kind in zip(
+                SNAPSHOT_COLUMNS,
+                (None, T.IntegerType(), None, T.LongType(), T.LongType()),
+            )
+        ]
+    )
+    return spark.read.schema(schema).csv(csv_path, header=True, enforceSchema=False)
 
 
 def read_manifest(spark: SparkSession, path: str) -> Row:
@@ -101,6 +114,43 @@ def manifest_violation(df: DataFrame) -> DataFrame:
     )
 
 
+def check_metrics_file(spark: SparkSession, csv_path: str) -> Row:
+    """Totals and digest of a canonical metrics file; raises ``SnapshotError`` for others.
+
+    The bytes are canonical when the header and every line are, keys strictly ascend (so
+    none repeats), and the lines with one LF each add up to the file size. None of this
+    needs the file in one place; only its digest is read sequentially.
+    """
+    lines = _numbered_lines(spark, csv_path).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        is_row, broken = F.col("line_number") > 1, F.col("violation").isNotNull()
+        found = lines.agg(
+            F.max(F.when(~is_row, F.col("raw_line"))).alias("header"),
+            F.min(F.when(is_row & broken, F.struct("line_number", "violation"))).alias("broken"),
+            F.sum(F.octet_length("raw_line") + 1).alias("bytes"),
+        ).first()
+        if found.header is None:
+            raise SnapshotError("snapshot is missing its header")
+        if found.header != HEADER:
+            raise SnapshotError(f"unexpected snapshot header: {found.header!r}")
+        if found.broken is not None:
+            raise SnapshotError(f"line {found.broken.line_number}: {found.broken.violation}")
+        rows = lines.filter("line_number > 1")
+        unordered = order_violations(rows).orderBy("line_number").first()
+        if unordered is not None:
+            kind = "duplicate business key" if unordered.repeated else "not in canonical order"
+            raise SnapshotError(f"line {unordered.line_number}: {kind}")
+        totals = snapshot_totals(rows).first()
+        if totals.row_count == 0:
+            raise SnapshotError("snapshot must contain at least one row")
+        file = file_identity(spark, csv_path).first()
+        if file.byte_size != found.bytes:
+            raise SnapshotError("snapshot bytes are not canonical")
+        return Row(**totals.asDict(), metrics_sha256=file.sha256)
+    finally:
+        lines.unpersist()
+
+
 def load_snapshot(
     spark: SparkSession,
     csv_path: str,
@@ -108,31 +158,7 @@ def load_snapshot(
     expectations: Expectations | None = None,
 ) -> Snapshot:
     """Read and independently validate a snapshot; raises ``SnapshotError``."""
-    header = log_lines(spark, csv_path).filter("line_number = 1").select("raw_line").first()
-    if header is None:
-        raise SnapshotError("snapshot is missing its header")
-    if header.raw_line != HEADER:
-        raise SnapshotError(f"unexpected snapshot header: {header.raw_line!r}")
-
-    lines = snapshot_lines(spark, csv_path)
-    broken = lines.filter("violation IS NOT NULL").orderBy("line_number").first()
-    if broken is not None:
-        raise SnapshotError(f"line {broken.line_number}: {broken.violation}")
-    rows = lines.select(*SNAPSHOT_COLUMNS)
-    repeated = duplicate_keys(rows).first()
-    if repeated is not None:
-        raise SnapshotError(f"duplicate business key in snapshot: {tuple(repeated)[:3]}")
-    unordered = order_violations(lines).orderBy("line_number").first()
-    if unordered is not None:
-        raise SnapshotError(f"line {unordered.line_number}: not in canonical order")
-
-    actual = one_row(snapshot_totals(rows), canonical_digest(rows)).first()
-    if actual.row_count == 0:
-        raise SnapshotError("snapshot must contain at least one row")
-    file_digest = file_identity(spark, csv_path).first().sha256
-    if file_digest != actual.metrics_sha256:
-        raise SnapshotError("snapshot bytes are not canonical")
-
+    actual = check_metrics_file(spark, csv_path)
     manifest = manifest_violation(
         spark.createDataFrame([read_manifest(spark, manifest_path)], SNAPSHOT_MANIFEST)
     ).first()
@@ -144,7 +170,7 @@ def load_snapshot(
             if value is not None and value != actual[name]:
                 raise SnapshotError(f"{source} mismatch in {name}: {value!r} != {actual[name]!r}")
     return Snapshot(
-        rows,
+        snapshot_rows(spark, csv_path),
         manifest.source_hdfs_root,
         manifest.output_version,
         *[actual[name] for name in (*TOTALS, "metrics_sha256")],
