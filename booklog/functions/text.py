@@ -3,45 +3,32 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The code points, other than the plain space, that count as white space
-# around a field.
-OTHER_WHITE_SPACE = "".join(
-    map(
-        chr,
-        [
-            *range(0x09, 0x0E),
-            *range(0x1C, 0x20),
-            0x85,
-            0xA0,
-            0x1680,
-            *range(0x2000, 0x200B),
-            0x2028,
-            0x2029,
-            0x202F,
-            0x205F,
-            0x3000,
-        ],
-    )
+# The code points that count as white space around a field, as a character
+# class of a regular expression.
+WHITE_SPACE = (
+    r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 )
-WHITE_SPACE = " " + OTHER_WHITE_SPACE
+# Any other character than printable ASCII; a single range keeps the search fast.
+UNUSUAL = "[^ -~]"
 
 
-def strip(column: Column) -> Column:
+def strip(text: Column) -> Column:
     """Text without Unicode white space at either end."""
-    return F.trim(column, F.lit(WHITE_SPACE))
+    edges = F.lit(f"^{WHITE_SPACE}+|{WHITE_SPACE}+$")
+    return F.when(text.rlike(UNUSUAL), F.regexp_replace(text, edges, F.lit(""))).otherwise(
+        F.trim(text)
+    )
 
 
 def split_stripped(line: Column, limit: int) -> Column:
     """Comma-separated fields that need no more than a plain trim.
 
-    Stripping each field of a set of characters costs more than all other parsing, and
-    hardly any line contains such a character. One search per line finds those that do;
-    only they are cleaned around their commas and ends before the split.
+    Stripping each field of a set of characters would cost more than all other parsing. One
+    search per line finds the lines that could need it; only they are cleaned around their
+    commas and ends before the split.
     """
-    edge = f"[{WHITE_SPACE}]+(?=,|$)|(?<=^|,)[{WHITE_SPACE}]+"
-    clean = F.when(
-        line.rlike(f"[{OTHER_WHITE_SPACE}]"), F.regexp_replace(line, F.lit(edge), F.lit(""))
-    ).otherwise(line)
+    edges = F.lit(f"{WHITE_SPACE}+(?=,|$)|(?<=^|,){WHITE_SPACE}+")
+    clean = F.when(line.rlike(UNUSUAL), F.regexp_replace(line, edges, F.lit(""))).otherwise(line)
     return F.split(clean, ",", limit)
 
 

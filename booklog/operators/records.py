@@ -22,9 +22,9 @@ def parse_hour(text: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """Calendar date of exactly eight digits, else null."""
+    """Calendar date of exactly eight digits from year 1 on, else null."""
     return F.when(
-        text.rlike("^[0-9]{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date")
+        text.rlike("^(?!0000)[0-9]{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date")
     )
 
 
