@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from booklog.config import PipelineSettings
+from booklog.operators.audit import broker_locations
 from booklog.operators.snapshot_checks import to_snapshot
 from booklog.plans.cycle import inspect_outputs, output_counts, refresh
 from booklog.registry.queries import broker_records, log_cube, log_lines, query
@@ -293,6 +294,17 @@ def _(spark, sf_dir):
     )
 
 
+@query("agg_pipeline_inspect")
+def _(spark, sf_dir):
+    return inspect_outputs(spark, ingested(spark, sf_dir).paths)
+
+
+@query("set_kafka_locations")
+def _(spark, sf_dir):
+    paths = ingested(spark, sf_dir).paths
+    return broker_locations(batches.raw_events(spark, paths), batches.dead_letters(spark, paths))
+
+
 @query("agg_validate_outputs")
 def _(spark, sf_dir):
     return output_counts(spark, ingested(spark, sf_dir).paths)

@@ -292,11 +292,6 @@ def _(spark, sf_dir):
     return _micros(classified.dead_letters(classified_records(spark, sf_dir)))
 
 
-@query("set_kafka_locations")
-def _(spark, sf_dir):
-    rows = classified_records(spark, sf_dir)
-    return audit.broker_locations(classified.raw_events(rows), classified.dead_letters(rows))
-
 
 # --- audits ----------------------------------------------------------------------------
 
@@ -311,17 +306,6 @@ def _(spark, sf_dir):
     return audit.partition_counts(broker_records(spark, sf_dir))
 
 
-@query("agg_pipeline_inspect")
-def pipeline_inspect(spark, sf_dir):
-    rows = classified_records(spark, sf_dir)
-    return audit.pipeline_summary(
-        classified.raw_events(rows),
-        classified.clean_events(rows),
-        classified.dead_letters(rows),
-        classified.quality_metrics(rows, batch_id=7),
-    )
-
-
 @query("join_reconcile")
 def _(spark, sf_dir):
     """The cube behind damaged envelopes against the cube of all lines."""
