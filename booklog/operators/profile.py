@@ -30,6 +30,7 @@ def profile_counts(lines: DataFrame) -> DataFrame:
         F.min(day).alias("first_day"),
         F.max(day).alias("last_day"),
         F.bit_or(hour_bit).alias("hours"),
+        F.count_if(~F.is_valid_utf8("raw_line")).alias("undecodable"),
     )
 
 

@@ -11,7 +11,7 @@ from booklog.operators.metrics import line_metrics
 from booklog.operators.records import clean_records
 from booklog.operators.snapshot_checks import KEY, to_snapshot
 from booklog.sources import storage
-from booklog.sources.lines import log_lines, require_utf8, source_identity
+from booklog.sources.lines import InvalidEncodingError, log_lines, source_identity
 
 ARTIFACTS = (
     "profile.json",
@@ -42,7 +42,6 @@ def write_profile(
     if storage.exists(spark, output) and not overwrite:
         raise FileExistsError(f"output already exists: {output}")
     started = time.perf_counter()
-    require_utf8(spark, source)
     lines = log_lines(spark, source, number_across_files=True)
     # Line numbers are only needed for the rejected records.
     unnumbered = spark.read.text(source).select(F.col("value").alias("raw_line"))
@@ -51,6 +50,10 @@ def write_profile(
     counts = profile.profile_counts(unnumbered).persist()
     copies = profile.line_copies(unnumbered)
     try:
+        # The same pass that counts the lines finds the ones that are not UTF-8.
+        undecodable = counts.agg(F.sum("undecodable")).first()[0]
+        if undecodable:
+            raise InvalidEncodingError(f"{source}: {undecodable} lines are not valid UTF-8")
         to_snapshot(cube).orderBy(*KEY).write.csv(f"{staged}/{ARTIFACTS[1]}", header=True)
         profile.invalid_records(lines, invalid_limit).write.csv(
             f"{staged}/{ARTIFACTS[2]}", header=True
