@@ -27,15 +27,15 @@ class PipelineSettings:
     def __post_init__(self) -> None:
         for name in ("data_root", "checkpoint_root", "bootstrap_servers", "topic"):
             if not getattr(self, name).strip():
-                raise ValueError(f"{name} must not be blank")
+                raise ValueError(f"{name} is blank")
         if self.trigger not in TRIGGERS:
-            raise ValueError(f"trigger must be one of {TRIGGERS}")
+            raise ValueError(f"unknown trigger, use one of {TRIGGERS}")
         if self.starting_offsets not in STARTING_OFFSETS:
-            raise ValueError(f"starting_offsets must be one of {STARTING_OFFSETS}")
+            raise ValueError(f"unknown starting_offsets, use one of {STARTING_OFFSETS}")
         if (self.trigger == "processing-time") != bool(self.processing_interval):
             raise ValueError("processing_interval belongs to the processing-time trigger only")
         if not re.fullmatch(OUTPUT_VERSION, self.output_version):
-            raise ValueError("output_version must look like v1, v2, ...")
+            raise ValueError(f"output_version {self.output_version!r} is not v1, v2, ...")
 
     @property
     def paths(self) -> "DatasetPaths":

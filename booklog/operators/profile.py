@@ -115,7 +115,7 @@ def duplicate_totals(copies: DataFrame) -> DataFrame:
 def invalid_records(lines: DataFrame, limit: int = DEFAULT_INVALID_LIMIT) -> DataFrame:
     """The first invalid lines in line order, as a report; counts never depend on it."""
     if limit < 0:
-        raise ValueError("limit must be nonnegative")
+        raise ValueError("negative limit")
     rejected = parsed_records(lines).filter(F.col("parse_status") == STATUS_INVALID)
     return (
         rejected.select("line_number", "failure_reason", "raw_line")

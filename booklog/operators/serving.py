@@ -38,7 +38,7 @@ def _totals() -> list[Column]:
 
 def _check_limit(limit: int, largest: int) -> None:
     if not 1 <= limit <= largest:
-        raise ValueError(f"limit must be between 1 and {largest}")
+        raise ValueError(f"limit {limit} is outside 1..{largest}")
 
 
 def overview(serving: DataFrame) -> DataFrame:

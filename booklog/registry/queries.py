@@ -322,13 +322,14 @@ def landed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("win_contiguous_prefix")
 def contiguous_prefix(spark, sf_dir):
     """Every seventh line begins a gap-free source of its own."""
-    lines = landed_lines(spark, sf_dir)
     number = F.col("source_line_number")
-    spread = lines.select(
+    own = F.struct("source_file", "source_line_number")
+    spread = F.struct(
         F.concat("source_file", F.lit("-"), number % 7).alias("source_file"),
         F.floor((number + 6) / F.lit(7)).alias("source_line_number"),
     )
-    return audit.confirmed_prefix(lines.unionByName(spread))
+    both = landed_lines(spark, sf_dir).select(F.inline(F.array(own, spread)))
+    return audit.confirmed_prefix(both)
 
 
 @query("win_line_gaps")

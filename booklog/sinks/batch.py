@@ -30,7 +30,7 @@ def write_batch(records: DataFrame, batch_id: int, paths: DatasetPaths) -> Batch
     a half-replaced one.
     """
     if batch_id < 0:
-        raise ValueError("batch_id must not be negative")
+        raise ValueError("negative batch_id")
     spark = records.sparkSession
     storage.delete(spark, _directory(paths.commits, batch_id))
     classified = split.classify_broker_records(records).persist(StorageLevel.MEMORY_AND_DISK)

@@ -35,12 +35,12 @@ def write_profile(
     the cube) is a dataset of its own, in the promised order, written in parallel.
     """
     if invalid_limit < 0:
-        raise ValueError("invalid_limit must be nonnegative")
+        raise ValueError("negative invalid_limit")
     if source.rstrip("/") == output.rstrip("/"):
         raise ValueError("source and output must differ")
     storage.recover(spark, output)
     if storage.exists(spark, output) and not overwrite:
-        raise FileExistsError(f"output already exists: {output}")
+        raise FileExistsError(f"{output} exists; pass overwrite to replace it")
     started = time.perf_counter()
     lines = log_lines(spark, source, number_across_files=True)
     # Line numbers are only needed for the rejected records.

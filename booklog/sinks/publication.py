@@ -82,12 +82,12 @@ def validate_serving(
     actual = serving_totals(serving).first()
     expected = (*_totals(snapshot), 1)
     if tuple(actual) != expected:
-        return False, f"serving mismatch: expected={expected}, actual={tuple(actual)}"
+        return False, f"served totals {tuple(actual)} differ from {expected}"
     recorded = served_digest(serving, publication_log(spark, paths)).first()
     digest = recorded and recorded.metrics_sha256
     if digest != snapshot.metrics_sha256:
-        return False, f"serving hash mismatch: expected={snapshot.metrics_sha256}, actual={digest}"
-    return True, "serving snapshot matches"
+        return False, f"served digest {digest} differs from {snapshot.metrics_sha256}"
+    return True, "the serving table holds this snapshot"
 
 
 def _verify(spark: SparkSession, snapshot: Snapshot, folder: str) -> None:
@@ -95,7 +95,7 @@ def _verify(spark: SparkSession, snapshot: Snapshot, folder: str) -> None:
     actual = tuple(serving_totals(written).drop("publication_count").first())
     if actual != _totals(snapshot):
         raise PublicationError(
-            f"written snapshot mismatch: expected={_totals(snapshot)}, actual={actual}"
+            f"written totals {actual} differ from {_totals(snapshot)}"
         )
 
 

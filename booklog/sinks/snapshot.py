@@ -25,7 +25,7 @@ def export_snapshot(
     failure leaves the previous snapshot in place.
     """
     if not source_root.strip() or not output_version.strip():
-        raise ValueError("source_root and output_version must not be blank")
+        raise ValueError("blank source_root or output_version")
     staged = storage.staging_path(destination)
     try:
         ordered = to_snapshot(cube).repartition(1).sortWithinPartitions(*KEY)

@@ -40,7 +40,7 @@ def latest_publication(log: DataFrame) -> DataFrame:
 
 def recent_publications(log: DataFrame, limit: int = 10) -> DataFrame:
     if not 1 <= limit <= 100:
-        raise ValueError("limit must be between 1 and 100")
+        raise ValueError(f"limit {limit} is outside 1..100")
     newest = log.orderBy(F.desc("started_at")).limit(limit)
     return newest.select(
         "publication_id",

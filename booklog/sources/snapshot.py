@@ -91,7 +91,7 @@ def snapshot_rows(spark: SparkSession, csv_path: str) -> DataFrame:
 def read_manifest(spark: SparkSession, path: str) -> Row:
     rows = spark.read.schema(SNAPSHOT_MANIFEST).option("mode", "FAILFAST").json(path).take(2)
     if len(rows) != 1:
-        raise SnapshotError("invalid snapshot manifest: expected one JSON object")
+        raise SnapshotError("manifest: not one JSON object")
     return rows[0]
 
 
@@ -130,22 +130,22 @@ def check_metrics_file(spark: SparkSession, csv_path: str) -> Row:
             F.sum(F.octet_length("raw_line") + 1).alias("bytes"),
         ).first()
         if found.header is None:
-            raise SnapshotError("snapshot is missing its header")
+            raise SnapshotError("no header line")
         if found.header != HEADER:
-            raise SnapshotError(f"unexpected snapshot header: {found.header!r}")
+            raise SnapshotError(f"wrong header: {found.header!r}")
         if found.broken is not None:
             raise SnapshotError(f"line {found.broken.line_number}: {found.broken.violation}")
         rows = lines.filter("line_number > 1")
         unordered = order_violations(rows).orderBy("line_number").first()
         if unordered is not None:
-            kind = "duplicate business key" if unordered.repeated else "not in canonical order"
+            kind = "repeated key" if unordered.repeated else "out of order"
             raise SnapshotError(f"line {unordered.line_number}: {kind}")
         totals = snapshot_totals(rows).first()
         if totals.row_count == 0:
-            raise SnapshotError("snapshot must contain at least one row")
+            raise SnapshotError("no rows")
         file = file_identity(spark, csv_path).first()
         if file.byte_size != found.bytes:
-            raise SnapshotError("snapshot bytes are not canonical")
+            raise SnapshotError("line ends are not canonical")
         return Row(**totals.asDict(), metrics_sha256=file.sha256)
     finally:
         lines.unpersist()
@@ -163,12 +163,12 @@ def load_snapshot(
         spark.createDataFrame([read_manifest(spark, manifest_path)], SNAPSHOT_MANIFEST)
     ).first()
     if manifest.violation is not None:
-        raise SnapshotError(f"invalid snapshot manifest: {manifest.violation}")
+        raise SnapshotError(f"manifest: bad {manifest.violation}")
     for name in (*TOTALS, "metrics_sha256"):
         wanted = getattr(expectations, name, None)
         for source, value in (("manifest", manifest[name]), ("expectation", wanted)):
             if value is not None and value != actual[name]:
-                raise SnapshotError(f"{source} mismatch in {name}: {value!r} != {actual[name]!r}")
+                raise SnapshotError(f"{source} says {name} is {value!r}, the file has {actual[name]!r}")
     return Snapshot(
         snapshot_rows(spark, csv_path),
         manifest.source_hdfs_root,

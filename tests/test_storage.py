@@ -175,7 +175,7 @@ def test_snapshot_bytes_and_manifest(spark, tmp_path):
     assert loaded.metrics_sha256 == digest == snapshot.metrics_sha256
     cube = spark.createDataFrame(UNSORTED, HOURLY_METRIC)
     assert canonical_digest(to_snapshot(cube)).first().metrics_sha256 == digest
-    with pytest.raises(SnapshotError, match="expectation mismatch in row_count"):
+    with pytest.raises(SnapshotError, match="expectation says row_count"):
         load_snapshot(
             spark,
             str(folder / "metrics.csv"),
@@ -186,12 +186,12 @@ def test_snapshot_bytes_and_manifest(spark, tmp_path):
 
 HEAD, ROWS = CANONICAL.split(b"\n", 1)
 BAD_FILES = [
-    (b"", "missing its header"),
-    (HEAD + b"\n", "at least one row"),
-    (b"a,b\n" + ROWS, "unexpected snapshot header"),
-    (CANONICAL.replace(b"\n", b"\r\n"), "unexpected snapshot header"),
+    (b"", "no header line"),
+    (HEAD + b"\n", "no rows"),
+    (b"a,b\n" + ROWS, "wrong header"),
+    (CANONICAL.replace(b"\n", b"\r\n"), "wrong header"),
     (CANONICAL.replace(b"MU,1,1\n", b"MU,1,1\r\n"), "not_canonical"),
-    (CANONICAL[:-1], "not canonical"),
+    (CANONICAL[:-1], "line ends"),
     (CANONICAL.replace(b",1,1", b",1"), "wrong_column_count"),
     (CANONICAL.replace(b",2,CA", b",x,CA"), "not_an_integer"),
     (CANONICAL.replace(b",2,CA", b",02,CA"), "not_canonical"),
@@ -200,9 +200,9 @@ BAD_FILES = [
     (CANONICAL.replace(b"CA", b"ca"), "invalid_airline_code"),
     (CANONICAL.replace(b",1,1", b",-1,1"), "negative_metric"),
     (CANONICAL.replace(b",4,7", b",4,3"), "tokens_below_responses"),
-    (CANONICAL.replace(b"20180830,10,MU", b"20180830,2,CA"), "duplicate business key"),
-    (CANONICAL.replace(b"20180830,10", b"20180829,10"), "not in canonical order"),
-    (CANONICAL.replace(b",4,7", b",4,8"), "manifest mismatch"),
+    (CANONICAL.replace(b"20180830,10,MU", b"20180830,2,CA"), "repeated key"),
+    (CANONICAL.replace(b"20180830,10", b"20180829,10"), "out of order"),
+    (CANONICAL.replace(b",4,7", b",4,8"), "manifest says"),
 ]
 
 
@@ -256,19 +256,19 @@ def test_publication_states(spark, tmp_path):
     assert again.publication_id == first.publication_id
     forced = publish(spark, snapshot, paths, force=True)
     assert forced.status == "published" and forced.publication_id != first.publication_id
-    assert validate_serving(spark, snapshot, paths) == (True, "serving snapshot matches")
+    assert validate_serving(spark, snapshot, paths) == (True, "the serving table holds this snapshot")
     served = reading.serving_table(spark, paths)
     assert {row.publication_id for row in served.collect()} == {forced.publication_id}
     assert reading.current_publication(spark, paths).first().publication_id == forced.publication_id
 
     # A snapshot whose declared totals are wrong is refused; the log says so.
     broken = type(snapshot)(**{**vars(snapshot), "row_count": 9})
-    with pytest.raises(PublicationError, match="mismatch"):
+    with pytest.raises(PublicationError, match="differ from"):
         publish(spark, broken, paths, force=True)
     log = reading.publication_log(spark, paths)
     recent = reading.recent_publications(log, 10).collect()
     assert [row.status for row in recent] == ["failed", "published", "published"]
-    assert log.filter("status = 'failed'").first().failure_message.startswith("written snapshot")
+    assert log.filter("status = 'failed'").first().failure_message.startswith("written totals")
     assert reading.serving_table(spark, paths).count() == 3
     assert not validate_serving(spark, broken, paths)[0]
     with pytest.raises(ValueError):
