@@ -26,6 +26,7 @@ def build_envelopes(
     """Envelope columns for rows of ``line_number, raw_line``; other columns stay."""
     others = [name for name in lines.columns if name not in ("line_number", "raw_line")]
     identity = event_id(source_sha256, F.col("line_number"), F.col("raw_line"))
+    utc = F.to_utc_timestamp(produced_at, F.current_timezone())
     return lines.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         identity.alias("event_id"),
@@ -34,7 +35,7 @@ def build_envelopes(
         F.col("line_number").alias("source_line_number"),
         group_id_of(F.col("raw_line")).alias("group_id"),
         "raw_line",
-        F.date_format(produced_at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("produced_at"),
+        F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("produced_at"),
         *others,
     )
 

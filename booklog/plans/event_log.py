@@ -83,7 +83,10 @@ def event_envelopes(events: DataFrame) -> DataFrame:
         F.lit(TOPIC).alias("topic"),
         (F.col("event_id") % 3).cast("int").alias("partition"),
         F.floor(F.col("event_id") / F.lit(3)).alias("offset"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
+        # The table's times carry no zone; they are taken as UTC in any session.
+        F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts"))
+        .cast("timestamp")
+        .alias("timestamp"),
     )
     digest = F.sha2(F.lit(SOURCE_FILE), 256)
     return build_envelopes(lines, F.lit(SOURCE_FILE), digest, F.col("timestamp"))

@@ -23,7 +23,7 @@ from booklog.sinks.cube import publish_metrics
 from booklog.sinks.profile import write_profile
 from booklog.sinks.publication import publish
 from booklog.sinks.snapshot import MANIFEST_FILE, METRICS_FILE, export_snapshot
-from booklog.sources import batches
+from booklog.sources import batches, storage
 from booklog.sources.broker import record_file_stream
 from booklog.sources.lines import file_identity, log_lines as read_log_lines
 from booklog.sources.serving import ServingPaths, publication_log, serving_table
@@ -37,9 +37,9 @@ def _settings(spark: SparkSession, purpose: str) -> PipelineSettings:
 
 
 def _landed(spark: SparkSession, sf_dir: str) -> str:
-    """The broker records as files, in three parts like the topic."""
+    """The broker records as files, one per partition of the table they derive from."""
     folder = scratch_folder(spark, "records")
-    broker_records(spark, sf_dir).repartition("partition").write.parquet(folder)
+    broker_records(spark, sf_dir).write.parquet(folder)
     return folder
 
 
@@ -272,7 +272,7 @@ def _(spark, sf_dir):
     settings, folder = _settings(spark, "resume"), scratch_folder(spark, "waves")
     records = broker_records(spark, sf_dir)
     for wave in (F.col("offset") % 5 < 2, F.col("offset") % 5 >= 2):
-        records.filter(wave).repartition("partition").write.mode("append").parquet(folder)
+        records.filter(wave).write.mode("append").parquet(folder)
         start_query(record_file_stream(spark, folder), settings).awaitTermination()
     return batches.commits(spark, settings.paths).select("batch_id", "input_count")
 
@@ -284,9 +284,10 @@ def _(spark, sf_dir):
 
 @query("str_progress")
 def _(spark, sf_dir):
-    """Batches of one file each, as counted from the ledger."""
-    settings = _settings(spark, "progress")
-    stream = record_file_stream(spark, _landed(spark, sf_dir), files_per_trigger=1)
+    """Three batches of a third of the files each, as counted from the ledger."""
+    settings, folder = _settings(spark, "progress"), _landed(spark, sf_dir)
+    files = sum(name.startswith("part-") for name in storage.children(spark, folder))
+    stream = record_file_stream(spark, folder, files_per_trigger=max(1, -(-files // 3)))
     start_query(stream, settings).awaitTermination()
     return batches.commits(spark, settings.paths).agg(
         F.sum("input_count").alias("input_count"),

@@ -99,6 +99,17 @@ def test_encoded_messages_are_compact_sorted_json(spark):
         assert fields["produced_at"][-5] == "." and fields["produced_at"].endswith("Z")
 
 
+def test_production_time_is_utc_in_any_session_zone(spark):
+    lines = spark.createDataFrame([(1, "a,b")], "line_number long, raw_line string")
+    noon = F.timestamp_seconds(F.lit(1_700_000_000))
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Shanghai")
+    try:
+        built = envelope.build_envelopes(lines, F.lit("f"), F.lit(SOURCE), noon).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert built.produced_at == "2023-11-14T22:13:20.000Z"
+
+
 def test_conservation_and_quality(spark):
     records = topic(
         spark,
