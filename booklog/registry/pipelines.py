@@ -4,8 +4,8 @@ Every run writes to new folders below the shared checkpoint folder. Queries that
 what one ingest stored share that ingest within a session.
 """
 
+from collections.abc import Callable
 from dataclasses import replace
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +31,31 @@ from booklog.sources.snapshot import manifest_violation, snapshot_lines
 from booklog.streaming.query import await_rows, start_query
 
 
-def _settings(spark: SparkSession, purpose: str) -> PipelineSettings:
-    root = scratch_folder(spark, purpose)
+# Folders of outputs that several queries read, by session and table folder.
+_SHARED: dict[tuple[str, str, str], str] = {}
+
+
+def _shared(
+    spark: SparkSession, sf_dir: str, purpose: str, build: Callable[[str], None]
+) -> str:
+    """A folder filled by ``build``, reused within the session while it exists."""
+    key = (spark.sparkContext.applicationId, sf_dir, purpose)
+    folder = _SHARED.get(key)
+    if folder is None or not storage.exists(spark, folder):
+        folder = scratch_folder(spark, purpose)
+        build(folder)
+        _SHARED[key] = folder
+    return folder
+
+
+def _settings_below(root: str) -> PipelineSettings:
     return PipelineSettings(data_root=f"{root}/data", checkpoint_root=f"{root}/checkpoints")
 
 
+def _settings(spark: SparkSession, purpose: str) -> PipelineSettings:
+    return _settings_below(scratch_folder(spark, purpose))
+
+
 def _landed(spark: SparkSession, sf_dir: str) -> str:
     """The broker records as files, one per partition of the table they derive from."""
     folder = scratch_folder(spark, "records")
@@ -43,30 +63,24 @@ def _landed(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
-@lru_cache(maxsize=8)
-def _ingested(application: str, sf_dir: str) -> PipelineSettings:
-    spark = SparkSession.getActiveSession()
-    settings = _settings(spark, "ingest")
-    write_batch(broker_records(spark, sf_dir), 0, settings.paths)
-    publish_metrics(spark, settings.paths)
-    return settings
-
-
 def ingested(spark: SparkSession, sf_dir: str) -> PipelineSettings:
-    """One ingest of the whole log, stored and merged, per session and table folder."""
-    return _ingested(spark.sparkContext.applicationId, sf_dir)
+    """One ingest of the whole log, stored and merged."""
 
+    def build(root: str) -> None:
+        paths = _settings_below(root).paths
+        write_batch(broker_records(spark, sf_dir), 0, paths)
+        publish_metrics(spark, paths)
 
-@lru_cache(maxsize=8)
-def _exported(application: str, sf_dir: str) -> str:
-    spark = SparkSession.getActiveSession()
-    folder = f"{scratch_folder(spark, 'snapshot')}/current"
-    export_snapshot(spark, log_cube(spark, sf_dir), folder, "events-root", "v1")
-    return folder
+    return _settings_below(_shared(spark, sf_dir, "ingest", build))
 
 
 def exported(spark: SparkSession, sf_dir: str) -> str:
-    return _exported(spark.sparkContext.applicationId, sf_dir)
+    """One snapshot of the cube of the whole log."""
+
+    def build(root: str) -> None:
+        export_snapshot(spark, log_cube(spark, sf_dir), f"{root}/current", "events-root", "v1")
+
+    return f"{_shared(spark, sf_dir, 'snapshot', build)}/current"
 
 
 def _stage_counts(df: DataFrame) -> DataFrame:
