@@ -16,7 +16,7 @@ from booklog.operators import (
     snapshot_checks,
 )
 from booklog.plans.event_log import event_envelopes, event_lines, event_records, read_events
-from booklog.schema import DIMENSIONS, MEASURES, RAW_EVENT, SNAPSHOT_COLUMNS
+from booklog.schema import MEASURES, SNAPSHOT_COLUMNS
 from booklog.sources import serving as publications
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -33,8 +33,13 @@ def start_query(
 
 def rows_seen(progress: list) -> int:
     """Input rows over distinct batches; a batch may report its progress repeatedly."""
-    by_batch = {int(entry["batchId"]): int(entry["numInputRows"]) for entry in progress}
-    return sum(by_batch.values())
+    return sum(_rows_by_batch(progress).values())
+
+
+def _rows_by_batch(progress: list) -> dict[int, int]:
+    """An idle trigger repeats the id of the coming batch with no rows; it does not count."""
+    counted = ((int(entry["batchId"]), int(entry["numInputRows"])) for entry in progress)
+    return {batch: rows for batch, rows in counted if rows}
 
 
 def await_rows(query: StreamingQuery, expected: int, timeout: float = 180.0) -> int:
@@ -46,8 +51,7 @@ def await_rows(query: StreamingQuery, expected: int, timeout: float = 180.0) ->
             if query.exception() is not None:
                 raise RuntimeError(str(query.exception()))
             # Progress is a bounded history, so it is folded into what was seen before.
-            seen |= {int(p["batchId"]): int(p["numInputRows"]) for p in query.recentProgress
-                     if int(p["numInputRows"])}
+            seen |= _rows_by_batch(query.recentProgress)
             if sum(seen.values()) >= expected:
                 return sum(seen.values())
             time.sleep(0.2)

@@ -18,7 +18,7 @@ from booklog.sources import serving as reading
 from booklog.sources.broker import kafka_options, kafka_stream, record_file_stream
 from booklog.sources.serving import ServingPaths
 from booklog.sources.snapshot import Expectations, SnapshotError, load_snapshot
-from booklog.streaming.query import await_rows, start_query
+from booklog.streaming.query import await_rows, rows_seen, start_query
 from tests.test_envelope import message
 
 
@@ -352,6 +352,14 @@ def test_invalid_utf8_is_an_error(spark, tmp_path):
     source.write_bytes(b"ok\n\xff\xfe\n")
     with pytest.raises(lines.InvalidEncodingError):
         write_profile(spark, str(source), f"{tmp_path}/profile")
+    with pytest.raises(lines.InvalidEncodingError):
+        lines.require_utf8(spark, str(source))
+    assert os.listdir(tmp_path) == ["bad.txt"]
+
+
+def test_rows_are_counted_once_per_batch():
+    progress = [{"batchId": 0, "numInputRows": 40}] * 2 + [{"batchId": 1, "numInputRows": 60}]
+    assert rows_seen(progress) == 100
 
 
 def test_line_numbers_across_splits_and_files(spark, tmp_path):
