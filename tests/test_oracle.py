@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from booklog import registry
 from tests.comparison import differences, oracle_connection
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -17,10 +18,10 @@ def connection():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(registry.queries()) - set(registry.oracle_sql()) == ROWS_ONLY
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_matches_its_oracle(spark, connection, name):
     df = entry.queries()[name](spark, SF_DIR)
     assert differences(df, connection, entry.oracle_sql()[name]) is None
