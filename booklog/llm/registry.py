@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 
 from booklog.session import scratch_folder
 
-from . import licenses, packing, token_counts, token_files, toxicity, warc
+from . import decontaminate, licenses, packing, token_counts, token_files, toxicity, warc
 from .shared import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.digest_columns(decontaminate.contamination(docs, benchmark))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = scratch_folder(spark, "token-cache")
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), cache, public_tokenizers.path(VOCABULARY))
@@ -47,12 +52,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_token_counts, op6_license_scan, op7_warc, op8_token_files, op9_packing, op10_toxicity)
+    found = (op1_decontamination, op2_token_counts, op6_license_scan, op7_warc, op8_token_files, op9_packing, op10_toxicity)
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontamination": decontaminate.oracle_sql(),
         "op6_license_scan": licenses.oracle_sql(),
         "op7_warc": """
     WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
