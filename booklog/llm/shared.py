@@ -49,14 +49,14 @@ def filter_of(df: DataFrame, key: str, bits: int = FILTER_BITS) -> np.ndarray:
 
     At most ``bits / 64`` words reach the driver, however many keys there are.
     """
-    slot = F.pmod(F.col(key), F.lit(bits)).cast("long")
+    slots = df.select(F.pmod(F.col(key), F.lit(bits)).cast("long").alias("slot"))
     words = (
-        df.groupBy(F.shiftright(slot, 6).alias("word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("mask"))
-        .toPandas()
+        slots.groupBy(F.shiftright("slot", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("mask"))
+        .toArrow()
     )
     bitmap = np.zeros(bits // 64, np.int64)
-    bitmap[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
+    bitmap[words["word"].to_numpy()] = words["mask"].to_numpy()
     return bitmap.view(np.uint64)
 
 
