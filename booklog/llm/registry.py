@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from booklog.session import scratch_folder
 
-from . import decontaminate, licenses, packing, suffix_dedup, token_counts, token_files, toxicity, warc
+from . import decontaminate, licenses, minhash, packing, suffix_dedup, token_counts, token_files, toxicity, warc
 from .shared import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -30,6 +30,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removals(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_token_counts, op3_suffix_dedup, op6_license_scan, op7_warc, op8_token_files, op9_packing, op10_toxicity)
+    found = (op1_decontamination, op2_token_counts, op3_suffix_dedup, op4_minhash, op6_license_scan, op7_warc, op8_token_files, op9_packing, op10_toxicity)
     return {query.__name__: query for query in found}
 
 
