@@ -103,6 +103,7 @@ class Encoder:
             self.library = lambda texts: [
                 x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             ]
+            self.whole = lambda text: tokenizer.encode(text, add_special_tokens=False)
             self.specials = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
@@ -151,6 +152,19 @@ class Encoder:
             return [x[0] if len(x) == 1 else np.concatenate([none, *x]) for x in results]
         return [sum(x) for x in results]
 
+    def _encode_pieces(self, pieces: list[str], plain: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces and how many each has; the first ``plain`` go as one text."""
+        if plain:
+            one = self.whole("".join(pieces[:plain]))
+            ids, counts = np.array(one.ids, np.int32), np.bincount(np.array(one.word_ids, np.int64))
+            if len(counts) != plain:
+                plain, ids, counts = 0, ids[:0], counts[:0]
+        else:
+            ids, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        rest = self.library(pieces[plain:])
+        sizes = np.fromiter(map(len, rest), np.int64, len(rest))
+        return np.concatenate([ids, np.array([x for y in rest for x in y], np.int32)]), np.concatenate([counts, sizes])
+
     def _group(self, parts: list[str], ids: bool) -> list:
         joined = "".join(parts)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -167,14 +181,18 @@ class Encoder:
         if len(new):
             _, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
             some = new[first]
-            pieces = [joined[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
-            found = self.library(pieces)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            places = self.used + np.cumsum(sizes) - sizes
-            self.used += int(sizes.sum())
-            while self.used > len(self.pool):
+            # A blank and letters: such pieces stay pieces when they stand one after the other.
+            plain = (points[starts[some]] == 32) & (ends[some] - starts[some] > 1)
+            plain &= self.kinds[points[np.minimum(starts[some] + 1, len(points) - 1)]] == _LETTER
+            by_kind = np.argsort(~plain, kind="stable")
+            pieces = [joined[a:b] for a, b in zip(starts[some[by_kind]].tolist(), ends[some[by_kind]].tolist(), strict=True)]
+            found, of_each = self._encode_pieces(pieces, int(plain.sum()))
+            sizes, places = np.empty_like(of_each), np.empty_like(of_each)
+            sizes[by_kind], places[by_kind] = of_each, self.used + np.cumsum(of_each) - of_each
+            while self.used + len(found) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used - int(sizes.sum()) : self.used] = [x for ids_ in found for x in ids_]
+            self.pool[self.used : self.used + len(found)] = found
+            self.used += len(found)
             at[new], count[new] = places[back], sizes[back]
             self.known[slots[some]], self.at[slots[some]] = hashes[some], places
             self.count[slots[some]] = sizes
