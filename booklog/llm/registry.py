@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from booklog.session import scratch_folder
 
-from . import decontaminate, licenses, minhash, packing, suffix_dedup, token_counts, token_files, toxicity, warc
-from .shared import table
+from . import cap_filters, decontaminate, licenses, minhash, packing, suffix_dedup, token_counts, token_files, toxicity, warc
+from .shared import ship_package, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -34,6 +34,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op5_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -60,8 +64,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_token_counts, op3_suffix_dedup, op4_minhash, op6_license_scan, op7_warc, op8_token_files, op9_packing, op10_toxicity)
-    return {query.__name__: query for query in found}
+    found = (
+        op1_decontamination, op2_token_counts, op3_suffix_dedup, op4_minhash, op5_cap_filters,
+        op6_license_scan, op7_warc, op8_token_files, op9_packing, op10_toxicity,
+    )
+    return {query.__name__: _shipping(query) for query in found}
+
+
+def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    run.__name__ = query.__name__
+    return run
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,21 @@ FILTER_BITS = 1 << 25
 SLICE_BYTES = 1 << 20
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        archive = shutil.make_archive(
+            f"{tempfile.mkdtemp(prefix='spark-')}/{package.name}", "zip", package.parent, package.name
+        )
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written below the shared checkpoint folder and read again.
 
