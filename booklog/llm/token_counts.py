@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder_source, version_digest
-from .shared import batch_of, text_slices, whole_text
+from .shared import batch_of, stored, text_slices, whole_text
 
 CACHE_SCHEMA = "vocabulary string, digest binary, n_tokens long"
 TOKEN_LIMIT = 512
@@ -62,5 +62,7 @@ def count_tokens(docs: DataFrame, cache: str, path: str, limit: int = TOKEN_LIMI
         F.octet_length(whole_text()).cast("long").alias("n_bytes"),
         F.unhex(F.sha2(whole_text(), 256)).alias("digest"),
     )
-    counted = keys.join(cached_counts(docs, cache, version_digest(path)), "digest")
+    counts = cached_counts(docs, cache, version_digest(path)).join(keys.select("digest"), "digest", "left_semi")
+    # Stored, so that the last join shuffles both sides itself and can split a frequent digest.
+    counted = keys.join(stored(counts, "token-counts"), "digest")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
