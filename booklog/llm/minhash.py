@@ -318,3 +318,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     return joined.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less all but one of each group of copies.
+
+    ``docs`` must be a stored table, whose rows keep their numbers when it is read again. The
+    row with the smallest id stays, of equal ids that with the smallest number; one without an
+    id stays only where the group has none.
+    """
+    number = "number of the row"
+    numbered = docs.withColumn(number, F.monotonically_increasing_id())
+    rows = numbered.select(F.col(number).alias("doc_id"), whole_text().alias("text"))
+    found = stored(near_duplicates(rows, words, similarity), "minhash-groups")
+    grouped = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = found.join(grouped, "component_id").select(F.col("doc_id").alias("row"), "component_id")
+    ids = numbered.select(F.col(number).alias("row"), F.col("doc_id").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    members = stored(ids.join(shared, "row").select("row", "component_id", order.alias("rank")), "minhash-members")
+    first = members.groupBy("component_id").agg(F.min("rank").alias("first"))
+    gone = members.join(first, "component_id").filter(F.col("row") != F.col("first.row"))
+    return numbered.join(gone.select(F.col("row").alias(number)), number, "left_anti").select(*docs.columns)

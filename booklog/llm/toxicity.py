@@ -182,3 +182,16 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     read = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     found = read.mapInArrow(scored, "doc_id long, score double")
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text, names = "text of the document", docs.columns
+
+    def keep(batches):
+        for rows, data, bounds in text_slices(batches, text):
+            scores = shared.value.scores(*distinct_features(data, bounds))
+            yield rows.select(names).filter(pa.array(scores < threshold))
+
+    return docs.withColumn(text, whole_text()).mapInArrow(keep, docs.schema)
