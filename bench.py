@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from booklog.config import PipelineSettings  # noqa: E402
+from booklog.config import Ingest, Store  # noqa: E402
 from booklog.plans.event_log import event_records, read_events  # noqa: E402
 from booklog.registry import queries  # noqa: E402
 from booklog.session import local_session  # noqa: E402
@@ -65,11 +65,11 @@ def full_run(spark: SparkSession, sf_dir: str, records: int) -> tuple[int, float
     shifted = repeated.withColumn("event_id", F.col("event_id") + F.col("copy") * count).drop("copy")
     limited = shifted.filter(F.col("event_id") < records).repartition(24)
     event_records(limited).write.parquet(f"{root}/records")
-    settings = PipelineSettings(data_root=f"{root}/data", checkpoint_root=f"{root}/checkpoints")
+    settings = Ingest(Store(f"{root}/data"), f"{root}/checkpoint")
 
     def ingest():
         start_query(record_file_stream(spark, f"{root}/records"), settings).awaitTermination()
-        publish_metrics(spark, settings.paths)
+        publish_metrics(spark, settings.store)
 
     return records, timed(ingest)
 

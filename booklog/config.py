@@ -1,78 +1,71 @@
-"""Validated pipeline settings and the layout of the stored datasets."""
+"""Where an ingest reads, where it stores, and how much it takes at once."""
 
 import re
 from dataclasses import dataclass
 
-# Fixed values of the job contract.
-TRIGGERS = ("available-now", "processing-time")
-STARTING_OFFSETS = ("earliest", "latest")
-OUTPUT_VERSION = r"v[1-9][0-9]*"
+# Records of one micro-batch at most, so that a backlog becomes many batches, not one.
+BATCH_RECORDS = 20_000_000
+BATCH_FILES = 1_000
+
+
+def _required(**values: str) -> None:
+    for name, value in values.items():
+        if not value or not value.strip():
+            raise ValueError(f"{name} is empty")
 
 
 @dataclass(frozen=True)
-class PipelineSettings:
-    data_root: str
-    checkpoint_root: str
-    bootstrap_servers: str = "kafka:29092"
-    topic: str = "gds.raw.v1"
-    trigger: str = "available-now"
-    processing_interval: str | None = None
-    output_version: str = "v1"
-    starting_offsets: str = "earliest"
-    # Upper bound of one micro-batch; None reads everything that is available at once.
-    max_offsets_per_trigger: int | None = None
-    # More read tasks than topic partitions, for few but large partitions.
-    min_partitions: int | None = None
+class Store:
+    """The datasets of one version of the outputs below a base folder."""
+
+    base: str
+    version: str = "v1"
 
     def __post_init__(self) -> None:
-        for name in ("data_root", "checkpoint_root", "bootstrap_servers", "topic"):
-            if not getattr(self, name).strip():
-                raise ValueError(f"{name} is blank")
-        if self.trigger not in TRIGGERS:
-            raise ValueError(f"unknown trigger, use one of {TRIGGERS}")
-        if self.starting_offsets not in STARTING_OFFSETS:
-            raise ValueError(f"unknown starting_offsets, use one of {STARTING_OFFSETS}")
-        if (self.trigger == "processing-time") != bool(self.processing_interval):
-            raise ValueError("processing_interval belongs to the processing-time trigger only")
-        if not re.fullmatch(OUTPUT_VERSION, self.output_version):
-            raise ValueError(f"output_version {self.output_version!r} is not v1, v2, ...")
-
-    @property
-    def paths(self) -> "DatasetPaths":
-        root = f"{self.data_root.rstrip('/')}/{self.output_version}"
-        checkpoint = f"{self.checkpoint_root.rstrip('/')}/spark-ingestion-{self.output_version}"
-        return DatasetPaths(root, checkpoint)
+        _required(base=self.base, version=self.version)
+        if not re.fullmatch("v[1-9][0-9]*", self.version):
+            raise ValueError(f"version {self.version!r} is not v1, v2, ...")
+
+    def dataset(self, name: str) -> str:
+        return f"{self.base.rstrip('/')}/{self.version}/{name}"
+
+    raw_events = property(lambda self: self.dataset("raw_events"))
+    clean_events = property(lambda self: self.dataset("clean_events"))
+    dead_letter = property(lambda self: self.dataset("dead_letter"))
+    quality_metrics = property(lambda self: self.dataset("quality_metrics"))
+    hourly_airline_deltas = property(lambda self: self.dataset("hourly_airline_deltas"))
+    hourly_airline_metrics = property(lambda self: self.dataset("hourly_airline_metrics"))
+    commits = property(lambda self: self.dataset("_commits"))
 
 
 @dataclass(frozen=True)
-class DatasetPaths:
-    root: str
-    checkpoint: str
+class Ingest:
+    """A store, its stream's checkpoint, and the pause between batches.
 
-    @property
-    def raw_events(self) -> str:
-        return f"{self.root}/raw_events"
+    Without ``every`` the stream takes what there is and ends.
+    """
 
-    @property
-    def clean_events(self) -> str:
-        return f"{self.root}/clean_events"
+    store: Store
+    checkpoint: str
+    every: str | None = None
 
-    @property
-    def dead_letter(self) -> str:
-        return f"{self.root}/dead_letter"
+    def __post_init__(self) -> None:
+        _required(checkpoint=self.checkpoint)
+        if self.every is not None:
+            _required(every=self.every)
 
-    @property
-    def quality_metrics(self) -> str:
-        return f"{self.root}/quality_metrics"
 
-    @property
-    def hourly_airline_deltas(self) -> str:
-        return f"{self.root}/hourly_airline_deltas"
+@dataclass(frozen=True)
+class Topic:
+    """A broker topic and how to read it; ``read_tasks`` splits few but large partitions."""
 
-    @property
-    def hourly_airline_metrics(self) -> str:
-        return f"{self.root}/hourly_airline_metrics"
+    servers: str
+    name: str
+    from_start: bool = True
+    batch_records: int = BATCH_RECORDS
+    read_tasks: int | None = None
 
-    @property
-    def commits(self) -> str:
-        return f"{self.root}/_commits"
+    def __post_init__(self) -> None:
+        _required(servers=self.servers, name=self.name)
+        if self.batch_records < 1 or (self.read_tasks is not None and self.read_tasks < 1):
+            raise ValueError("batch_records and read_tasks start at 1")

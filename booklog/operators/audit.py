@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from booklog.operators.envelope import verify_strictly
 from booklog.schema import DIMENSIONS, ENVELOPE_STAGE, MEASURES, RECORD_STAGE
 
-# Bits of one ``bitmap_construct_agg`` bucket.
+# Numbers of one bitmap.
 BITMAP_BITS = 32768
 
 
@@ -46,6 +46,22 @@ def partition_counts(records: DataFrame) -> DataFrame:
     )
 
 
+def topic_report(records: DataFrame, expected: int | None = None) -> DataFrame:
+    """One row on a whole topic: totals, records per partition, and whether it is sound.
+
+    Sound is a topic without invalid or repeated records and, if a number is expected, with
+    that many. The partitions of a topic are few and make one map.
+    """
+    per_partition = partition_counts(records).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("partition", "records")))).alias("partition_counts")
+    )
+    counted = one_row(verify_topic(records), per_partition)
+    sound = (F.col("invalid") == 0) & (F.col("duplicate_event_ids") == 0)
+    if expected is not None:
+        sound = sound & (F.col("total") == expected)
+    return counted.withColumn("sound", sound)
+
+
 def broker_locations(raw: DataFrame, dead: DataFrame) -> DataFrame:
     """Distinct broker positions of everything that was read.
 
@@ -65,16 +81,32 @@ def location_count(raw: DataFrame, dead: DataFrame) -> DataFrame:
     )
 
 
-def _bitmaps(df: DataFrame, keys: list[str], number: Column) -> DataFrame:
-    """Which of the numbers 1, 2, ... occur per key, as bitmaps of 32,768 numbers.
+def _words(df: DataFrame, keys: list[str], number: Column) -> DataFrame:
+    """Which of the numbers 1, 2, ... occur per key, as 64-bit words of 64 numbers.
 
-    Bitmaps merge map-side, so repeats cost nothing and a key with a third of all rows
-    spreads over as many groups as it has buckets.
+    Words merge in place before the shuffle, so repeats cost nothing, and a key with a third
+    of all rows spreads over as many groups as it has words.
     """
-    buckets = df.groupBy(*keys, F.bitmap_bucket_number(number).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bitmap")
+    place = (number - 1).cast("long")
+    return df.groupBy(*keys, F.shiftright(place, 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits")
     )
-    return buckets.withColumn("present", F.bitmap_count("bitmap"))
+
+
+def _bitmaps(df: DataFrame, keys: list[str], number: Column) -> DataFrame:
+    """The same as bitmaps of 32,768 numbers: how many occur, and how many before the first gap."""
+    words = _words(df, keys, number)
+    per_bitmap = BITMAP_BITS // 64
+    own = F.struct((F.col("word") % per_bitmap).alias("at"), "bits")
+    buckets = words.groupBy(*keys, (F.floor(F.col("word") / F.lit(per_bitmap)) + 1).alias("bucket")).agg(
+        F.sum(F.bit_count("bits")).alias("present"), F.array_sort(F.collect_list(own)).alias("words")
+    )
+    # Words in order; the count goes on while each begins where it stands and was full before.
+    leading = F.expr(
+        """aggregate(words, 0L, (n, w) -> if(w.at * 64 = n,
+            n + if(w.bits = -1L, 64, coalesce(bit_count(w.bits ^ try_add(w.bits, 1L)) - 1, 63)), n))"""
+    )
+    return buckets.withColumn("leading", leading.cast("long")).drop("words")
 
 
 def pipeline_summary(
@@ -127,9 +159,9 @@ def confirmed_prefix(lines: DataFrame) -> DataFrame:
     one row per 2**30 lines of a source.
     """
     source = "source_file"
-    buckets = _with_leading(_bitmaps(lines, [source], F.col("source_line_number")))
+    buckets = _bitmaps(lines, [source], F.col("source_line_number"))
     full = buckets.filter(F.col("present") == BITMAP_BITS)
-    groups = _with_leading(_bitmaps(full, [source], F.col("bucket")))
+    groups = _bitmaps(full, [source], F.col("bucket"))
     position, bucket = F.col("position"), F.col("bucket")
     stop = F.when(bucket > position, (position - 1) * BITMAP_BITS).when(
         F.col("leading") < BITMAP_BITS, (bucket - 1) * BITMAP_BITS + F.col("leading")
@@ -151,28 +183,22 @@ def confirmed_prefix(lines: DataFrame) -> DataFrame:
     )
 
 
-def _with_leading(buckets: DataFrame) -> DataFrame:
-    """Replace each bitmap by the number of set bits before its first unset one.
+def line_gaps(lines: DataFrame) -> DataFrame:
+    """Runs of lines that did not land before a later line that did, per source.
 
-    Bit 0 is the lowest bit of the first byte. Only bitmaps that are not full are looked at.
+    Lines become 64-bit words, and words the runs of landed lines inside them, so what is
+    sorted is a fraction of the lines.
     """
-    digits = F.hex("bitmap")
-    full_digits = F.length(F.regexp_extract(digits, "^(?:FF)*", 0))
-    next_byte = F.conv(F.substr(digits, full_digits + 1, F.lit(2)), 16, 10).cast("int")
-    trailing_ones = F.bit_count(next_byte.bitwiseXOR(next_byte + 1)) - 1
-    leading = F.when(F.col("present") == BITMAP_BITS, F.lit(BITMAP_BITS)).otherwise(
-        full_digits * 4 + trailing_ones
-    )
-    return buckets.withColumn("leading", leading.cast("long")).drop("bitmap")
-
-
-def line_gaps(lines: DataFrame) -> DataFrame:
-    """Runs of lines that did not land before a later line that did, per source."""
-    landed = lines.select(
+    words = _words(lines, ["source_file"], F.col("source_line_number"))
+    first, last = "bits & ~shiftleft(bits, 1)", "bits & ~shiftrightunsigned(bits, 1)"
+    places = "filter(sequence(0, 63), k -> (shiftrightunsigned({0}, k) & 1L) = 1L)"
+    begins, ends = (F.expr(places.format(f"({of})")) for of in (first, last))
+    runs = F.explode(F.arrays_zip(begins.alias("begins"), ends.alias("ends"))).alias("run")
+    landed = words.select("source_file", "word", runs).select(
         "source_file",
-        F.col("source_line_number").alias("first"),
-        F.col("source_line_number").alias("last"),
-    ).distinct()
+        (F.col("word") * 64 + F.col("run.begins") + 1).alias("first"),
+        (F.col("word") * 64 + F.col("run.ends") + 1).alias("last"),
+    )
     spans = _with_previous(landed, BITMAP_BITS, levels=2)
     return spans.filter("first - previous > 1").select(
         "source_file",

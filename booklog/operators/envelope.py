@@ -5,6 +5,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from booklog.functions import evaluate_once, event_id, group_id_of, partition_key
 from booklog.schema import (
@@ -52,7 +53,11 @@ def encode_envelopes(envelopes: DataFrame) -> DataFrame:
 
 
 def decode_records(records: DataFrame) -> DataFrame:
-    """Broker bytes to text and typed envelope fields, one JSON parse per record."""
+    """Broker bytes to text and typed envelope fields, one JSON parse per record.
+
+    The text is parsed as the only element of an array, so that anything after the closing
+    brace makes the document invalid instead of being passed over.
+    """
     text = records.select(
         F.col("key").cast("string").alias("kafka_key"),
         F.col("value").cast("string").alias("value_text"),
@@ -61,12 +66,17 @@ def decode_records(records: DataFrame) -> DataFrame:
         "offset",
         F.col("timestamp").alias("kafka_timestamp"),
     )
-    decoded = evaluate_once(text, "envelope", F.from_json("value_text", ENVELOPE, _DECODE))
+    parsed = F.from_json(_as_array(F.col("value_text")), T.ArrayType(ENVELOPE), _DECODE)
+    decoded = evaluate_once(text, "envelope", F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0))))
     return decoded.select(
         "kafka_key", "value_text", "envelope.*", *BROKER_METADATA.fieldNames()
     )
 
 
+def _as_array(text: Column) -> Column:
+    return F.concat(F.lit("["), text, F.lit("]"))
+
+
 def envelope_reason() -> Column:
     """First envelope rule that a decoded record breaks, null when it breaks none.
 
@@ -76,7 +86,8 @@ def envelope_reason() -> Column:
     """
     missing = reduce(or_, [F.col(name).isNull() for name in REQUIRED_ENVELOPE_FIELDS])
     text = F.col("value_text")
-    as_object = F.from_json(text, "map<string,string>", _DECODE)
+    objects = F.from_json(_as_array(text), "array<map<string,string>>", _DECODE)
+    as_object = F.when(F.size(objects) == 1, F.get(objects, F.lit(0)))
     expected_id = event_id(
         F.col("source_file_sha256"), F.col("source_line_number"), F.col("raw_line")
     )
@@ -115,7 +126,8 @@ def verify_strictly(records: DataFrame) -> DataFrame:
 
     Adds ``verified_id`` (null when the record is invalid) and ``violation`` (null when it
     is valid). Unlike the ingest path it wants all eight fields present, a group that may
-    be null, and exact JSON types.
+    be null, and exact JSON types. Text after the document, and a document that repeats a
+    key, are ``invalid_json``: which of two values is meant can't be told.
     """
     others = [name for name in records.columns if name not in ("key", "value")]
     text = records.select(
@@ -123,7 +135,11 @@ def verify_strictly(records: DataFrame) -> DataFrame:
         F.col("value").cast("string").alias("value_text"),
         *others,
     )
-    document = evaluate_once(text, "document", F.try_parse_json("value_text"))
+    listed = evaluate_once(text, "listed", F.try_parse_json(_as_array(F.col("value_text"))))
+    only = F.when(
+        F.try_variant_get("listed", "$[1]", "variant").isNull(), F.try_variant_get("listed", "$[0]", "variant")
+    )
+    document = evaluate_once(listed, "document", only)
     names = ENVELOPE.fieldNames()
     fields = evaluate_once(
         document,

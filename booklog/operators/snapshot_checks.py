@@ -67,27 +67,3 @@ def snapshot_totals(snapshot: DataFrame) -> DataFrame:
 
 def canonical_line() -> Column:
     return F.concat_ws(",", *SNAPSHOT_COLUMNS)
-
-
-def canonical_digest(snapshot: DataFrame) -> DataFrame:
-    """``metrics_sha256`` of the canonical CSV text, without writing it.
-
-    Days are rendered in parallel; one day holds at most 24 hours x 36^2 two-character
-    codes (under 1 MiB). Only the finished days are then joined, in date order. A digest of
-    one byte stream cannot be split further; the file sink hashes the written file instead
-    and has no size limit.
-    """
-    by_hour_and_code = F.struct("stat_hour", "airline_code", canonical_line().alias("line"))
-    days = snapshot.groupBy("stat_date").agg(
-        F.array_sort(F.collect_list(by_hour_and_code)).alias("rows")
-    )
-    rendered = days.select("stat_date", F.array_join("rows.line", "\n").alias("text"))
-    text = rendered.agg(
-        F.array_join(
-            F.array_sort(F.collect_list(F.struct("stat_date", "text")))["text"], "\n"
-        ).alias("body")
-    )
-    header = ",".join(SNAPSHOT_COLUMNS) + "\n"
-    return text.select(
-        F.sha2(F.concat(F.lit(header), "body", F.lit("\n")), 256).alias("metrics_sha256")
-    )

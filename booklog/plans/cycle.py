@@ -1,18 +1,16 @@
 """Ingest, merge, validate, export, publish, validate: one refresh of the serving table."""
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from booklog.config import DatasetPaths, PipelineSettings
+from booklog.config import Ingest, Store
 from booklog.operators.audit import one_row, pipeline_summary
 from booklog.sinks.cube import publish_metrics
 from booklog.sinks.publication import Publication, publish, validate_serving
 from booklog.sinks.snapshot import export_snapshot
 from booklog.sources import batches
-from booklog.sources.broker import kafka_stream
 from booklog.sources.serving import ServingPaths
 from booklog.streaming.query import start_query
 
@@ -23,7 +21,7 @@ class Cycle:
     publication: Publication
 
 
-def output_counts(spark: SparkSession, paths: DatasetPaths) -> DataFrame:
+def output_counts(spark: SparkSession, paths: Store) -> DataFrame:
     """Row counts of the five datasets and whether they are consistent."""
     sizes = {
         "raw": batches.raw_events(spark, paths),
@@ -36,7 +34,7 @@ def output_counts(spark: SparkSession, paths: DatasetPaths) -> DataFrame:
     return counts.withColumn("valid", F.expr("raw >= clean AND quality_rows > 0"))
 
 
-def inspect_outputs(spark: SparkSession, paths: DatasetPaths) -> DataFrame:
+def inspect_outputs(spark: SparkSession, paths: Store) -> DataFrame:
     """Conservation summary of the stored pipeline outputs."""
     return pipeline_summary(
         batches.raw_events(spark, paths),
@@ -48,21 +46,19 @@ def inspect_outputs(spark: SparkSession, paths: DatasetPaths) -> DataFrame:
 
 def refresh(
     spark: SparkSession,
-    settings: PipelineSettings,
+    ingest: Ingest,
     serving: ServingPaths,
     snapshot_folder: str,
-    stream: Callable[[SparkSession, PipelineSettings], DataFrame] = kafka_stream,
+    records: DataFrame,
 ) -> Cycle:
-    """Run the whole chain once over whatever is new in the source."""
-    paths = settings.paths
-    start_query(stream(spark, settings), settings).awaitTermination()
+    """Run the whole chain once over whatever is new in the stream of ``records``."""
+    paths = ingest.store
+    start_query(records, ingest).awaitTermination()
     rows = publish_metrics(spark, paths)
     if not output_counts(spark, paths).first().valid:
         raise RuntimeError(f"inconsistent outputs below {paths.root}")
     cube = batches.hourly_metrics(spark, paths)
-    snapshot = export_snapshot(
-        spark, cube, snapshot_folder, settings.data_root, settings.output_version
-    )
+    snapshot = export_snapshot(spark, cube, snapshot_folder, paths.base, paths.version)
     publication = publish(spark, snapshot, serving)
     matches, message = validate_serving(spark, snapshot, serving)
     if not matches:

@@ -283,7 +283,7 @@ def _metric_queries() -> dict[str, str]:
               FROM accepted_tokens GROUP BY ALL)
             SELECT {_ANY_DIM}, {_SUMS} FROM deltas GROUP BY ALL""",
         "agg_quality": f"WITH {_QUALITY} SELECT CAST(7 AS BIGINT) AS batch_id, * FROM quality",
-        "set_quality_union": f"""WITH {_QUALITY} SELECT metric_name, failure_stage, metric_value
+        "set_quality_union": f"""WITH {_QUALITY} SELECT CAST(7 AS BIGINT) AS batch_id, *
             FROM quality""",
         "agg_batch_summary": f"""WITH {_QUALITY} SELECT CAST(7 AS BIGINT) AS batch_id,
             {", ".join(
@@ -447,7 +447,7 @@ def _snapshot_queries() -> dict[str, str]:
             ORDER BY completed_at DESC LIMIT 1""",
         "join_exists_current": f"""WITH {_DAYS} SELECT publication_id, status
             FROM publication_log l WHERE EXISTS (SELECT 1 FROM daily d
-              WHERE d.publication_id = l.publication_id AND stat_hour = 0)""",
+              WHERE d.publication_id = l.publication_id)""",
         "join_scalar_current_hash": f"""WITH {_DAYS} SELECT metrics_sha256 FROM publication_log
             WHERE publication_id = (SELECT MIN(publication_id) FROM daily)
               AND status = 'published'""",
@@ -478,6 +478,13 @@ def _pipeline_queries() -> dict[str, str]:
     digest_cte = f"digest AS ({digest})"
     return {
         "src_log_lines": f"WITH {_LINES} SELECT line_number, raw_line FROM lines",
+        "src_file_identity": f"""WITH {_SNAPSHOT}, body AS (SELECT
+            'stat_date,stat_hour,airline_code,successful_response_records,successful_booking_tokens'
+            || chr(10) || string_agg(stat_date || ',' || stat_hour || ',' || airline_code || ',' ||
+              successful_response_records || ',' || successful_booking_tokens, chr(10)
+              ORDER BY stat_date, stat_hour, airline_code) || chr(10) AS text FROM snapshot)
+            SELECT 'metrics.csv' AS path, CAST(strlen(text) AS BIGINT) AS byte_size,
+            sha256(text) AS sha256 FROM body""",
         "src_parquet_batches": f"""WITH {_ENVELOPES} SELECT {_RAW.replace(', kafka_timestamp', '')},
             CAST(0 AS BIGINT) AS batch_id FROM trusted""",
         "src_snapshot_csv": f"""WITH {_SNAPSHOT} SELECT 1 + row_number() OVER (

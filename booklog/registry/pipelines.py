@@ -10,7 +10,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from booklog.config import PipelineSettings
+from booklog.config import Ingest, Store
 from booklog.operators.audit import broker_locations
 from booklog.operators.snapshot_checks import to_snapshot
 from booklog.plans.cycle import inspect_outputs, output_counts, refresh
@@ -28,7 +28,7 @@ from booklog.sources.broker import record_file_stream
 from booklog.sources.lines import file_identity, log_lines as read_log_lines
 from booklog.sources.serving import ServingPaths, publication_log, serving_table
 from booklog.sources.snapshot import manifest_violation, snapshot_lines
-from booklog.streaming.query import await_rows, start_query
+from booklog.streaming.query import await_rows, rows_seen, start_query
 
 
 # Folders of outputs that several queries read, by session and table folder.
@@ -48,11 +48,11 @@ def _shared(
     return folder
 
 
-def _settings_below(root: str) -> PipelineSettings:
-    return PipelineSettings(data_root=f"{root}/data", checkpoint_root=f"{root}/checkpoints")
+def _settings_below(root: str) -> Ingest:
+    return Ingest(Store(f"{root}/data"), f"{root}/checkpoint")
 
 
-def _settings(spark: SparkSession, purpose: str) -> PipelineSettings:
+def _settings(spark: SparkSession, purpose: str) -> Ingest:
     return _settings_below(scratch_folder(spark, purpose))
 
 
@@ -63,11 +63,11 @@ def _landed(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
-def ingested(spark: SparkSession, sf_dir: str) -> PipelineSettings:
+def ingested(spark: SparkSession, sf_dir: str) -> Ingest:
     """One ingest of the whole log, stored and merged."""
 
     def build(root: str) -> None:
-        paths = _settings_below(root).paths
+        paths = _settings_below(root).store
         write_batch(broker_records(spark, sf_dir), 0, paths)
         publish_metrics(spark, paths)
 
@@ -78,9 +78,9 @@ def exported(spark: SparkSession, sf_dir: str) -> str:
     """One snapshot of the cube of the whole log."""
 
     def build(root: str) -> None:
-        export_snapshot(spark, log_cube(spark, sf_dir), f"{root}/current", "events-root", "v1")
+        export_snapshot(spark, log_cube(spark, sf_dir), root, "events-root", "v1")
 
-    return f"{_shared(spark, sf_dir, 'snapshot', build)}/current"
+    return storage.current(spark, _shared(spark, sf_dir, "snapshot", build))
 
 
 def _stage_counts(df: DataFrame) -> DataFrame:
@@ -102,13 +102,21 @@ def _(spark, sf_dir):
 
 @query("src_file_identity")
 def _(spark, sf_dir):
-    identity = file_identity(spark, f"{sf_dir}/*.parquet")
+    """The written snapshot: the one file whose bytes SQL can build too."""
+    identity = file_identity(spark, f"{exported(spark, sf_dir)}/{METRICS_FILE}")
     return identity.withColumn("path", F.element_at(F.split("path", "/"), -1))
 
 
+@query("sort_canonical")
+def _(spark, sf_dir):
+    """The digest of the written canonical file."""
+    identity = file_identity(spark, f"{exported(spark, sf_dir)}/{METRICS_FILE}")
+    return identity.select(F.col("sha256").alias("metrics_sha256"))
+
+
 @query("src_parquet_batches")
 def _(spark, sf_dir):
-    raw = batches.raw_events(spark, ingested(spark, sf_dir).paths)
+    raw = batches.raw_events(spark, ingested(spark, sf_dir).store)
     return raw.select(*RAW_EVENT.fieldNames(), "batch_id").drop("kafka_timestamp")
 
 
@@ -148,7 +156,7 @@ def _(spark, sf_dir):
 
 @query("sink_batch_outputs")
 def _(spark, sf_dir):
-    return _stage_counts(batches.dead_letters(spark, ingested(spark, sf_dir).paths))
+    return _stage_counts(batches.dead_letters(spark, ingested(spark, sf_dir).store))
 
 
 @query("sink_replace_batch")
@@ -156,14 +164,14 @@ def _(spark, sf_dir):
     """A batch written in full, then again with the envelope failures only."""
     settings = _settings(spark, "replace")
     records = broker_records(spark, sf_dir)
-    write_batch(records, 3, settings.paths)
-    write_batch(records.filter(F.col("value") == F.lit("not-json").cast("binary")), 3, settings.paths)
+    write_batch(records, 3, settings.store)
+    write_batch(records.filter(F.col("value") == F.lit("not-json").cast("binary")), 3, settings.store)
     return output_sizes(spark, settings)
 
 
 @query("sink_commit_marker")
 def _(spark, sf_dir):
-    return batches.commits(spark, ingested(spark, sf_dir).paths)
+    return batches.commits(spark, ingested(spark, sf_dir).store)
 
 
 @query("sink_publish_metrics")
@@ -172,10 +180,10 @@ def publish_twice(spark, sf_dir):
     settings = _settings(spark, "merge")
     records = broker_records(spark, sf_dir)
     for number in (0, 1):
-        write_batch(records.filter(F.col("offset") % 2 == number), number, settings.paths)
-    publish_metrics(spark, settings.paths)
-    publish_metrics(spark, settings.paths)
-    return batches.hourly_metrics(spark, settings.paths)
+        write_batch(records.filter(F.col("offset") % 2 == number), number, settings.store)
+    publish_metrics(spark, settings.store)
+    publish_metrics(spark, settings.store)
+    return batches.hourly_metrics(spark, settings.store)
 
 
 @query("sink_snapshot_csv")
@@ -230,9 +238,9 @@ def _(spark, sf_dir):
 # --- streams ---------------------------------------------------------------------------
 
 
-def output_sizes(spark: SparkSession, settings: PipelineSettings) -> DataFrame:
+def output_sizes(spark: SparkSession, settings: Ingest) -> DataFrame:
     """Rows per stored dataset."""
-    paths = settings.paths
+    paths = settings.store
     sizes = {
         "raw_events": batches.raw_events(spark, paths),
         "clean_events": batches.clean_events(spark, paths),
@@ -249,7 +257,7 @@ def output_sizes(spark: SparkSession, settings: PipelineSettings) -> DataFrame:
     return result
 
 
-def _streamed(spark: SparkSession, sf_dir: str) -> PipelineSettings:
+def _streamed(spark: SparkSession, sf_dir: str) -> Ingest:
     settings = _settings(spark, "stream")
     stream = record_file_stream(spark, _landed(spark, sf_dir))
     start_query(stream, settings).awaitTermination()
@@ -258,26 +266,24 @@ def _streamed(spark: SparkSession, sf_dir: str) -> PipelineSettings:
 
 @query("str_start_query")
 def _(spark, sf_dir):
-    return inspect_outputs(spark, _streamed(spark, sf_dir).paths)
+    return inspect_outputs(spark, _streamed(spark, sf_dir).store)
 
 
 @query("str_trigger_available_now")
 def stream_and_merge(spark, sf_dir):
     settings = _streamed(spark, sf_dir)
-    publish_metrics(spark, settings.paths)
-    return batches.hourly_metrics(spark, settings.paths)
+    publish_metrics(spark, settings.store)
+    return batches.hourly_metrics(spark, settings.store)
 
 
 @query("str_trigger_processing_time")
 def _(spark, sf_dir):
     """The same rows through the interval trigger, stopped once all were seen."""
-    settings = replace(
-        _settings(spark, "interval"), trigger="processing-time", processing_interval="1 second"
-    )
+    settings = replace(_settings(spark, "interval"), every="1 second")
     folder = _landed(spark, sf_dir)
     expected = spark.read.parquet(folder).count()
     await_rows(start_query(record_file_stream(spark, folder), settings), expected)
-    return inspect_outputs(spark, settings.paths)
+    return inspect_outputs(spark, settings.store)
 
 
 @query("str_resume")
@@ -288,7 +294,7 @@ def _(spark, sf_dir):
     for wave in (F.col("offset") % 5 < 2, F.col("offset") % 5 >= 2):
         records.filter(wave).write.mode("append").parquet(folder)
         start_query(record_file_stream(spark, folder), settings).awaitTermination()
-    return batches.commits(spark, settings.paths).select("batch_id", "input_count")
+    return batches.commits(spark, settings.store).select("batch_id", "input_count")
 
 
 @query("str_persist_batch")
@@ -298,31 +304,30 @@ def _(spark, sf_dir):
 
 @query("str_progress")
 def _(spark, sf_dir):
-    """Three batches of a third of the files each, as counted from the ledger."""
+    """Three batches of a third of the files each, as the query reports its progress."""
     settings, folder = _settings(spark, "progress"), _landed(spark, sf_dir)
     files = sum(name.startswith("part-") for name in storage.children(spark, folder))
-    stream = record_file_stream(spark, folder, files_per_trigger=max(1, -(-files // 3)))
-    start_query(stream, settings).awaitTermination()
-    return batches.commits(spark, settings.paths).agg(
-        F.sum("input_count").alias("input_count"),
-        F.sum("dead_letter_count").alias("dead_letter_count"),
-    )
+    stream = record_file_stream(spark, folder, files_per_batch=max(1, -(-files // 3)))
+    running = start_query(stream, settings)
+    running.awaitTermination()
+    dead = batches.commits(spark, settings.store).agg(F.sum("dead_letter_count").alias("dead_letter_count"))
+    return dead.select(F.lit(rows_seen(running.recentProgress)).cast("long").alias("input_count"), "dead_letter_count")
 
 
 @query("agg_pipeline_inspect")
 def _(spark, sf_dir):
-    return inspect_outputs(spark, ingested(spark, sf_dir).paths)
+    return inspect_outputs(spark, ingested(spark, sf_dir).store)
 
 
 @query("set_kafka_locations")
 def _(spark, sf_dir):
-    paths = ingested(spark, sf_dir).paths
+    paths = ingested(spark, sf_dir).store
     return broker_locations(batches.raw_events(spark, paths), batches.dead_letters(spark, paths))
 
 
 @query("agg_validate_outputs")
 def _(spark, sf_dir):
-    return output_counts(spark, ingested(spark, sf_dir).paths)
+    return output_counts(spark, ingested(spark, sf_dir).store)
 
 
 @query("str_refresh_cycle")
@@ -331,9 +336,7 @@ def _(spark, sf_dir):
     settings, serving = _settings(spark, "cycle"), ServingPaths(scratch_folder(spark, "serving"))
     landed, snapshots = _landed(spark, sf_dir), f"{scratch_folder(spark, 'snapshot')}/current"
     for _run in range(2):
-        refresh(
-            spark, settings, serving, snapshots, lambda s, _settings: record_file_stream(s, landed)
-        )
+        refresh(spark, settings, serving, snapshots, record_file_stream(spark, landed))
     rows = to_snapshot(
         serving_table(spark, serving).select(
             F.date_format("stat_date", "yyyyMMdd").alias("event_date"),

@@ -101,8 +101,9 @@ def _(spark, sf_dir):
 
 @query("tok_explode")
 def _(spark, sf_dir):
-    tokens = metrics.success_token_rows(records.clean_records(log_lines(spark, sf_dir)))
-    return tokens.select("line_number", "event_date", "event_hour", "token_ordinal", "airline_code")
+    tokens = metrics.token_rows(records.clean_records(log_lines(spark, sf_dir)))
+    place = F.col("place").alias("token_ordinal")
+    return tokens.select("line_number", "event_date", "event_hour", place, "airline_code")
 
 
 # --- serving ---------------------------------------------------------------------------
@@ -232,7 +233,7 @@ def _(spark, sf_dir):
 
 
 def accepted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.success_token_rows(accepted_events(spark, sf_dir))
+    return metrics.token_rows(accepted_events(spark, sf_dir))
 
 
 @query("agg_token_counts")
@@ -265,11 +266,7 @@ def hourly_deltas(spark, sf_dir):
 def _(spark, sf_dir):
     """Each broker partition taken as a batch of its own."""
     clean = accepted_events(spark, sf_dir)
-    deltas = [
-        metrics.hourly_deltas(clean.filter(F.col("partition") == number), number)
-        for number in range(3)
-    ]
-    return metrics.merge_metrics(deltas[0].unionByName(deltas[1]).unionByName(deltas[2]))
+    return metrics.merge_metrics(metrics.event_metrics(clean, "partition"))
 
 
 @query("agg_quality")
@@ -284,7 +281,7 @@ def _(spark, sf_dir):
 
 @query("set_quality_union")
 def _(spark, sf_dir):
-    return quality(spark, sf_dir).select("metric_name", "failure_stage", "metric_value")
+    return quality(spark, sf_dir)
 
 
 @query("set_dead_union")
@@ -424,11 +421,6 @@ def _(spark, sf_dir):
     return snapshot_checks.snapshot_totals(log_snapshot(spark, sf_dir))
 
 
-@query("sort_canonical")
-def canonical_digest(spark, sf_dir):
-    return snapshot_checks.canonical_digest(log_snapshot(spark, sf_dir))
-
-
 def daily_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A publication log with one attempt per day of the log, every fifth one failed."""
     day = F.to_timestamp("event_date", "yyyyMMdd")
@@ -489,19 +481,15 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The newest publication with the digest that the first day of the log has."""
     log = daily_publications(spark, sf_dir)
-    first = F.min_by("metrics_sha256", "started_at")
-    wanted = log.agg(first.alias("metrics_sha256"))
-    same = log.join(F.broadcast(wanted), "metrics_sha256", "left_semi")
-    root = F.col("source_hdfs_root") == "root-1"
-    return _plain_times(publications.latest_publication(same.filter(root)))
+    digest = log.agg(F.min_by("metrics_sha256", "started_at")).first()[0]
+    return _plain_times(publications.find_publication(log, "root-1", "v1", digest))
 
 
 @query("join_exists_current")
 def _(spark, sf_dir):
     """Publications of which rows are being served."""
     served_ids = publications.is_served(
-        daily_serving(spark, sf_dir).filter(F.col("stat_hour") == 0),
-        daily_publications(spark, sf_dir),
+        daily_serving(spark, sf_dir), daily_publications(spark, sf_dir)
     )
     return served_ids.select("publication_id", "status")
 

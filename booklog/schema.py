@@ -9,28 +9,6 @@ LOG_TYPES = ("ITARES", "ITAREQ")
 RESPONSE_TYPE = "ITARES"
 ENVELOPE_STAGE = "envelope"
 RECORD_STAGE = "gds"
-ENVELOPE_REASONS = (
-    "invalid_json",
-    "missing_required_fields",
-    "unsupported_schema_version",
-    "event_id_mismatch",
-    "kafka_key_mismatch",
-)
-RECORD_REASONS = (
-    "blank_line",
-    "too_few_fields",
-    "missing_group_id",
-    "missing_log_type",
-    "invalid_date",
-    "invalid_hour",
-    "unsupported_log_type",
-)
-METRIC_NAMES = (
-    "input_count",
-    "envelope_valid_count",
-    "business_valid_count",
-    "dead_letter_count",
-)
 STATUS_VALID, STATUS_INVALID, STATUS_UNSUPPORTED = "valid", "invalid", "unsupported"
 REQUIRED_ENVELOPE_FIELDS = (
     "schema_version",
@@ -122,8 +100,3 @@ PUBLICATION = _struct(
     "metrics_sha256 string, status string, failure_message string, started_at timestamp, "
     "completed_at timestamp"
 )
-
-
-def without(schema: T.StructType, *names: str) -> T.StructType:
-    """The schema less some columns, e.g. one that is stored as a directory key."""
-    return T.StructType([field for field in schema.fields if field.name not in names])

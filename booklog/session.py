@@ -30,11 +30,13 @@ def local_session(name: str, cpus: int | None = None, memory: str = "12g") -> Sp
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    Only where the session names none (a bare local run) does it fall back to a temporary
-    folder of this machine.
+    Only where the session names none and all runs on this machine does it fall back to a
+    temporary folder; on a cluster each executor would write to a disk of its own.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

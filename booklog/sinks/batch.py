@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
 
-from booklog.config import DatasetPaths
+from booklog.config import Store
 from booklog.operators import classified as split
 from booklog.operators.metrics import hourly_deltas
 from booklog.schema import BATCH_COMMIT, QUALITY_METRIC
@@ -21,7 +21,7 @@ class BatchSummary:
     dead_letter_count: int
 
 
-def write_batch(records: DataFrame, batch_id: int, paths: DatasetPaths) -> BatchSummary:
+def write_batch(records: DataFrame, batch_id: int, paths: Store) -> BatchSummary:
     """Classify broker records once and replace every output of the batch.
 
     The classified rows are cached, so decoding and parsing happen once for all outputs;
@@ -63,7 +63,7 @@ def replace_batch(frame: DataFrame, dataset: str, batch_id: int) -> None:
     frame.drop("batch_id").write.mode("overwrite").parquet(_directory(dataset, batch_id))
 
 
-def commit_batch(spark: SparkSession, summary: BatchSummary, paths: DatasetPaths) -> None:
+def commit_batch(spark: SparkSession, summary: BatchSummary, paths: Store) -> None:
     row = spark.createDataFrame([vars(summary)], BATCH_COMMIT).coalesce(1)
     row.write.mode("overwrite").json(_directory(paths.commits, summary.batch_id))
 

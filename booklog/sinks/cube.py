@@ -2,23 +2,23 @@
 
 from pyspark.sql import SparkSession
 
-from booklog.config import DatasetPaths
+from booklog.config import Store
 from booklog.operators.metrics import merge_metrics
 from booklog.schema import HOURLY_METRIC
 from booklog.sources import batches, storage
 
 
-def publish_metrics(spark: SparkSession, paths: DatasetPaths) -> int:
-    """Recompute the cube from every committed delta and swap it in; returns its rows.
+def publish_metrics(spark: SparkSession, paths: Store) -> int:
+    """Recompute the cube from every committed delta and make it current; returns its rows.
 
     Nothing is incremented, so running it again changes nothing.
     """
-    merged = merge_metrics(batches.hourly_deltas(spark, paths))
-    staged = storage.staging_path(paths.hourly_airline_metrics)
+    folder = storage.new_version(paths.hourly_airline_metrics)
     try:
-        merged.write.parquet(staged)
-        rows = spark.read.schema(HOURLY_METRIC).parquet(staged).count()
-        storage.swap(spark, staged, paths.hourly_airline_metrics)
-    finally:
-        storage.delete(spark, staged)
+        merge_metrics(batches.hourly_deltas(spark, paths)).write.parquet(folder)
+        rows = spark.read.schema(HOURLY_METRIC).parquet(folder).count()
+        storage.switch(spark, paths.hourly_airline_metrics, folder)
+    except Exception:
+        storage.delete(spark, folder)
+        raise
     return rows

@@ -38,14 +38,13 @@ def write_profile(
         raise ValueError("negative invalid_limit")
     if source.rstrip("/") == output.rstrip("/"):
         raise ValueError("source and output must differ")
-    storage.recover(spark, output)
-    if storage.exists(spark, output) and not overwrite:
+    if storage.current(spark, output) and not overwrite:
         raise FileExistsError(f"{output} exists; pass overwrite to replace it")
     started = time.perf_counter()
     lines = log_lines(spark, source, number_across_files=True)
     # Line numbers are only needed for the rejected records.
     unnumbered = spark.read.text(source).select(F.col("value").alias("raw_line"))
-    staged = storage.staging_path(output)
+    staged = storage.new_version(output)
     cube = line_metrics(clean_records(unnumbered)).persist()
     counts = profile.profile_counts(unnumbered).persist()
     copies = profile.line_copies(unnumbered)
@@ -84,9 +83,11 @@ def write_profile(
             "records_per_second", F.try_divide("physical_line_count", "elapsed_seconds")
         )
         row.coalesce(1).write.json(f"{staged}/{ARTIFACTS[0]}")
-        storage.swap(spark, staged, output)
+        storage.switch(spark, output, staged)
+    except Exception:
+        storage.delete(spark, staged)
+        raise
     finally:
         cube.unpersist()
         counts.unpersist()
-        storage.delete(spark, staged)
     return row

@@ -67,8 +67,11 @@ def publish(
         rows.write.parquet(folder)
         _verify(spark, snapshot, folder)
     except Exception as error:
-        storage.delete(spark, folder)
-        _log(spark, paths, snapshot, publication_id, "failed", started, str(error))
+        try:
+            storage.delete(spark, folder)
+            _log(spark, paths, snapshot, publication_id, "failed", started, str(error))
+        except Exception as second:  # the first error is the one to report
+            error.add_note(f"the failure could not be recorded: {second}")
         raise
     _log(spark, paths, snapshot, publication_id, "published", started, None)
     return _result(snapshot, publication_id, "published")

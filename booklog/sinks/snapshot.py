@@ -17,7 +17,7 @@ def export_snapshot(
     source_root: str,
     output_version: str,
 ) -> Snapshot:
-    """Write ``metrics.csv`` and ``manifest.json``, validate them, then swap them in.
+    """Write ``metrics.csv`` and ``manifest.json``, validate them, then make them current.
 
     The interchange format is one sorted file, so one task writes it: it sorts with spill
     to disk and streams, holding nothing whole in memory. The cube has at most 24 hours x
@@ -26,7 +26,7 @@ def export_snapshot(
     """
     if not source_root.strip() or not output_version.strip():
         raise ValueError("blank source_root or output_version")
-    staged = storage.staging_path(destination)
+    staged = storage.new_version(destination)
     try:
         ordered = to_snapshot(cube).repartition(1).sortWithinPartitions(*KEY)
         ordered.write.csv(f"{staged}/csv", header=True, lineSep="\n")
@@ -41,11 +41,12 @@ def export_snapshot(
         row = spark.createDataFrame([manifest], SNAPSHOT_MANIFEST).coalesce(1)
         row.write.json(f"{staged}/json")
         _promote(spark, f"{staged}/json", f"{staged}/{MANIFEST_FILE}")
-        storage.swap(spark, staged, destination)
-    finally:
+        storage.switch(spark, destination, staged)
+    except Exception:
         storage.delete(spark, staged)
+        raise
     return Snapshot(
-        snapshot_rows(spark, f"{destination}/{METRICS_FILE}"),
+        snapshot_rows(spark, f"{staged}/{METRICS_FILE}"),
         manifest["source_hdfs_root"],
         output_version,
         *[checked[name] for name in (*TOTALS, "metrics_sha256")],

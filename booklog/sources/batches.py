@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from booklog.config import DatasetPaths
+from booklog.config import Store
 from booklog.schema import (
     BATCH_COMMIT,
     CLEAN_EVENT,
@@ -18,7 +18,7 @@ from booklog.sources import storage
 BATCH_KEY = T.StructField("batch_id", T.LongType())
 
 
-def commits(spark: SparkSession, paths: DatasetPaths) -> DataFrame:
+def commits(spark: SparkSession, paths: Store) -> DataFrame:
     """One row per batch whose outputs are complete."""
     if not storage.exists(spark, paths.commits):
         return spark.createDataFrame([], BATCH_COMMIT)
@@ -30,40 +30,42 @@ def batches(
 ) -> DataFrame:
     """All committed batches of one dataset.
 
-    ``batch_id`` is the directory key, so the semi-join with the ledger prunes directories
-    of batches that are incomplete or being replaced.
+    The ledger has one small row per batch. Only the directories that it names are listed and
+    read, so a batch that is incomplete or being replaced cannot fail a reader.
     """
     fields = [field for field in schema.fields if field.name != BATCH_KEY.name]
     full_schema = T.StructType([*fields, BATCH_KEY])
-    if not storage.exists(spark, root):
+    complete = sorted({row.batch_id for row in committed.select("batch_id").collect()})
+    if not complete:
         return spark.createDataFrame([], full_schema)
-    stored = spark.read.schema(full_schema).parquet(root)
-    return stored.join(committed.select("batch_id"), "batch_id", "left_semi").select(
-        *full_schema.fieldNames()
-    )
+    folders = [f"{root}/{BATCH_KEY.name}={number}" for number in complete]
+    stored = spark.read.schema(full_schema).option("basePath", root).parquet(*folders)
+    return stored.select(*full_schema.fieldNames())
 
 
-def raw_events(spark: SparkSession, paths: DatasetPaths) -> DataFrame:
+def raw_events(spark: SparkSession, paths: Store) -> DataFrame:
     return batches(spark, paths.raw_events, RAW_EVENT, commits(spark, paths))
 
 
-def clean_events(spark: SparkSession, paths: DatasetPaths) -> DataFrame:
+def clean_events(spark: SparkSession, paths: Store) -> DataFrame:
     return batches(spark, paths.clean_events, CLEAN_EVENT, commits(spark, paths))
 
 
-def dead_letters(spark: SparkSession, paths: DatasetPaths) -> DataFrame:
+def dead_letters(spark: SparkSession, paths: Store) -> DataFrame:
     return batches(spark, paths.dead_letter, DEAD_LETTER, commits(spark, paths))
 
 
-def quality_metrics(spark: SparkSession, paths: DatasetPaths) -> DataFrame:
+def quality_metrics(spark: SparkSession, paths: Store) -> DataFrame:
     return batches(spark, paths.quality_metrics, QUALITY_METRIC, commits(spark, paths))
 
 
-def hourly_deltas(spark: SparkSession, paths: DatasetPaths) -> DataFrame:
+def hourly_deltas(spark: SparkSession, paths: Store) -> DataFrame:
     return batches(spark, paths.hourly_airline_deltas, HOURLY_DELTA, commits(spark, paths))
 
 
-def hourly_metrics(spark: SparkSession, paths: DatasetPaths) -> DataFrame:
-    """The merged cube."""
-    storage.recover(spark, paths.hourly_airline_metrics)
-    return spark.read.schema(HOURLY_METRIC).parquet(paths.hourly_airline_metrics)
+def hourly_metrics(spark: SparkSession, paths: Store) -> DataFrame:
+    """The merged cube, empty before the first merge."""
+    folder = storage.current(spark, paths.hourly_airline_metrics)
+    if folder is None:
+        return spark.createDataFrame([], HOURLY_METRIC)
+    return spark.read.schema(HOURLY_METRIC).parquet(folder)

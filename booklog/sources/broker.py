@@ -2,46 +2,43 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from booklog.config import PipelineSettings
+from booklog.config import BATCH_FILES, Topic
 from booklog.schema import BROKER_RECORD
 
 
-def kafka_options(settings: PipelineSettings) -> dict[str, str]:
-    options = {
-        "kafka.bootstrap.servers": settings.bootstrap_servers,
-        "subscribe": settings.topic,
-        "startingOffsets": settings.starting_offsets,
+def stream_options(topic: Topic) -> dict[str, str]:
+    found = {
+        "kafka.bootstrap.servers": topic.servers,
+        "subscribe": topic.name,
+        "startingOffsets": "earliest" if topic.from_start else "latest",
         "failOnDataLoss": "true",
+        "maxOffsetsPerTrigger": str(topic.batch_records),
     }
-    if settings.max_offsets_per_trigger:
-        options["maxOffsetsPerTrigger"] = str(settings.max_offsets_per_trigger)
-    if settings.min_partitions:
-        options["minPartitions"] = str(settings.min_partitions)
-    return options
+    return found | ({"minPartitions": str(topic.read_tasks)} if topic.read_tasks else {})
 
 
-def kafka_stream(spark: SparkSession, settings: PipelineSettings) -> DataFrame:
+def whole_topic_options(topic: Topic) -> dict[str, str]:
+    """Everything that the topic holds now, for the audit."""
+    return {
+        "kafka.bootstrap.servers": topic.servers,
+        "subscribe": topic.name,
+        "startingOffsets": "earliest",
+        "endingOffsets": "latest",
+    }
+
+
+def topic_stream(spark: SparkSession, topic: Topic) -> DataFrame:
     """Broker records of a topic; needs Spark's Kafka connector on the class path."""
-    return spark.readStream.format("kafka").options(**kafka_options(settings)).load()
+    return spark.readStream.format("kafka").options(**stream_options(topic)).load()
 
 
-def kafka_topic(spark: SparkSession, settings: PipelineSettings) -> DataFrame:
-    """Everything a topic holds now, for the audit."""
-    return (
-        spark.read.format("kafka")
-        .option("kafka.bootstrap.servers", settings.bootstrap_servers)
-        .option("subscribe", settings.topic)
-        .option("startingOffsets", "earliest")
-        .option("endingOffsets", "latest")
-        .load()
-    )
+def whole_topic(spark: SparkSession, topic: Topic) -> DataFrame:
+    return spark.read.format("kafka").options(**whole_topic_options(topic)).load()
 
 
 def record_file_stream(
-    spark: SparkSession, path: str, files_per_trigger: int | None = None
+    spark: SparkSession, path: str, files_per_batch: int = BATCH_FILES
 ) -> DataFrame:
-    """Broker records landed as Parquet, read as a stream."""
-    reader = spark.readStream.schema(BROKER_RECORD)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    """Broker records landed as Parquet, read as a stream in batches of so many files."""
+    reader = spark.readStream.schema(BROKER_RECORD).option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)

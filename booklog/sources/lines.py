@@ -1,20 +1,10 @@
 """Log text with physical line numbers, and the identity of source files."""
 
-import hashlib
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-# Files up to this size are hashed by built-in functions, one in memory per task.
-IN_MEMORY_FILE_BYTES = 128 << 20
-# The line offset table has one entry of some 200 bytes per split: at most 100 MB are
-# broadcast. Beyond that, wider splits (spark.sql.files.maxPartitionBytes) keep the
-# broadcast; otherwise a sort-merge join takes over.
-BROADCAST_SPLITS = 500_000
+# A file is read whole to be hashed; no binary value can be larger.
+WHOLE_FILE_BYTES = (1 << 31) - 1024
 
 
 class InvalidEncodingError(ValueError):
@@ -33,8 +23,9 @@ def log_lines(
 
     The text is never shuffled or sorted. A row's id counts up inside its read task, so its
     line number is that id plus an offset of its file split, and the offsets come from one
-    count per split. ``number_across_files`` numbers the parts of a directory, in name
-    order, as one file.
+    count per split. They are sent to all tasks as two numbers per split: a split of 128 MB
+    makes that 1.6 MB for every 10 TB of text. ``number_across_files`` numbers the parts of
+    a directory, in name order, as one file.
     """
     rows = spark.read.text(path, lineSep=line_separator).select(
         F.col("_metadata.file_path").alias("source_file"),
@@ -42,6 +33,7 @@ def log_lines(
         F.monotonically_increasing_id().alias("row_id"),
         F.col("value").alias("raw_line"),
     )
+    split = F.xxhash64("source_file", "block")
     splits = rows.groupBy("source_file", "block").agg(
         F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("lines")
     )
@@ -50,34 +42,20 @@ def log_lines(
     if not number_across_files:
         order = Window.partitionBy("source_file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        "source_file",
-        "block",
+    shifts = splits.select(
+        split.alias("split"),
         (F.coalesce(F.sum("lines").over(before), F.lit(0)) + 1 - F.col("first_id")).alias("shift"),
     )
-    if splits_of(spark, path) <= BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
-    return rows.join(offsets, ["source_file", "block"]).select(
+    # Two splits with one hash would number lines wrongly, so they are an error.
+    collision = F.raise_error(F.lit("two file splits share a hash"))
+    offsets = shifts.groupBy("split").agg(
+        F.when(F.count(F.lit(1)) == 1, F.min("shift")).otherwise(collision.cast("long")).alias("shift")
+    )
+    return rows.join(F.broadcast(offsets), split == F.col("split")).select(
         "source_file", (F.col("row_id") + F.col("shift")).alias("line_number"), "raw_line"
     )
 
 
-def splits_of(spark: SparkSession, path: str) -> int:
-    """Upper bound of the splits a text scan of ``path`` makes, from file sizes alone."""
-    files = spark.read.format("binaryFile").load(path).select("length")
-
-    def setting(name: str) -> int:
-        return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-            spark.conf.get(name)
-        )
-
-    opening = setting("spark.sql.files.openCostInBytes")
-    count, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-    per_core = (size + count * opening) // max(spark.sparkContext.defaultParallelism, 1)
-    widest = min(setting("spark.sql.files.maxPartitionBytes"), max(opening, per_core))
-    return count + size // widest
-
-
 def require_utf8(spark: SparkSession, path: str) -> None:
     """Raise unless every line is valid UTF-8; line breaks never split a character."""
     invalid = spark.read.text(path).filter(~F.is_valid_utf8("value"))
@@ -86,47 +64,26 @@ def require_utf8(spark: SparkSession, path: str) -> None:
 
 
 def file_identity(spark: SparkSession, path: str) -> DataFrame:
-    """``path, byte_size, sha256`` per file.
+    """``path, byte_size, sha256`` per file, by built-in functions through Spark's file systems.
 
-    A digest is sequential over its file, so files are the unit of parallelism. Listing
-    reads no content. Small files are hashed by built-in functions; larger ones are
-    streamed in constant memory, each by one task.
+    A digest is sequential over its file, so files are the unit of parallelism, and a task
+    holds one whole file. Files of 2 GiB and more are refused: no value can hold them.
     """
     files = spark.read.format("binaryFile").load(path)
-    is_small = F.col("length") <= IN_MEMORY_FILE_BYTES
-    small = files.filter(is_small).select(
-        "path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256")
-    )
-    large = files.filter(~is_small).select("path", F.col("length").alias("byte_size"))
-    if large.isEmpty():
-        return small
-    streamed = large.repartition("path").mapInPandas(
-        _stream_digests, "path string, byte_size long, sha256 string"
-    )
-    return small.unionByName(streamed)
-
-
-def _stream_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
-    for files in batches:
-        digests = []
-        for path in files["path"]:
-            # Local paths come as "file:/name"; the other schemes are proper URIs.
-            system, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
-            digest = hashlib.sha256()
-            with system.open_input_stream(name) as source:
-                while chunk := source.read(1 << 20):
-                    digest.update(chunk)
-            digests.append(digest.hexdigest())
-        yield files.assign(sha256=digests)
+    refused = F.raise_error(F.concat(F.lit("too large to hash: "), "path"))
+    digest = F.when(F.col("length") <= WHOLE_FILE_BYTES, F.sha2("content", 256)).otherwise(refused)
+    return files.select("path", F.col("length").alias("byte_size"), digest.alias("sha256"))
 
 
 def source_identity(spark: SparkSession, path: str) -> DataFrame:
-    """File count and total size next to the digest when the source is one file."""
-    identity = file_identity(spark, path)
-    return identity.agg(
-        F.count(F.lit(1)).alias("file_count"),
-        F.sum("byte_size").alias("byte_size"),
-        F.when(F.count(F.lit(1)) == 1, F.max("sha256")).alias("sha256"),
+    """File count and total size, and the digest of a source that is a single file.
+
+    The files of a larger source have digests of their own (``file_identity``); their content
+    is not read here.
+    """
+    sizes = spark.read.format("binaryFile").load(path).select("length")
+    count, size = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    digest = file_identity(spark, path).first().sha256 if count == 1 else None
+    return spark.createDataFrame(
+        [(count, size, digest)], "file_count long, byte_size long, sha256 string"
     )

@@ -35,13 +35,13 @@ def publication_log(spark: SparkSession, paths: ServingPaths) -> DataFrame:
 
 def latest_publication(log: DataFrame) -> DataFrame:
     """The newest published row, or none."""
-    return log.filter(F.col("status") == "published").orderBy(F.desc("completed_at")).limit(1)
+    return log.filter(F.col("status") == "published").orderBy(F.desc("completed_at"), F.desc("publication_id")).limit(1)
 
 
 def recent_publications(log: DataFrame, limit: int = 10) -> DataFrame:
     if not 1 <= limit <= 100:
         raise ValueError(f"limit {limit} is outside 1..100")
-    newest = log.orderBy(F.desc("started_at")).limit(limit)
+    newest = log.orderBy(F.desc("started_at"), F.desc("publication_id")).limit(limit)
     return newest.select(
         "publication_id",
         "status",

@@ -1,9 +1,18 @@
-"""File operations on whatever file system a path belongs to."""
+"""File operations on whatever file system a path belongs to, and versioned outputs.
+
+An output that is replaced as a whole is a folder of versions and markers. A version is
+written to a folder of its own that never changes; creating a marker makes it the current
+one. Readers only list markers, so they see an old or a new version and disturb no writer.
+"""
 
 from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
+MARKERS = "_current"
+# Versions that stay, so that a reader which began with one can finish.
+KEPT_VERSIONS = 3
+
 
 def _resolve(spark: SparkSession, path: str):
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -22,8 +31,11 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Moves a file or folder to a name that must be free."""
     file_system, from_path = _resolve(spark, source)
     _, to_path = _resolve(spark, target)
+    if file_system.exists(to_path):
+        raise FileExistsError(target)
     file_system.mkdirs(to_path.getParent())
     if not file_system.rename(from_path, to_path):
         raise OSError(f"cannot rename {source} to {target}")
@@ -35,33 +47,32 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in file_system.listStatus(target))
 
 
-def sibling(path: str, purpose: str) -> str:
-    """A hidden name next to ``path``, skipped by readers of the parent folder."""
-    parent, _, name = path.rstrip("/").rpartition("/")
-    return f"{parent}/.{name}.{purpose}"
+def new_version(target: str) -> str:
+    """A folder for the next version of an output; not current before ``switch``."""
+    return f"{target.rstrip('/')}/{uuid4().hex}"
 
 
-def staging_path(path: str) -> str:
-    return sibling(path, f"staging-{uuid4().hex}")
+def _markers(spark: SparkSession, target: str) -> list[tuple[int, str]]:
+    folder = f"{target.rstrip('/')}/{MARKERS}"
+    names = children(spark, folder) if exists(spark, folder) else []
+    pairs = (name.split("-") for name in names if not name.startswith("."))
+    return sorted((int(number), version) for number, version in pairs)
 
 
-def recover(spark: SparkSession, target: str) -> None:
-    """Bring back the previous output if a swap died between its two renames."""
-    backup = sibling(target, "previous")
-    if exists(spark, backup) and not exists(spark, target):
-        rename(spark, backup, target)
+def current(spark: SparkSession, target: str) -> str | None:
+    """The folder of the current version, if there is one."""
+    markers = _markers(spark, target)
+    return f"{target.rstrip('/')}/{markers[-1][1]}" if markers else None
 
 
-def swap(spark: SparkSession, staged: str, target: str) -> None:
-    """Replace ``target`` by ``staged``; the old output survives any failure."""
-    recover(spark, target)
-    backup = sibling(target, "previous")
-    if exists(spark, target):
-        delete(spark, backup)
-        rename(spark, target, backup)
-    try:
-        rename(spark, staged, target)
-    except Exception:
-        recover(spark, target)
-        raise
-    delete(spark, backup)
+def switch(spark: SparkSession, target: str, folder: str) -> None:
+    """Makes a written version the current one; versions long replaced are deleted."""
+    markers = _markers(spark, target)
+    number = markers[-1][0] + 1 if markers else 0
+    version = folder.rpartition("/")[2]
+    root = f"{target.rstrip('/')}/{MARKERS}"
+    file_system, marker = _resolve(spark, f"{root}/{number:012d}-{version}")
+    file_system.create(marker, False).close()
+    for old, name in markers[: max(0, len(markers) + 1 - KEPT_VERSIONS)]:
+        delete(spark, f"{root}/{old:012d}-{name}")
+        delete(spark, f"{target.rstrip('/')}/{name}")

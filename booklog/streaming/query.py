@@ -1,34 +1,28 @@
 """The one checkpointed ingest query and its progress."""
 
 import time
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from booklog.config import DatasetPaths, PipelineSettings
-from booklog.sinks.batch import BatchSummary, write_batch
+from booklog.config import Ingest
+from booklog.sinks.batch import write_batch
 
 
-def start_query(
-    records: DataFrame,
-    settings: PipelineSettings,
-    batch_writer: Callable[[DataFrame, int, DatasetPaths], BatchSummary] = write_batch,
-) -> StreamingQuery:
+def start_query(records: DataFrame, ingest: Ingest) -> StreamingQuery:
     """Route every micro-batch of broker records to the datasets.
 
     Checkpointed offsets give a batch the same id and rows on every retry, and outputs are
     replaced per id, so each record counts once.
     """
-    paths = settings.paths
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch_writer(batch, batch_id, paths)
+        write_batch(batch, batch_id, ingest.store)
 
-    writer = records.writeStream.foreachBatch(write).option("checkpointLocation", paths.checkpoint)
-    if settings.trigger == "available-now":
+    writer = records.writeStream.foreachBatch(write).option("checkpointLocation", ingest.checkpoint)
+    if ingest.every is None:
         return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=settings.processing_interval).start()
+    return writer.trigger(processingTime=ingest.every).start()
 
 
 def rows_seen(progress: list) -> int:

@@ -50,6 +50,12 @@ CASES = [
     ((b"k", None), "invalid_json", "missing_value"),
     ((b"k", b"not-json"), "invalid_json", "invalid_json"),
     ((b"k", b"[1]"), "invalid_json", "not_an_object"),
+    ((message(GOOD)[0], message(GOOD)[1] + b" junk"), "invalid_json", "invalid_json"),
+    ((message(GOOD)[0], message(GOOD)[1] * 2), "invalid_json", "invalid_json"),
+    ((message(GOOD)[0], message(GOOD)[1] + b"," + message(GOOD)[1]), "invalid_json", "invalid_json"),
+    ((message(GOOD)[0], b" " + message(GOOD)[1] + b"\n"), None, None),
+    ((message(GOOD)[0], b'{"group_id":"other",' + message(GOOD)[1][1:]), None, "invalid_json"),
+    ((b"k", b""), "invalid_json", "invalid_json"),
     ((b"k", message(GOOD)[1][:-1]), "invalid_json", "invalid_json"),
     ((b"k", message(GOOD)[1].replace(b"\xe4\xb8\xad", b"\xff\xfe")), "invalid_json", "invalid_utf8"),
     ((b"k", b"{}"), "missing_required_fields", "missing_fields"),
@@ -160,6 +166,11 @@ def test_topic_verification(spark):
     assert tuple(audit.verify_topic(records).first()) == (4, 3, 1, 1)
     counts = [tuple(row) for row in audit.partition_counts(records).collect()]
     assert counts == [(0, 2), (1, 1), (2, 1)]
+    report = audit.topic_report(records, 4).first()
+    assert report.partition_counts == {0: 2, 1: 1, 2: 1} and not report.sound
+    once = topic(spark, first, second)
+    assert audit.topic_report(once, 2).first().sound
+    assert not audit.topic_report(once, 3).first().sound
 
 
 def test_no_python_in_the_hot_path(spark):
@@ -200,6 +211,8 @@ def test_confirmed_prefix_and_gaps_against_brute_force(spark):
     }
     assert found == expected_prefix
     assert {tuple(row) for row in audit.line_gaps(lines).collect()} == expected_gaps
+    for df in (audit.confirmed_prefix(lines), audit.line_gaps(lines)):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_reconcile_lists_only_differences(spark):

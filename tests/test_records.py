@@ -94,9 +94,9 @@ def test_token_boundaries(spark):
         ",CA:success MU:success": ["CA", "MU"],
     }
     lines = frame(spark, *[f"G,ITARES,20180830,1,t,{text}" for text in payloads])
-    rows = metrics.success_token_rows(records.clean_records(lines))
+    rows = metrics.token_rows(records.clean_records(lines))
     found = {number: [] for number in range(1, len(payloads) + 1)}
-    for row in rows.orderBy("line_number", "token_ordinal").collect():
+    for row in rows.orderBy("line_number", "place").collect():
         found[row.line_number].append(row.airline_code)
     assert list(found.values()) == list(payloads.values())
 
@@ -127,7 +127,7 @@ def test_a_repeated_event_counts_its_tokens_again_but_one_response(spark):
     clean = records.clean_records(frame(spark, line, line))
     same_id = clean.withColumn("event_id", F.lit("ab" * 32))
     assert cube(metrics.event_metrics(same_id)) == {"CA": (1, 4)}
-    tokens = metrics.success_token_rows(same_id)
+    tokens = metrics.token_rows(same_id)
     joined = metrics.join_metrics(metrics.response_counts(tokens), metrics.token_counts(tokens))
     assert cube(joined) == {"CA": (1, 4)}
 
@@ -135,11 +135,11 @@ def test_a_repeated_event_counts_its_tokens_again_but_one_response(spark):
 def test_merge_recomputes_from_all_deltas(spark):
     deltas = spark.createDataFrame(
         [
-            (0, "20180830", 19, "CA", 2, 3),
-            (1, "20180830", 19, "CA", 4, 5),
-            (1, "20180830", 19, "MU", 1, 1),
+            (0, "20180830", 19, "CA", 7, 11),
+            (5, "20180830", 19, "CA", 1, 2),
+            (5, "20180830", 19, "MU", 9, 9),
         ],
         "batch_id long, event_date string, event_hour int, airline_code string, "
         "successful_response_records long, success_token_count long",
     )
-    assert cube(metrics.merge_metrics(deltas)) == {"CA": (6, 8), "MU": (1, 1)}
+    assert cube(metrics.merge_metrics(deltas)) == {"CA": (8, 13), "MU": (9, 9)}
