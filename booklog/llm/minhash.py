@@ -27,30 +27,33 @@ HASHES = 64
 BITS = 4
 ROWS = 3
 BANDS = HASHES // ROWS
+# Of the finer sketch that only documents with a close one get.
+SKETCH_HASHES = 1024
+SKETCH_BITS = 2
 # Standard errors below the threshold at which an estimate still counts as close.
 MARGIN = 4.0
-_BLOCK = 512
+_BLOCK = 256
 
 _random = np.random.default_rng(77)
-_ADD = _random.integers(0, 2**32, HASHES, dtype=np.uint32)
-_MULTIPLY = _random.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _random.integers(0, 2**32, SKETCH_HASHES, dtype=np.uint32)
+_MULTIPLY = _random.integers(0, 2**31, SKETCH_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def least_matches(similarity: int = SIMILARITY) -> int:
+def least_matches(similarity: int = SIMILARITY, hashes: int = HASHES, bits: int = BITS) -> int:
     """Equal low-bit patterns of two signatures from which a pair counts as close.
 
-    Patterns of different minima are equal once in 2^BITS, so at similarity s a share of
-    s + (1 - s) / 2^BITS agrees; the bound lies ``MARGIN`` standard errors below.
+    Patterns of different minima are equal once in 2^bits, so at similarity s a share of
+    s + (1 - s) / 2^bits agrees; the bound lies ``MARGIN`` standard errors below.
     """
-    chance = 1 / (1 << BITS)
+    chance = 1 / (1 << bits)
     share = similarity / 100 * (1 - chance) + chance
-    return max(1, math.floor(HASHES * (share - MARGIN * math.sqrt(share * (1 - share) / HASHES))))
+    return max(1, math.floor(hashes * (share - MARGIN * math.sqrt(share * (1 - share) / hashes))))
 
 
-def estimate(matches: int) -> float:
+def estimate(matches: int, hashes: int = HASHES, bits: int = BITS) -> float:
     """The similarity that so many equal patterns speak for, corrected for chance."""
-    chance = 1 / (1 << BITS)
-    return max(0.0, (matches / HASHES - chance) / (1 - chance))
+    chance = 1 / (1 << bits)
+    return max(0.0, (matches / hashes - chance) / (1 - chance))
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, words: int) -> list[np.ndarray]:
@@ -64,14 +67,14 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, words: int) -> list[np.nd
     ]
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
+def minima(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
     """The least value of each hash function on each of the sets, none of which is empty."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     begins = np.cumsum(sizes) - sizes
     values = np.concatenate(sets)
     values = (values ^ (values >> np.uint64(32))).astype(np.uint32)
-    found = np.empty((len(sets), HASHES), np.uint32)
-    for at in range(HASHES):
+    found = np.empty((len(sets), hashes), np.uint32)
+    for at in range(hashes):
         hashed = (values ^ _ADD[at]) * _MULTIPLY[at]
         hashed ^= hashed >> np.uint32(15)
         hashed *= np.uint32(0x2C1B3C6D)
@@ -86,23 +89,23 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def signatures(least: np.ndarray) -> np.ndarray:
+def signatures(least: np.ndarray, bits: int = BITS) -> np.ndarray:
     """The low bits of the minima, packed into 64-bit words."""
-    low = mix(least.astype(np.uint64)) & np.uint64((1 << BITS) - 1)
-    per_word = 64 // BITS
-    shifts = np.arange(per_word, dtype=np.uint64) * np.uint64(BITS)
+    low = mix(least.astype(np.uint64)) & np.uint64((1 << bits) - 1)
+    per_word = 64 // bits
+    shifts = np.arange(per_word, dtype=np.uint64) * np.uint64(bits)
     return np.bitwise_or.reduce(low.reshape(len(least), -1, per_word) << shifts, axis=2)
 
 
-def equal_patterns(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def equal_patterns(left: np.ndarray, right: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Equal patterns between all rows of two signature tables, by bit counts."""
     different = left[:, None, :] ^ right[None, :, :]
     step = 1
-    while step < BITS:
+    while step < bits:
         different |= different >> np.uint64(step)
         step *= 2
-    ones = np.uint64(sum(1 << (BITS * k) for k in range(64 // BITS)))
-    return HASHES - np.bitwise_count(different & ones).sum(axis=2, dtype=np.int64)
+    ones = np.uint64(sum(1 << (bits * k) for k in range(64 // bits)))
+    return left.shape[1] * 64 // bits - np.bitwise_count(different & ones).sum(axis=2, dtype=np.int64)
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
@@ -170,14 +173,14 @@ def _by_bucket(batches, columns: list[str]):
         yield pa.Table.from_batches(held)
 
 
-def _signature_table(rows: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+def _packed(rows: pa.Table, column: str) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column(column).to_pylist()), np.uint64).reshape(rows.num_rows, -1)
 
 
-def _blocks(table: np.ndarray):
+def _blocks(table: np.ndarray, bits: int = BITS):
     for low in range(0, len(table), _BLOCK):
         for right in range(low, len(table), _BLOCK):
-            yield low, right, equal_patterns(table[low : low + _BLOCK], table[right : right + _BLOCK])
+            yield low, right, equal_patterns(table[low : low + _BLOCK], table[right : right + _BLOCK], bits)
 
 
 def nearest_and_central(table: np.ndarray, enough: int) -> set[tuple[int, int]]:
@@ -214,7 +217,7 @@ def proposed(bucketed: DataFrame, enough: int) -> DataFrame:
             if rows.num_rows < 2:
                 continue
             names = rows.column("class").to_pylist()
-            for a, b in nearest_and_central(_signature_table(rows), enough):
+            for a, b in nearest_and_central(_packed(rows, "signature"), enough):
                 left.append(min(names[a], names[b]))
                 right.append(max(names[a], names[b]))
             if len(left) > 50_000:
@@ -226,44 +229,52 @@ def proposed(bucketed: DataFrame, enough: int) -> DataFrame:
     return dealt.mapInArrow(propose, "a binary, b binary").filter("a != b").distinct()
 
 
-def unconnected(bucketed: DataFrame, roots: DataFrame, enough: int) -> DataFrame:
-    """Close pairs of a bucket that confirmed links do not connect yet."""
+def unconnected(bucketed: DataFrame, sketched: DataFrame, similarity: int) -> DataFrame:
+    """Close pairs of a bucket that confirmed links do not connect yet.
+
+    They are weeded out by the finer sketch, since a large group of copies may have many that
+    are almost similar enough.
+    """
+    enough = least_matches(similarity, SKETCH_HASHES, SKETCH_BITS)
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def propose(batches):
-        for rows in _by_bucket(batches, ["class", "signature", "root"]):
+        for rows in _by_bucket(batches, ["class", "sketch", "root"]):
             codes = rows.column("root").combine_chunks().dictionary_encode()
             codes = codes.indices.to_numpy()
             if len(codes) < 2 or (codes == codes[0]).all():
                 continue
             names = rows.column("class").combine_chunks()
-            for left, right, matches in _blocks(_signature_table(rows)):
+            for left, right, matches in _blocks(_packed(rows, "sketch"), SKETCH_BITS):
                 apart = codes[left : left + _BLOCK, None] != codes[None, right : right + _BLOCK]
                 a, b = np.nonzero((matches >= enough) & apart)
                 if len(a):
                     yield batch_of(schema, names.take(pa.array(a + left)), names.take(pa.array(b + right)))
 
-    labelled = bucketed.join(roots, F.col("class") == F.col("node")).select("band", "class", "signature", "root")
+    labelled = bucketed.select("band", "class").join(sketched, "class").select("band", "class", "sketch", "root")
     dealt = labelled.repartition("band").sortWithinPartitions("band", "class")
     found = dealt.mapInArrow(propose, "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def sets_of(docs: DataFrame, wanted: np.ndarray, words: int) -> DataFrame:
-    """``class, members`` of the texts whose key is in the bitmap, once per class, stored."""
+    """``class, members, sketch`` of texts whose key is in the bitmap, once per class, stored."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
-    schema = pa.schema([("class", pa.binary()), ("members", pa.list_(pa.int64()))])
+    schema = pa.schema([("class", pa.binary()), ("members", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def gather(batches):
         for batch in batches:
             kept = batch.filter(pa.array(in_filter(shared.value, batch.column("key_1").to_numpy())))
             for _, data, bounds in text_slices([kept], "text"):
-                sets = shingle_sets(data, bounds, words)
+                sets = [x for x in shingle_sets(data, bounds, words) if len(x)]
+                if not sets:
+                    continue
                 classes = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-                yield batch_of(schema, classes, [x.view(np.int64) for x in sets])
+                packed = signatures(minima(sets, SKETCH_HASHES), SKETCH_BITS)
+                yield batch_of(schema, classes, [x.view(np.int64) for x in sets], [x.tobytes() for x in packed])
 
     read = docs.select(text_key(whole_text())[0], whole_text().alias("text"))
-    found = read.mapInArrow(gather, "class binary, members array<long>")
+    found = read.mapInArrow(gather, "class binary, members array<long>, sketch binary")
     return stored(found.dropDuplicates(["class"]), "minhash-sets")
 
 
@@ -301,10 +312,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     sets = sets_of(docs, filter_of(wanted, "key_1"), words)
     links = confirmed(pairs, sets, similarity)
     roots = components(links)
-    labels = nodes.join(roots, F.col("class") == F.col("node"), "left").select(
-        F.col("class").alias("node"), F.coalesce("root", "class").alias("root")
+    sketched = sets.select("class", "sketch").join(roots, F.col("class") == F.col("node"), "left").select(
+        "class", "sketch", F.coalesce("root", "class").alias("root")
     )
-    more = unconnected(bucketed, stored(labels, "minhash-labels"), enough)
+    more = stored(unconnected(bucketed, sketched, similarity), "minhash-more")
     links = links.unionByName(confirmed(more.join(pairs, ["a", "b"], "left_anti"), sets, similarity))
     roots = components(links)
     least = rows.groupBy("class").agg(F.min("doc_id").alias("least"))
