@@ -17,16 +17,10 @@ AIRLINE_CODES = ("CZ", "MU", "CA", "HX", "CX", "KA", "HU", "KL", "MF", "3U")
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table, spread over the cores when it comes in fewer pieces than there are cores.
-
-    Deriving the log costs far more than moving the narrow rows it derives from. A table
-    with enough files or row groups is read as it is, without a shuffle.
-    """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    """The columns of the table that the log derives from, read as they lie."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
         "event_id", "ts", "user_id", "event_type"
     )
-    cores = spark.sparkContext.defaultParallelism
-    return events if events.rdd.getNumPartitions() >= cores else events.repartition(cores)
 
 
 def _code(key: Column) -> Column:

@@ -436,7 +436,9 @@ def _snapshot_queries() -> dict[str, str]:
               successful_response_records || ',' || successful_booking_tokens, chr(10)
               ORDER BY stat_date, stat_hour, airline_code) || chr(10)) AS metrics_sha256
             FROM snapshot""",
-        "src_serving": f"WITH {_DAYS} SELECT * FROM daily",
+        "src_serving": f"""WITH {_SERVING} SELECT strftime(stat_date, '%Y-%m-%d') AS stat_date,
+            stat_hour, airline_code, successful_response_records, success_token_count
+            FROM serving""",
         "q_latest_publication": f"WITH {_DAYS} SELECT * FROM publication_log {newest}",
         "q_recent_publications": f"""WITH {_DAYS} SELECT publication_id, status,
             source_row_count AS row_count, metrics_sha256, completed_at

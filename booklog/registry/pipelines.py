@@ -4,7 +4,6 @@ Every run writes to new folders below the shared checkpoint folder. Queries that
 what one ingest stored share that ingest within a session.
 """
 
-from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,8 @@ from booklog.config import Ingest, Store
 from booklog.operators.audit import broker_locations
 from booklog.operators.snapshot_checks import to_snapshot
 from booklog.plans.cycle import inspect_outputs, output_counts, refresh
-from booklog.registry.queries import broker_records, log_cube, log_lines, query
+from booklog.registry.queries import broker_records, query
+from booklog.registry.stores import log_cube, log_lines, shared
 from booklog.schema import MEASURES, RAW_EVENT, SNAPSHOT_COLUMNS, SNAPSHOT_MANIFEST
 from booklog.session import scratch_folder
 from booklog.sinks.batch import write_batch
@@ -31,23 +31,6 @@ from booklog.sources.snapshot import manifest_violation, snapshot_lines
 from booklog.streaming.query import await_rows, rows_seen, start_query
 
 
-# Folders of outputs that several queries read, by session and table folder.
-_SHARED: dict[tuple[str, str, str], str] = {}
-
-
-def _shared(
-    spark: SparkSession, sf_dir: str, purpose: str, build: Callable[[str], None]
-) -> str:
-    """A folder filled by ``build``, reused within the session while it exists."""
-    key = (spark.sparkContext.applicationId, sf_dir, purpose)
-    folder = _SHARED.get(key)
-    if folder is None or not storage.exists(spark, folder):
-        folder = scratch_folder(spark, purpose)
-        build(folder)
-        _SHARED[key] = folder
-    return folder
-
-
 def _settings_below(root: str) -> Ingest:
     return Ingest(Store(f"{root}/data"), f"{root}/checkpoint")
 
@@ -71,7 +54,7 @@ def ingested(spark: SparkSession, sf_dir: str) -> Ingest:
         write_batch(broker_records(spark, sf_dir), 0, paths)
         publish_metrics(spark, paths)
 
-    return _settings_below(_shared(spark, sf_dir, "ingest", build))
+    return _settings_below(shared(spark, sf_dir, "ingest", build))
 
 
 def exported(spark: SparkSession, sf_dir: str) -> str:
@@ -80,7 +63,7 @@ def exported(spark: SparkSession, sf_dir: str) -> str:
     def build(root: str) -> None:
         export_snapshot(spark, log_cube(spark, sf_dir), root, "events-root", "v1")
 
-    return storage.current(spark, _shared(spark, sf_dir, "snapshot", build))
+    return storage.current(spark, shared(spark, sf_dir, "snapshot", build))
 
 
 def _stage_counts(df: DataFrame) -> DataFrame:

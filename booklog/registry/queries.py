@@ -15,7 +15,8 @@ from booklog.operators import (
     serving,
     snapshot_checks,
 )
-from booklog.plans.event_log import event_envelopes, event_lines, event_records, read_events
+from booklog.plans.event_log import event_envelopes, event_records, read_events
+from booklog.registry.stores import log_cube, log_lines, published
 from booklog.schema import MEASURES, SNAPSHOT_COLUMNS
 from booklog.sources import serving as publications
 
@@ -36,18 +37,9 @@ def queries() -> dict[str, Query]:
     return dict(_REGISTRY)
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_lines(read_events(spark, sf_dir))
-
-
-def log_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.line_metrics(records.clean_records(log_lines(spark, sf_dir)))
-
-
 def served(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.serving_rows(
-        log_cube(spark, sf_dir), F.lit("current"), F.lit(None).cast("timestamp")
-    )
+    """The published table, as the analytical queries read it."""
+    return publications.serving_table(spark, published(spark, sf_dir))
 
 
 def _iso(name: str):
@@ -112,7 +104,16 @@ def _(spark, sf_dir):
 @query("q_overview")
 def _(spark, sf_dir):
     result = serving.overview(served(spark, sf_dir))
-    return result.withColumns({"start_date": _iso("start_date"), "end_date": _iso("end_date")})
+    newest = publications.current_publication(spark, published(spark, sf_dir)).first()
+    is_newest = F.col("publication_id") == newest.publication_id
+    return result.withColumns(
+        {
+            "start_date": _iso("start_date"),
+            "end_date": _iso("end_date"),
+            # Ids are random, so the query tells whether it is the newest.
+            "publication_id": F.when(is_newest, "current").otherwise("other"),
+        }
+    )
 
 
 @query("q_timeline")
@@ -463,7 +464,7 @@ def _plain_times(df: DataFrame) -> DataFrame:
 
 @query("src_serving")
 def _(spark, sf_dir):
-    rows = daily_serving(spark, sf_dir).drop("updated_at")
+    rows = served(spark, sf_dir).drop("updated_at", "publication_id")
     return rows.withColumn("stat_date", _iso("stat_date"))
 
 

@@ -10,6 +10,8 @@ from booklog.plans.cycle import inspect_outputs, output_counts, refresh
 from booklog.schema import BROKER_RECORD, HOURLY_METRIC
 from booklog.sinks import batch as batch_sink
 from booklog.sinks.batch import commit_batch, write_batch
+from booklog.operators.envelope import verify_strictly
+from booklog.sinks.broker import file_records, send_options, write_to_topic
 from booklog.sinks.cube import publish_metrics
 from booklog.sinks.profile import write_profile
 from booklog.sinks.publication import PublicationError, publish, validate_serving
@@ -474,6 +476,21 @@ def test_kafka_options_and_missing_connector(spark):
             read(spark, topic)
 
 
+def test_a_log_file_becomes_records_and_is_sent(spark, tmp_path):
+    assert send_options("broker:1", "log")["kafka.acks"] == "all"
+    assert send_options("broker:1", "log")["kafka.enable.idempotence"] == "true"
+    (tmp_path / "day.log").write_text("A,ITARES,20180830,1,t,CA:success;\nB,ITAREQ,20180830,2,t\n")
+    records = file_records(spark, f"{tmp_path}/day.log")
+    verdicts = verify_strictly(records).collect()
+    assert [row.violation for row in verdicts] == [None, None]
+    values = [json.loads(bytes(row.value)) for row in records.collect()]
+    digest = hashlib.sha256((tmp_path / "day.log").read_bytes()).hexdigest()
+    assert {(v["source_file"], v["source_file_sha256"]) for v in values} == {("day.log", digest)}
+    assert sorted(v["source_line_number"] for v in values) == [1, 2]
+    with pytest.raises(Exception, match="kafka"):
+        write_to_topic(records, "broker:1", "log")
+
+
 @pytest.mark.parametrize(
     "make",
     [
