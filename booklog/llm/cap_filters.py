@@ -26,6 +26,7 @@ LEAST_DIMENSIONS = 64
 # Rows of a filter that one task compares with each other; fuller filters are split.
 BUCKET_ROWS = 4096
 _BLOCK = 1024
+_PAIR_WORDS = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -161,6 +162,18 @@ def _merge(roots: np.ndarray, rows: np.ndarray, columns: np.ndarray, linked: np.
             roots[np.isin(roots, met)] = met[0]
 
 
+def _first_links(linked: np.ndarray, left: np.ndarray, right: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """The copies that each row is linked with and shares no earlier filter with."""
+    rows, columns = np.nonzero(linked)
+    found = np.zeros(len(linked), np.int64)
+    step = max(1, _PAIR_WORDS // left.shape[1])
+    for low in range(0, len(rows), step):
+        a, b = rows[low : low + step], columns[low : low + step]
+        fresh = ~(left[a] & right[b]).any(axis=1)
+        found += np.bincount(a[fresh], copies[b[fresh]], len(linked)).astype(np.int64)
+    return found
+
+
 def _compared(rows: pa.Table, cosine: float):
     """Links of each row counted in this filter only, and a forest that connects the linked."""
     number = rows.column("filter")[0].as_py()
@@ -176,25 +189,27 @@ def _compared(rows: pa.Table, cosine: float):
     # Filters before this one: a pair that shares one of them is counted there.
     before = every < number
     _, columns, counts = np.unique(every[before], return_inverse=True, return_counts=True)
-    member = np.zeros((rows.num_rows, int((counts > 1).sum())), np.float32)
     column_of = np.cumsum(counts > 1) - 1
     shared = (counts > 1)[columns]
-    member[owners[before][shared], column_of[columns[shared]]] = 1
+    places = column_of[columns[shared]]
+    # A bit per earlier filter that two rows or more have: at most 2 KiB a row.
+    member = np.zeros((rows.num_rows, int((counts > 1).sum()) // 64 + 1), np.uint64)
+    bits = np.uint64(1) << (places % 64).astype(np.uint64)
+    np.bitwise_or.at(member, (owners[before][shared], places // 64), bits)
     links = np.zeros(rows.num_rows, np.int64)
     roots = np.arange(rows.num_rows)
-    places = np.arange(rows.num_rows)
+    numbers = np.arange(rows.num_rows)
     for top in range(0, rows.num_rows, _BLOCK):
         for left in range(0, rows.num_rows, _BLOCK):
             i, j = slice(top, top + _BLOCK), slice(left, left + _BLOCK)
             linked = scaled[i] @ scaled[j].T >= cosine * lengths[i, None] * lengths[None, j]
-            linked &= places[i, None] != places[None, j]
+            linked &= numbers[i, None] != numbers[None, j]
             if low != high:
                 linked &= parts[i, None] != parts[None, j]
             if not linked.any():
                 continue
-            _merge(roots, places[i], places[j], linked)
-            counted = linked & (member[i] @ member[j].T == 0) if member.shape[1] else linked
-            links[i] += counted @ copies[j]
+            _merge(roots, numbers[i], numbers[j], linked)
+            links[i] += _first_links(linked, member[i], member[j], copies[j])
     return links, roots
 
 
