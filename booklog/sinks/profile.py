@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from booklog.operators import profile
 from booklog.operators.audit import one_row
-from booklog.operators.metrics import line_metrics
-from booklog.operators.records import clean_records
 from booklog.operators.snapshot_checks import KEY, to_snapshot
+from booklog.session import scratch_folder
 from booklog.sources import storage
-from booklog.sources.lines import InvalidEncodingError, log_lines, source_identity
+from booklog.sources.lines import InvalidEncodingError, numbered, source_identity, split_rows
 
 ARTIFACTS = (
     "profile.json",
@@ -19,6 +18,7 @@ ARTIFACTS = (
     "invalid_records.csv",
     "duplicate_summary.json",
     "log_type_counts.json",
+    "duplicate_totals.json",
 )
 
 
@@ -31,8 +31,10 @@ def write_profile(
 ) -> DataFrame:
     """Profile a log file or folder; returns the profile row.
 
-    ``profile.json`` is one row. Whatever grows with the source (log types, duplicates,
-    the cube) is a dataset of its own, in the promised order, written in parallel.
+    ``profile.json`` is one row, ``duplicate_totals.json`` another. Whatever grows with the
+    source (log types, duplicates, the cube) is a dataset of its own, in the promised order,
+    written in parallel. The source is read twice, for the facts and to number the rejected
+    lines, and a single file once more for its digest.
     """
     if invalid_limit < 0:
         raise ValueError("negative invalid_limit")
@@ -41,26 +43,26 @@ def write_profile(
     if storage.current(spark, output) and not overwrite:
         raise FileExistsError(f"{output} exists; pass overwrite to replace it")
     started = time.perf_counter()
-    lines = log_lines(spark, source, number_across_files=True)
-    # Line numbers are only needed for the rejected records.
-    unnumbered = spark.read.text(source).select(F.col("value").alias("raw_line"))
+    rows = split_rows(spark, source)
     staged = storage.new_version(output)
-    cube = line_metrics(clean_records(unnumbered)).persist()
-    counts = profile.profile_counts(unnumbered).persist()
-    copies = profile.line_copies(unnumbered)
+    work = scratch_folder(spark, "profile")
     try:
-        # The same pass that counts the lines finds the ones that are not UTF-8.
+        profile.profile_facts(rows).write.partitionBy("kind").parquet(work)
+        facts = spark.read.schema(profile.profile_facts(rows).schema).parquet(work)
+        counts, cube = profile.facts_of_lines(facts), profile.facts_of_cube(facts)
         undecodable = counts.agg(F.sum("undecodable")).first()[0]
         if undecodable:
             raise InvalidEncodingError(f"{source}: {undecodable} lines are not valid UTF-8")
         to_snapshot(cube).orderBy(*KEY).write.csv(f"{staged}/{ARTIFACTS[1]}", header=True)
-        profile.invalid_records(lines, invalid_limit).write.csv(
-            f"{staged}/{ARTIFACTS[2]}", header=True
-        )
+        rejected = profile.rejected_lines(rows)
+        lines = numbered(rejected, profile.facts_of_splits(facts), number_across_files=True)
+        profile.first_rejected(lines, invalid_limit).write.csv(f"{staged}/{ARTIFACTS[2]}", header=True)
         duplicates = f"{staged}/{ARTIFACTS[3]}"
-        profile.duplicate_fingerprints(copies).write.json(duplicates)
+        profile.duplicate_fingerprints(profile.facts_of_copies(facts)).write.json(duplicates)
         repeated = spark.read.schema("sha256 string, occurrences bigint").json(duplicates)
         profile.log_type_counts(counts).orderBy("log_type").write.json(f"{staged}/{ARTIFACTS[4]}")
+        totals = profile.duplicate_totals(repeated)
+        totals.coalesce(1).write.json(f"{staged}/{ARTIFACTS[5]}")
         reasons = profile.failure_reason_counts(counts).agg(
             F.map_from_entries(
                 F.array_sort(F.collect_list(F.struct("failure_reason", "records")))
@@ -70,7 +72,8 @@ def write_profile(
             source_identity(spark, source),
             profile.profile_totals(counts, cube),
             reasons,
-            profile.duplicate_totals(repeated),
+            profile.known_type_counts(counts),
+            totals,
         ).withColumns(
             {
                 "source_name": F.lit(source.rstrip("/").rpartition("/")[2]),
@@ -88,6 +91,5 @@ def write_profile(
         storage.delete(spark, staged)
         raise
     finally:
-        cube.unpersist()
-        counts.unpersist()
+        storage.delete(spark, work)
     return row

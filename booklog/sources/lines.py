@@ -27,21 +27,33 @@ def log_lines(
     makes that 1.6 MB for every 10 TB of text. ``number_across_files`` numbers the parts of
     a directory, in name order, as one file.
     """
-    rows = spark.read.text(path, lineSep=line_separator).select(
+    rows = split_rows(spark, path, line_separator)
+    splits = rows.groupBy("source_file", "block").agg(
+        F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("lines")
+    )
+    return numbered(rows, splits, number_across_files).select(
+        "source_file", "line_number", "raw_line"
+    )
+
+
+def split_rows(spark: SparkSession, path: str, line_separator: str | None = None) -> DataFrame:
+    """``source_file, block, row_id, raw_line``: ids count up inside each file split."""
+    return spark.read.text(path, lineSep=line_separator).select(
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row_id"),
         F.col("value").alias("raw_line"),
     )
-    split = F.xxhash64("source_file", "block")
-    splits = rows.groupBy("source_file", "block").agg(
-        F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("lines")
-    )
+
+
+def numbered(rows: DataFrame, splits: DataFrame, number_across_files: bool) -> DataFrame:
+    """``rows`` with ``line_number``, from the first id and the line count of every split."""
     # The windows see one row per split, not per line.
     order = Window.orderBy("source_file", "block")
     if not number_across_files:
         order = Window.partitionBy("source_file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
+    split = F.xxhash64("source_file", "block")
     shifts = splits.select(
         split.alias("split"),
         (F.coalesce(F.sum("lines").over(before), F.lit(0)) + 1 - F.col("first_id")).alias("shift"),
@@ -52,7 +64,7 @@ def log_lines(
         F.when(F.count(F.lit(1)) == 1, F.min("shift")).otherwise(collision.cast("long")).alias("shift")
     )
     return rows.join(F.broadcast(offsets), split == F.col("split")).select(
-        "source_file", (F.col("row_id") + F.col("shift")).alias("line_number"), "raw_line"
+        *rows.columns, (F.col("row_id") + F.col("shift")).alias("line_number")
     )
 
 

@@ -380,6 +380,7 @@ def test_profile_of_a_mixed_file(spark, tmp_path):
         "duplicate_record_count": 1,
         "duplicate_group_count": 1,
         "failure_reason_counts": {"blank_line": 1, "too_few_fields": 1},
+        "log_type_counts": {"ITAREQ": 1, "ITARES": 3},
     }
     assert {name: row[name] for name in expected} == expected
     assert row["records_per_second"] > 0
@@ -388,6 +389,7 @@ def test_profile_of_a_mixed_file(spark, tmp_path):
     assert [tuple(r) for r in rejected] == [("4", "too_few_fields", "MALFORMED")]
     types = spark.read.json(f"{output}/log_type_counts.json").collect()
     assert {r.log_type: r.records for r in types} == {"ITARES": 3, "ITAREQ": 1}
+    assert tuple(spark.read.json(f"{output}/duplicate_totals.json").first()) == (1, 1)
     metrics = spark.read.csv(f"{output}/hourly_airline_metrics.csv", header=True).collect()
     assert [tuple(r) for r in metrics] == [("20180830", "19", "CA", "3", "4")]
     with pytest.raises(FileExistsError):
