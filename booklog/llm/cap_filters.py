@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .shared import batch_of, stored
@@ -123,6 +124,8 @@ def _units(vectors: np.ndarray) -> np.ndarray:
 
 
 def _spread(classes: DataFrame) -> DataFrame:
+    """A row per class and filter."""
+
     def spread(batches):
         for whole in batches:
             for low in range(0, whole.num_rows, 256):
@@ -134,7 +137,7 @@ def _spread(classes: DataFrame) -> DataFrame:
                     [*(c.take(pa.array(owners)) for c in rows.columns), pa.array(every)], names=[*rows.schema.names, "filter"]
                 )
 
-    return classes.mapInArrow(spread, f"{classes._jdf.schema().toDDL()}, filter int")
+    return classes.mapInArrow(spread, T.StructType([*classes.schema.fields, T.StructField("filter", T.IntegerType())]))
 
 
 def dealt(classes: DataFrame) -> DataFrame:
@@ -219,7 +222,6 @@ def verified(buckets: DataFrame, cosine: float) -> DataFrame:
     key = ["label", "dimensions", "filter", "low", "high"]
     columns = [*key, "part", "class", "vector", "filters", "copies"]
 
-
     def compare(batches):
         held, last = [], None
         for batch in batches:
