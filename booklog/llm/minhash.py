@@ -233,34 +233,40 @@ def unconnected(bucketed: DataFrame, sketched: DataFrame, similarity: int) -> Da
     """Close pairs of a bucket that confirmed links do not connect yet.
 
     They are weeded out by the finer sketch, since a large group of copies may have many that
-    are almost similar enough.
+    are almost similar enough. A pair is proposed in the first band that it shares only.
     """
     enough = least_matches(similarity, SKETCH_HASHES, SKETCH_BITS)
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def propose(batches):
-        for rows in _by_bucket(batches, ["class", "sketch", "root"]):
+        for rows in _by_bucket(batches, ["band", "class", "bands", "sketch", "root"]):
             codes = rows.column("root").combine_chunks().dictionary_encode()
             codes = codes.indices.to_numpy()
             if len(codes) < 2 or (codes == codes[0]).all():
                 continue
             names = rows.column("class").combine_chunks()
+            bands, own = _packed(rows, "bands"), np.uint64(rows.column("band")[0].as_py() % (1 << 64))
             for left, right, matches in _blocks(_packed(rows, "sketch"), SKETCH_BITS):
                 apart = codes[left : left + _BLOCK, None] != codes[None, right : right + _BLOCK]
                 a, b = np.nonzero((matches >= enough) & apart)
+                shared = bands[a + left] == bands[b + right]
+                first = bands[a + left, shared.argmax(axis=1)] == own
+                a, b = a[first], b[first]
                 if len(a):
                     yield batch_of(schema, names.take(pa.array(a + left)), names.take(pa.array(b + right)))
 
-    labelled = bucketed.select("band", "class").join(sketched, "class").select("band", "class", "sketch", "root")
+    labelled = bucketed.select("band", "class").join(sketched, "class")
+    labelled = labelled.select("band", "class", "bands", "sketch", "root")
     dealt = labelled.repartition("band").sortWithinPartitions("band", "class")
     found = dealt.mapInArrow(propose, "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def sets_of(docs: DataFrame, wanted: np.ndarray, words: int) -> DataFrame:
-    """``class, members, sketch`` of texts whose key is in the bitmap, once per class, stored."""
+    """``class, members, bands, sketch`` of texts whose key is in the bitmap, once per class, stored."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
-    schema = pa.schema([("class", pa.binary()), ("members", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    binaries = [(name, pa.binary()) for name in ("bands", "sketch")]
+    schema = pa.schema([("class", pa.binary()), ("members", pa.list_(pa.int64())), *binaries])
 
     def gather(batches):
         for batch in batches:
@@ -270,11 +276,12 @@ def sets_of(docs: DataFrame, wanted: np.ndarray, words: int) -> DataFrame:
                 if not sets:
                     continue
                 classes = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-                packed = signatures(minima(sets, SKETCH_HASHES), SKETCH_BITS)
-                yield batch_of(schema, classes, [x.view(np.int64) for x in sets], [x.tobytes() for x in packed])
+                least = minima(sets, SKETCH_HASHES)
+                packed = [[x.tobytes() for x in y] for y in (band_keys(least), signatures(least, SKETCH_BITS))]
+                yield batch_of(schema, classes, [x.view(np.int64) for x in sets], *packed)
 
     read = docs.select(text_key(whole_text())[0], whole_text().alias("text"))
-    found = read.mapInArrow(gather, "class binary, members array<long>, sketch binary")
+    found = read.mapInArrow(gather, "class binary, members array<long>, bands binary, sketch binary")
     return stored(found.dropDuplicates(["class"]), "minhash-sets")
 
 
@@ -312,8 +319,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     sets = sets_of(docs, filter_of(wanted, "key_1"), words)
     links = confirmed(pairs, sets, similarity)
     roots = components(links)
-    sketched = sets.select("class", "sketch").join(roots, F.col("class") == F.col("node"), "left").select(
-        "class", "sketch", F.coalesce("root", "class").alias("root")
+    sketched = sets.drop("members").join(roots, F.col("class") == F.col("node"), "left").select(
+        "class", "bands", "sketch", F.coalesce("root", "class").alias("root")
     )
     more = stored(unconnected(bucketed, sketched, similarity), "minhash-more")
     links = links.unionByName(confirmed(more.join(pairs, ["a", "b"], "left_anti"), sets, similarity))
