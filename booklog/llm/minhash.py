@@ -356,4 +356,22 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARIT
     members = stored(ids.join(shared, "row").select("row", "component_id", order.alias("rank")), "minhash-members")
     first = members.groupBy("component_id").agg(F.min("rank").alias("first"))
     gone = members.join(first, "component_id").filter(F.col("row") != F.col("first.row"))
-    return numbered.join(gone.select(F.col("row").alias(number)), number, "left_anti").select(*docs.columns)
+    gone = stored(gone.select(F.col("row").alias(number), F.xxhash64("row").alias("slot")), "minhash-gone")
+    # Only rows that the bitmap can't rule out are shuffled to be looked up.
+    bitmap = filter_of(gone, "slot")
+    clear, doubtful = (_rows_where(numbered, number, bitmap, known) for known in (False, True))
+    kept = doubtful.join(gone.select(number), number, "left_anti")
+    return clear.unionByName(kept).select(*docs.columns)
+
+
+def _rows_where(numbered: DataFrame, number: str, bitmap: np.ndarray, known: bool) -> DataFrame:
+    """The rows whose hashed number is (or is not) in the bitmap."""
+    shared = numbered.sparkSession.sparkContext.broadcast(bitmap)
+    slot, names = "slot of the row", numbered.columns
+
+    def keep(batches):
+        for batch in batches:
+            found = in_filter(shared.value, batch.column(slot).to_numpy())
+            yield batch.select(names).filter(pa.array(found == known))
+
+    return numbered.withColumn(slot, F.xxhash64(number)).mapInArrow(keep, numbered.schema)
