@@ -19,9 +19,9 @@ from pyspark.sql import SparkSession
 
 from .hashing import mix, powers, prefix_sums
 
-GROUP_CHARS = 1 << 19
-_SLOTS = 1 << 21
-_POOL_IDS = 1 << 24
+GROUP_CHARS = 1 << 18
+_SLOTS = 1 << 20
+_POOL_IDS = 1 << 22
 _ENCODERS: dict[str, Encoder] = {}
 _LETTER, _NUMBER, _OTHER, _SPACE = 1, 2, 0, 3
 

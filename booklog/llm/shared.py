@@ -16,14 +16,20 @@ from booklog.session import scratch_folder
 
 # Bits of a filter that is sent to every task: 4 MiB, whatever the size of the data.
 FILTER_BITS = 1 << 25
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+# Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 8 << 20
 
 
 _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Gives the executors this package, once per application, as ``--py-files`` would."""
+    """Gives the executors this package, once per application, as ``--py-files`` would.
+
+    Also bounds the session's Arrow batches, since long texts make large ones.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]
@@ -114,6 +120,8 @@ def text_slices(
             low, high = bounds[first], bounds[last]
             yield batch.slice(first, last - first), data[low:high], bounds[first : last + 1] - low
             first = last
+    # Workers are reused: give back what this task no longer needs.
+    pa.default_memory_pool().release_unused()
 
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:

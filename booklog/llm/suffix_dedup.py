@@ -183,7 +183,7 @@ def sorted_marks(contents: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             columns = [batch.column(n).to_pylist() for n in ("gram", "c1", "c2", "content")]
             for row in zip(*columns, strict=True):
-                if row[0] != last and size >= GROUP_BYTES:
+                if row[0] != last and size >= GROUP_BYTES // 2:
                     if (found := flush()) is not None:
                         yield found
                     size = 0
