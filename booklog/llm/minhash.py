@@ -4,7 +4,8 @@ Documents with equal shingle sets form a class; classes are compared, not docume
 of the minima propose pairs of classes, packed low bits of the minima weed them out, and the
 rest is confirmed on whole sets. Within a bucket not all pairs are proposed: first each
 class's closest one and the one that is close to most; then, once these are confirmed, only
-close pairs that are not yet connected.
+close pairs that are not yet connected. A crowded bucket proposes pairs with its hubs first, and
+is cut into parts that meet in groups of bounded size.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -32,6 +33,10 @@ SKETCH_HASHES = 1024
 SKETCH_BITS = 2
 # Standard errors below the threshold at which an estimate still counts as close.
 MARGIN = 4.0
+# Classes of a bucket that one task compares with each other; fuller buckets are split.
+BUCKET_ROWS = 4096
+# Classes of a fuller bucket that all others are compared with first.
+HUBS = 64
 _BLOCK = 256
 
 _random = np.random.default_rng(77)
@@ -157,17 +162,60 @@ def buckets(classes: DataFrame) -> DataFrame:
     return classes.select("bands", "class", "signature").mapInArrow(spread, columns)
 
 
-def _by_bucket(batches, columns: list[str]):
-    """The rows of each bucket, of batches sorted by band."""
-    band, held = None, []
+def _parts(rows: Column) -> Column:
+    """Parts of about half of ``BUCKET_ROWS``, so that two of them make one group."""
+    return F.ceil(2 * rows / F.lit(BUCKET_ROWS)).cast("int")
+
+
+def _part_of(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("class"), parts).cast("int")
+
+
+def crowded(bucketed: DataFrame) -> DataFrame:
+    """``band, parts`` of the buckets with more than ``BUCKET_ROWS`` classes, stored."""
+    counts = bucketed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET_ROWS)
+    return stored(counts.select("band", _parts(F.col("n")).alias("parts")), "minhash-crowded")
+
+
+def dealt(labelled: DataFrame, full: DataFrame) -> DataFrame:
+    """Rows of buckets, with the pair of parts in which a crowded bucket compares them.
+
+    The most frequent root of a crowded bucket has parts of its own, which meet all other parts
+    but not each other, as their rows are connected. A bucket with one root is left out.
+    """
+    counts = labelled.select("band", "root").join(full.select("band"), "band")
+    counts = counts.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max(F.struct("n", "root"))
+    mains = counts.groupBy("band").agg(largest.alias("main"), F.sum("n").alias("n"))
+    mains = mains.select(
+        "band", F.col("main.root").alias("main"), _parts(F.col("main.n")).alias("of_main"),
+        _parts(F.col("n") - F.col("main.n")).alias("of_rest"),
+    )
+    rows = labelled.join(stored(mains, "minhash-mains"), "band", "left")
+    one = rows.filter("main IS NULL").withColumns({"part": F.lit(0), "low": F.lit(0), "high": F.lit(0)})
+    many = rows.filter("of_rest > 0")
+    connected, rest, main = F.col("root") == F.col("main"), F.col("of_rest"), F.col("of_main")
+    many = many.withColumn("part", F.when(connected, rest + _part_of(main)).otherwise(_part_of(rest)))
+    last = F.when(connected, rest - 1).otherwise(rest + main - 1)
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    many = many.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    columns = [*labelled.columns, "part", "low", "high"]
+    return one.select(*columns).unionByName(many.select(*columns))
+
+
+def _by_bucket(batches, keys: list[str], columns: list[str]):
+    """The rows of each bucket or part of one, of batches sorted by ``keys``."""
+    last, held = None, []
     for batch in batches:
-        bands = batch.column("band").to_numpy()
-        edges = np.flatnonzero(np.append(True, bands[1:] != bands[:-1])).tolist() if len(bands) else []
-        for low, high in zip(edges, [*edges[1:], len(bands)], strict=True):
-            if bands[low] != band and held:
+        found = np.stack([batch.column(key).to_numpy().astype(np.int64) for key in keys], axis=1)
+        changes = (found[1:] != found[:-1]).any(axis=1)
+        edges = np.flatnonzero(np.append(True, changes)).tolist() if len(found) else []
+        for low, high in zip(edges, [*edges[1:], len(found)], strict=True):
+            key = found[low].tolist()
+            if key != last and held:
                 yield pa.Table.from_batches(held)
                 held = []
-            band = bands[low]
+            last = key
             held.append(batch.slice(low, high - low).select(columns))
     if held:
         yield pa.Table.from_batches(held)
@@ -177,10 +225,10 @@ def _packed(rows: pa.Table, column: str) -> np.ndarray:
     return np.frombuffer(b"".join(rows.column(column).to_pylist()), np.uint64).reshape(rows.num_rows, -1)
 
 
-def _blocks(table: np.ndarray, bits: int = BITS):
+def _blocks(table: np.ndarray):
     for low in range(0, len(table), _BLOCK):
         for right in range(low, len(table), _BLOCK):
-            yield low, right, equal_patterns(table[low : low + _BLOCK], table[right : right + _BLOCK], bits)
+            yield low, right, equal_patterns(table[low : low + _BLOCK], table[right : right + _BLOCK])
 
 
 def nearest_and_central(table: np.ndarray, enough: int) -> set[tuple[int, int]]:
@@ -213,7 +261,7 @@ def proposed(bucketed: DataFrame, enough: int) -> DataFrame:
 
     def propose(batches):
         left, right = [], []
-        for rows in _by_bucket(batches, ["class", "signature"]):
+        for rows in _by_bucket(batches, ["band"], ["class", "signature"]):
             if rows.num_rows < 2:
                 continue
             names = rows.column("class").to_pylist()
@@ -229,7 +277,40 @@ def proposed(bucketed: DataFrame, enough: int) -> DataFrame:
     return dealt.mapInArrow(propose, "a binary, b binary").filter("a != b").distinct()
 
 
-def unconnected(bucketed: DataFrame, sketched: DataFrame, similarity: int) -> DataFrame:
+def near_hubs(bucketed: DataFrame, enough: int) -> DataFrame:
+    """First proposals in crowded buckets, whose rows have ``parts``; as distinct ``a, b``.
+
+    A bucket has a hub per hash of its classes, at most ``HUBS``; each class is proposed with
+    the closest and the first of those it is close to.
+    """
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def propose(batches):
+        for rows in _by_bucket(batches, ["band", "part"], ["is_hub", "class", "signature"]):
+            is_hub = rows.column("is_hub").to_numpy()
+            own, hubs = np.flatnonzero(~is_hub), np.flatnonzero(is_hub)
+            table, classes = _packed(rows, "signature"), _packed(rows, "class")
+            names = rows.column("class").combine_chunks()
+            for low in range(0, len(own), _BLOCK):
+                some = own[low : low + _BLOCK]
+                matches = equal_patterns(table[some], table[hubs])
+                matches[(classes[some, None] == classes[None, hubs]).all(axis=2)] = -1
+                close = matches >= enough
+                mine = close.any(axis=1)
+                for chosen in (matches.argmax(axis=1), close.argmax(axis=1)):
+                    yield batch_of(schema, names.take(pa.array(some[mine])), names.take(pa.array(hubs[chosen[mine]])))
+
+    salt = F.pmod(F.xxhash64("class"), F.lit(HUBS)).alias("salt")
+    hubs = bucketed.groupBy("band", "parts", salt).agg(F.min(F.struct("class", "signature")).alias("hub"))
+    everywhere = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    hubs = hubs.select("band", everywhere, F.lit(True).alias("is_hub"), "hub.class", "hub.signature")
+    own = bucketed.select("band", _part_of(F.col("parts")).alias("part"), F.lit(False).alias("is_hub"), "class", "signature")
+    together = own.unionByName(hubs).repartition("band", "part").sortWithinPartitions("band", "part", "class")
+    found = together.mapInArrow(propose, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def unconnected(bucketed: DataFrame, full: DataFrame, sketched: DataFrame, similarity: int) -> DataFrame:
     """Close pairs of a bucket that confirmed links do not connect yet.
 
     They are weeded out by the finer sketch, since a large group of copies may have many that
@@ -238,27 +319,42 @@ def unconnected(bucketed: DataFrame, sketched: DataFrame, similarity: int) -> Da
     enough = least_matches(similarity, SKETCH_HASHES, SKETCH_BITS)
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
+    key = ["band", "low", "high"]
+
     def propose(batches):
-        for rows in _by_bucket(batches, ["band", "class", "bands", "sketch", "root"]):
+        for rows in _by_bucket(batches, key, [*key, "part", "class", "bands", "sketch", "root"]):
             codes = rows.column("root").combine_chunks().dictionary_encode()
             codes = codes.indices.to_numpy()
             if len(codes) < 2 or (codes == codes[0]).all():
                 continue
-            names = rows.column("class").combine_chunks()
-            bands, own = _packed(rows, "bands"), np.uint64(rows.column("band")[0].as_py() % (1 << 64))
-            for left, right, matches in _blocks(_packed(rows, "sketch"), SKETCH_BITS):
-                apart = codes[left : left + _BLOCK, None] != codes[None, right : right + _BLOCK]
-                a, b = np.nonzero((matches >= enough) & apart)
-                shared = bands[a + left] == bands[b + right]
-                first = bands[a + left, shared.argmax(axis=1)] == own
-                a, b = a[first], b[first]
-                if len(a):
-                    yield batch_of(schema, names.take(pa.array(a + left)), names.take(pa.array(b + right)))
+            parts = rows.column("part").to_numpy()
+            across = rows.column("low")[0] != rows.column("high")[0]
+            # Blocks of one part or root are passed over.
+            order = np.lexsort((codes, parts))
+            codes, parts = codes[order], parts[order]
+            names = rows.column("class").combine_chunks().take(pa.array(order))
+            bands, own = _packed(rows, "bands")[order], np.uint64(rows.column("band")[0].as_py() % (1 << 64))
+            sketches = _packed(rows, "sketch")[order]
+            for left in range(0, len(order), _BLOCK):
+                for right in range(left, len(order), _BLOCK):
+                    i, j = slice(left, left + _BLOCK), slice(right, right + _BLOCK)
+                    apart = codes[i, None] != codes[None, j]
+                    if across:
+                        apart &= parts[i, None] != parts[None, j]
+                    if not apart.any():
+                        continue
+                    matches = equal_patterns(sketches[i], sketches[j], SKETCH_BITS)
+                    a, b = np.nonzero((matches >= enough) & apart)
+                    shared = bands[a + left] == bands[b + right]
+                    first = bands[a + left, shared.argmax(axis=1)] == own
+                    a, b = a[first], b[first]
+                    if len(a):
+                        yield batch_of(schema, names.take(pa.array(a + left)), names.take(pa.array(b + right)))
 
     labelled = bucketed.select("band", "class").join(sketched, "class")
     labelled = labelled.select("band", "class", "bands", "sketch", "root")
-    dealt = labelled.repartition("band").sortWithinPartitions("band", "class")
-    found = dealt.mapInArrow(propose, "a binary, b binary")
+    grouped = dealt(labelled, full).repartition(*key).sortWithinPartitions(*key, "class")
+    found = grouped.mapInArrow(propose, "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -313,8 +409,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     classes = stored(classes.select("class", "key_1", "bands", "signature"), "minhash-classes")
     bucketed = stored(buckets(classes), "minhash-buckets")
     enough = least_matches(similarity)
-    pairs = stored(proposed(bucketed, enough), "minhash-pairs")
-    nodes = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    full = crowded(bucketed)
+    many = stored(bucketed.join(full, "band"), "minhash-many")
+    first = proposed(bucketed.join(full, "band", "left_anti"), enough).unionByName(near_hubs(many, enough))
+    pairs = stored(first.distinct(), "minhash-pairs")
+    nodes = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
+    nodes = nodes.unionByName(many.select("class")).distinct()
     wanted = classes.join(nodes, "class").select("key_1")
     sets = sets_of(docs, filter_of(wanted, "key_1"), words)
     links = confirmed(pairs, sets, similarity)
@@ -322,7 +422,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     sketched = sets.drop("members").join(roots, F.col("class") == F.col("node"), "left").select(
         "class", "bands", "sketch", F.coalesce("root", "class").alias("root")
     )
-    more = stored(unconnected(bucketed, sketched, similarity), "minhash-more")
+    more = stored(unconnected(bucketed, full, sketched, similarity), "minhash-more")
     links = links.unionByName(confirmed(more.join(pairs, ["a", "b"], "left_anti"), sets, similarity))
     roots = components(links)
     least = rows.groupBy("class").agg(F.min("doc_id").alias("least"))

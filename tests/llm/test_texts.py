@@ -227,6 +227,30 @@ def test_near_duplicates_match_brute_force(documents):
     assert minhash.near_duplicates(documents([])).collect() == []
 
 
+def test_no_group_of_near_duplicates_grows_with_the_bucket(documents, monkeypatch):
+    chosen, by_bucket, most = random.Random(8), minhash._by_bucket, 64
+
+    def bounded(*arguments):
+        for rows in by_bucket(*arguments):
+            if rows.num_rows > most:
+                raise ValueError(f"a group of {rows.num_rows} rows")
+            yield rows
+
+    monkeypatch.setattr(minhash, "_by_bucket", bounded)
+    monkeypatch.setattr(minhash, "BUCKET_ROWS", 24, raising=False)
+    monkeypatch.setattr(minhash, "HUBS", 4, raising=False)
+    base = [f"w{k}" for k in range(60)]
+    docs = []
+    for doc_id in range(240):
+        changed = list(base)
+        for _ in range(chosen.randint(0, 5)):
+            changed[chosen.randrange(60)] = f"new{chosen.random()}"
+        docs.append((doc_id, " ".join(changed)))
+    expected = brute.near_duplicates(docs, 3)
+    assert 1 < len({row[2] for row in expected}) < 240
+    assert rows_of(minhash.near_duplicates(documents(docs), 3)) == expected
+
+
 def test_estimates_are_corrected_for_chance():
     random_ = np.random.default_rng(6)
     table = minhash.signatures(random_.integers(0, 2**32, (200, minhash.HASHES), dtype=np.uint32))
