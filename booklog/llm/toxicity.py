@@ -10,13 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import ALPHANUMERIC, mix, word_hashes, word_spans
-from .shared import batch_of, text_slices, whole_text
+from .shared import batch_of, stored, text_slices, whole_text
 
 FEATURES = 1 << 18
 # Bounds of the sample that the classifier is fitted on.
 POSITIVES = 20_000
 UNLABELLED = 20_000
-SAMPLE_WORDS = 4096
 LEAST_TEXTS = 3
 DEVIATIONS = 5.0
 THRESHOLD = 0.7
@@ -53,21 +52,46 @@ def distinct_features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     return keys % FEATURES, np.searchsorted(keys, np.arange(len(bounds)) * FEATURES)
 
 
-def sample_features(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features of a bounded sample, at most ``SAMPLE_WORDS`` of a text, on the driver."""
-    schema = pa.schema([("features", pa.list_(pa.int32()))])
+def sample_features(texts: DataFrame) -> DataFrame:
+    """``doc_id, features`` of a sample, with all features of each text; stored."""
+    schema = pa.schema([("doc_id", pa.int64()), ("features", pa.list_(pa.int32()))])
 
     def extract(batches):
         for rows, data, bounds in text_slices(batches, "text"):
             found, borders = distinct_features(data, bounds)
-            parts = np.split(found.astype(np.int32), borders[1:-1])
-            # The hash order of the kept features has nothing to do with their place in the text.
-            yield batch_of(schema, [x[:SAMPLE_WORDS] for x in parts])
-
-    rows = texts.mapInArrow(extract, "features array<int>").toArrow().column("features").combine_chunks()
-    if not len(rows):
-        return np.zeros(0, np.int64), np.zeros(1, np.int64)
-    sizes = np.asarray(rows.value_lengths().fill_null(0), np.int64)
+            yield batch_of(schema, rows.column("doc_id"), np.split(found.astype(np.int32), borders[1:-1]))
+
+    return stored(texts.mapInArrow(extract, "doc_id long, features array<int>"), "toxicity-sample")
+
+
+def feature_counts(sample: DataFrame) -> np.ndarray:
+    """Texts of a sample with each feature: at most ``FEATURES`` numbers, whatever the texts."""
+    slots = sample.select(F.explode("features").alias("slot"))
+    rows = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(FEATURES, np.int64)
+    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    return counts
+
+
+def restricted(sample: DataFrame, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places among ``kept`` of each text's features, in order of the ids, on the driver."""
+    place = np.full(FEATURES, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    shared = sample.sparkSession.sparkContext.broadcast(place)
+    schema = pa.schema([("doc_id", pa.int64()), ("places", pa.list_(pa.int32()))])
+
+    def restrict(batches):
+        for batch in batches:
+            column = batch.column("features")
+            mapped = shared.value[column.flatten().to_numpy()]
+            bounds = np.cumsum([0, *column.value_lengths().to_pylist()])
+            borders = np.cumsum(np.append(0, mapped >= 0))[bounds].astype(np.int32)
+            places = pa.ListArray.from_arrays(pa.array(borders), pa.array(mapped[mapped >= 0]))
+            yield batch_of(schema, batch.column("doc_id"), places.cast(schema.field("places").type))
+
+    found = sample.mapInArrow(restrict, "doc_id long, places array<int>").toArrow().sort_by("doc_id")
+    rows = found.column("places").combine_chunks()
+    sizes = np.asarray(rows.value_lengths(), np.int64)
     return np.asarray(rows.flatten(), np.int64), np.cumsum([0, *sizes])
 
 
@@ -93,7 +117,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
 
     def of(chosen: DataFrame) -> DataFrame:
         # At most POSITIVES or UNLABELLED ids of eight bytes each.
-        return texts.join(F.broadcast(chosen), "doc_id").select("text")
+        return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
 
     return of(toxic), of(unlabelled), share or 0.0
 
@@ -106,40 +130,29 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = 1000, step: float = 0.
     negative the model has begun to fit the sample, and the step undoes that part instead.
     """
     toxic, unlabelled, prior = training_rows(docs, labels)
-    positive, unknown = sample_features(toxic), sample_features(unlabelled)
+    samples = [sample_features(x) for x in (toxic, unlabelled)]
+    sizes = [x.count() for x in samples]
     weights = np.zeros(FEATURES)
-    if len(positive[1]) < 2 or len(unknown[1]) < 2:
+    if not all(sizes):
         return Model(weights, -4.0)
-    kept = telling_features(positive, unknown)
-    small, bias = _descend(
-        _restricted(positive, kept), _restricted(unknown, kept), len(kept), min(max(prior, 1e-3), 0.9), rounds, step
-    )
+    kept = telling_features([feature_counts(x) for x in samples], sizes)
+    positive, unknown = (restricted(x, kept) for x in samples)
+    small, bias = _descend(positive, unknown, len(kept), min(max(prior, 1e-3), 0.9), rounds, step)
     weights[kept] = small
     return Model(weights, bias)
 
 
-def telling_features(positive, unknown) -> np.ndarray:
+def telling_features(found: list[np.ndarray], sizes: list[int]) -> np.ndarray:
     """Features whose share differs between the samples by ``DEVIATIONS`` standard errors.
 
     A feature must occur in ``LEAST_TEXTS`` texts; weights of rarer ones would only memorise.
     """
-    sizes = [len(x[1]) - 1 for x in (positive, unknown)]
-    found = [np.bincount(x[0], minlength=FEATURES) for x in (positive, unknown)]
     pooled = (found[0] + found[1]) / sum(sizes)
     error = np.sqrt(pooled * (1 - pooled) * (1 / sizes[0] + 1 / sizes[1]))
     difference = np.abs(found[0] / sizes[0] - found[1] / sizes[1])
     return np.flatnonzero((found[0] + found[1] >= LEAST_TEXTS) & (difference > DEVIATIONS * error))
 
 
-def _restricted(sample, kept: np.ndarray):
-    features, bounds = sample
-    place = np.full(FEATURES, -1)
-    place[kept] = np.arange(len(kept))
-    mapped = place[features]
-    owners = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[mapped >= 0]
-    return mapped[mapped >= 0], np.searchsorted(owners, np.arange(len(bounds)))
-
-
 def _descend(positive, unknown, size: int, prior: float, rounds: int, step: float):
     weights, bias = np.zeros(size), 0.0
     means, squares = np.zeros(size + 1), np.zeros(size + 1)

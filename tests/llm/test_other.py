@@ -179,6 +179,18 @@ def test_toxicity_without_labels_or_documents(spark, documents):
     assert toxicity.score(documents([]), toxicity.fit(documents([]), none)).collect() == []
 
 
+def test_long_training_texts_are_counted_whole(spark, documents):
+    common = [f"common{k}" for k in range(5000)]
+    slot_of = {}
+    for k in range(2000):
+        data = np.frombuffer(f"telling{k}".encode(), np.uint8)
+        slot_of[f"telling{k}"] = int(toxicity.distinct_features(data, np.array([0, len(data)]))[0][0])
+    word = max(slot_of, key=slot_of.get)
+    docs = [(k, " ".join([*common, word] if k < 40 else common)) for k in range(100)]
+    marks = spark.createDataFrame([(k, 1, 1) for k in range(40)], "doc_id long, quality int, toxic int")
+    assert toxicity.fit(documents(docs), marks).weights[slot_of[word]] > 0
+
+
 def test_pipeline_packs_what_each_stage_keeps(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     kept = docs
