@@ -99,7 +99,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
     """Confirmed toxic texts, unlabelled texts, and the share of toxic ones among the labelled.
 
     Labels of held-out documents are not used. Both samples take the rows with the smallest
-    hashes of their ids, so that they are the same on every run; the share counts all rows.
+    hashes of their ids, so that they are the same on every run; of rows with equal ids the one
+    with the greatest text. The share counts all labelled ids.
     """
     known = (
         labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
@@ -116,8 +117,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
 
     def of(chosen: DataFrame) -> DataFrame:
-        # At most POSITIVES or UNLABELLED ids of eight bytes each.
-        return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
+        # At most POSITIVES or UNLABELLED ids of eight bytes each, and a row for each of them.
+        found = texts.join(F.broadcast(chosen), "doc_id")
+        return found.groupBy("doc_id").agg(F.max("text").alias("text"))
 
     return of(toxic), of(unlabelled), share or 0.0
 

@@ -191,6 +191,16 @@ def test_long_training_texts_are_counted_whole(spark, documents):
     assert toxicity.fit(documents(docs), marks).weights[slot_of[word]] > 0
 
 
+def test_training_samples_have_a_row_per_id(spark, documents):
+    docs = [(k % 10, f"text {k}") for k in range(200)]
+    marks = spark.createDataFrame([(k, 1, 1) for k in range(5)], "doc_id long, quality int, toxic int")
+    toxic, unlabelled, _ = toxicity.training_rows(documents(docs), marks)
+    for sample in (toxic, unlabelled):
+        rows = sample.collect()
+        assert rows and len(rows) == len({row.doc_id for row in rows})
+        assert all(row.text == max(text for doc_id, text in docs if doc_id == row.doc_id) for row in rows)
+
+
 def test_pipeline_packs_what_each_stage_keeps(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     kept = docs
