@@ -84,6 +84,15 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, offsets, values[start[escaped]]
 
 
+def blocks_fit(words: np.ndarray, offsets: np.ndarray, size: int) -> bool:
+    """Whether each block's words, from its offset to the next, hold its share of ``size`` values."""
+    blocks = -(-size // BLOCK)
+    if len(offsets) != blocks + 1 or offsets.max() > len(words) or int(offsets[-1]) != len(words):
+        return False
+    ends = np.cumsum(np.append(0, _COUNTS[(words >> np.uint64(60)).astype(np.int64)]))
+    return bool((ends[offsets.astype(np.int64)] == np.minimum(np.arange(blocks + 1) * BLOCK, size)).all())
+
+
 def decode(words: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """The values of consecutive words, of one block or of many."""
     selected = (words >> np.uint64(60)).astype(np.int64)

@@ -61,6 +61,8 @@ def frames(content: bytes) -> Iterator[tuple[list[int | None], list[np.ndarray]]
             raise ValueError(f"the frame at byte {at} has a wrong checksum")
         every = np.frombuffer(content, "<u8", sum(sizes), low)
         parts = np.split(every, np.cumsum(sizes)[:-1])
+        if not simple8b.blocks_fit(parts[5], parts[3], total):
+            raise ValueError(f"the frame at byte {at} has wrong offsets of blocks")
         ids = simple8b.decode(parts[5], parts[4])
         if len(ids) != total or int(parts[2].sum()) != total:
             raise ValueError(f"the frame at byte {at} has a wrong number of ids")

@@ -117,6 +117,18 @@ def test_damaged_token_files_are_refused(harm):
         list(token_files.frames(harm(whole)))
 
 
+def test_wrong_offsets_of_blocks_are_refused():
+    whole = token_files.frame([1], [np.arange(600)])
+    at = 8 * (7 + 3 + 1)
+    assert np.frombuffer(whole, "<u8", 1, at)[0] > 0
+    moved = np.frombuffer(whole, "<u8", 1, at) + 1
+    body = whole[56:at] + moved.astype("<u8").tobytes() + whole[at + 8 :]
+    harmed = whole[:48] + np.array([zlib.crc32(body)], "<u8").tobytes() + body
+    assert len(list(token_files.frames(whole + token_files.FRAME_END))) == 1
+    with pytest.raises(ValueError, match="offsets"):
+        list(token_files.frames(harmed + token_files.FRAME_END))
+
+
 def test_packing_cuts_one_gapless_stream(documents, library):
     window = 16
     pieces = packing.pack(documents(AWKWARD), PATH, window=window, with_ids=True).collect()
