@@ -90,6 +90,12 @@ def _(spark, sf_dir):
     return identity.withColumn("path", F.element_at(F.split("path", "/"), -1))
 
 
+def table_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file of the given tables, hashed in parallel; SQL cannot read their bytes."""
+    identity = file_identity(spark, f"{sf_dir}/*.parquet")
+    return identity.withColumn("path", F.regexp_extract("path", r"([^/]+\.parquet(?:/.*)?)$", 1))
+
+
 @query("sort_canonical")
 def _(spark, sf_dir):
     """The digest of the written canonical file."""

@@ -1,6 +1,8 @@
 """Every registered query against its SQL oracle, and the known totals of the small log."""
 
+import hashlib
 import os
+from pathlib import Path
 
 import pytest
 
@@ -26,6 +28,15 @@ def test_query_matches_its_oracle(spark, connection, name):
     assert differences(df, connection, entry.oracle_sql()[name]) is None
 
 
+def test_table_files_are_hashed(spark):
+    expected = set()
+    for file in Path(SF_DIR).glob("*.parquet"):
+        content = file.read_bytes()
+        expected.add((file.name, len(content), hashlib.sha256(content).hexdigest()))
+    rows = entry.queries()["src_table_identity"](spark, SF_DIR).collect()
+    assert len(expected) > 1 and len(rows) == len(expected) and {tuple(row) for row in rows} == expected
+
+
 @pytest.mark.skipif("0.001" not in SF_DIR, reason="totals of the smallest tables")
 def test_known_totals(spark):
     totals = entry.queries()["agg_profile_totals"](spark, SF_DIR).first()
