@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from booklog.session import scratch_folder
 
-from . import cap_filters, decontaminate, licenses, minhash, packing, suffix_dedup, token_counts, token_files, toxicity, warc
+from . import cap_filters, decontaminate, licenses, minhash, packing, suffix_dedup, token_counts, token_files, toxicity, warc, word_bpe
 from .shared import ship_package, table
 
 VOCABULARY = "byte_bpe_50k.json"
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,10 +64,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels))
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontamination, op2_token_counts, op3_suffix_dedup, op4_minhash, op5_cap_filters,
         op6_license_scan, op7_warc, op8_token_files, op9_packing, op10_toxicity,
+        op11_word_bpe,
     )
     return {query.__name__: _shipping(query) for query in found}
 

@@ -50,6 +50,21 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def stored_by(df: DataFrame, purpose: str, key: str) -> DataFrame:
+    """``df`` stored in buckets of ``key``, so that a join on it moves the other side only.
+
+    The catalog forgets the table at once; its files stay like those of ``stored``.
+    """
+    spark = df.sparkSession
+    folder = scratch_folder(spark, purpose)
+    name = folder.rpartition("/")[2].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", folder).saveAsTable(name)
+    read = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return read
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
