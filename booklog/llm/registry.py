@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from booklog.session import scratch_folder
 
-from . import cap_filters, decontaminate, licenses, minhash, packing, suffix_dedup, token_counts, token_files, toxicity, warc, word_bpe
+from . import cap_filters, decontaminate, licenses, minhash, packing, suffix_dedup, token_counts, token_files, toxicity, variants, warc, word_bpe
 from .shared import ship_package, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -68,11 +68,15 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontamination, op2_token_counts, op3_suffix_dedup, op4_minhash, op5_cap_filters,
         op6_license_scan, op7_warc, op8_token_files, op9_packing, op10_toxicity,
-        op11_word_bpe,
+        op11_word_bpe, op12_spelling_variants,
     )
     return {query.__name__: _shipping(query) for query in found}
 
@@ -98,4 +102,5 @@ def oracle_sql() -> dict[str, str]:
       CASE WHEN original IS NOT NULL AND original IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
       CASE WHEN original IS DISTINCT FROM page_id THEN original END AS refers_to
     FROM o""",
+        "op12_spelling_variants": variants.oracle_sql(),
     }
