@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from booklog.session import scratch_folder
 
-from . import cap_filters, decontaminate, licenses, minhash, packing, suffix_dedup, token_counts, token_files, toxicity, variants, warc, word_bpe
+from . import anchors, cap_filters, decontaminate, licenses, minhash, packing, suffix_dedup, token_counts, token_files, toxicity, variants, warc, word_bpe
 from .shared import ship_package, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -72,11 +72,15 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_anchor_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontamination, op2_token_counts, op3_suffix_dedup, op4_minhash, op5_cap_filters,
         op6_license_scan, op7_warc, op8_token_files, op9_packing, op10_toxicity,
-        op11_word_bpe, op12_spelling_variants,
+        op11_word_bpe, op12_spelling_variants, op13_anchor_codes,
     )
     return {query.__name__: _shipping(query) for query in found}
 
@@ -103,4 +107,5 @@ def oracle_sql() -> dict[str, str]:
       CASE WHEN original IS DISTINCT FROM page_id THEN original END AS refers_to
     FROM o""",
         "op12_spelling_variants": variants.oracle_sql(),
+        "op13_anchor_codes": anchors.oracle_sql(),
     }
