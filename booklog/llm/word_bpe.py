@@ -18,10 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batch_of, binary_column, stored_by, text_bounds, text_slices, whole_text
+from .shared import batch_of, binary_column, stored_by, text_slices, whole_text
 
 BLOCK_BYTES = 32 << 20
 STEP_WORDS = 1 << 16
@@ -175,41 +175,25 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     return dealt.mapInArrow(encode, "block long, slot int, ids array<int>")
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """``id, piece`` of a vocabulary: as many rows as it has ids, however much text there is."""
-    library = _library(path)
-    rows = [(number, piece) for piece, number in library.get_vocab(with_added_tokens=True).items()]
-    return spark.createDataFrame(pa.table({"id": pa.array([x[0] for x in rows], pa.int32()), "piece": [x[1] for x in rows]}))
+def piece_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of a vocabulary, each with a blank after it, and where that of each id lies.
 
-
-def with_pieces(coded: DataFrame, path: str) -> DataFrame:
-    """``block, slot, ids`` with ``decoded``: the pieces of the ids, one blank between them.
-
-    The pieces are broadcast, their number being that of the vocabulary. Words without ids drop
-    out. A row's pieces are gathered in the task that holds its block.
-    """
-    one = coded.select("block", "slot", F.posexplode("ids").alias("place", "id"))
-    named = one.join(F.broadcast(pieces(coded.sparkSession, path)), "id")
-    listed = F.sort_array(F.collect_list(F.struct("place", "id", "piece")))
-    each = named.groupBy("block", "slot").agg(listed.alias("x"))
-    return each.select("block", "slot", F.col("x.id").alias("ids"), F.array_join("x.piece", " ").alias("decoded"))
-
-
-def _pool(data: np.ndarray, edges: np.ndarray, slots: np.ndarray, count: int):
-    """Bytes one value after the other, and where that of each slot starts and how long it is.
-
-    One more slot stands for all words without ids.
+    As large as the vocabulary, however much text there is.
     """
-    starts, sizes = np.zeros(count + 1, np.int64), np.zeros(count + 1, np.int64)
-    starts[slots], sizes[slots] = edges[:-1], np.diff(edges)
-    return data, starts, sizes
+    vocabulary = _library(path).get_vocab(with_added_tokens=True)
+    pieces = {number: piece.encode() + b" " for piece, number in vocabulary.items()}
+    sizes = np.zeros(max(pieces) + 1, np.int64)
+    sizes[list(pieces)] = [len(x) for x in pieces.values()]
+    data = b"".join(pieces[number] for number in sorted(pieces))
+    return np.frombuffer(data, np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
-def _expanded(pool, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _joined(pool: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that a table has for ``keys``, one after the other, and their bounds."""
     data, starts, sizes = pool
-    size = sizes[places]
+    size = sizes[keys]
     edges = np.append(0, np.cumsum(size))
-    return data[np.repeat(starts[places] - edges[:-1], size) + np.arange(edges[-1])], edges
+    return data[np.repeat(starts[keys] - edges[:-1], size) + np.arange(edges[-1])], edges
 
 
 _RESULT = pa.schema(
@@ -217,54 +201,52 @@ _RESULT = pa.schema(
 )
 
 
-def _assembled(documents: pa.Table, words: pa.Table) -> pa.Table:
-    """The digests of the documents of one block from the ids and pieces of its words."""
-    slots = words.column("slot").to_numpy()
+def _assembled(documents: pa.Table, words: pa.Table, pieces) -> pa.Table:
+    """The digests of the documents of one block: ids by place, and pieces by id."""
+    slots, ids = words.column("slot").to_numpy(), words.column("ids").combine_chunks()
     count = int(slots.max()) + 1 if len(slots) else 0
-    ids, decoded = words.column("ids").combine_chunks(), words.column("decoded").combine_chunks()
-    pools = (
-        _pool(ids.flatten().to_numpy().astype("<u4").view(np.uint8), np.append(0, 4 * np.cumsum(ids.value_lengths())), slots, count),
-        # With the blank that parts a word's last piece from the next.
-        _pool(*text_bounds(pc.binary_join_element_wise(decoded, "", " ")), slots, count),
-    )
+    # One more slot stands for words without ids.
+    starts, sizes = np.zeros(count + 1, np.int64), np.zeros(count + 1, np.int64)
+    sizes[slots] = ids.value_lengths()
+    starts[slots] = np.cumsum(sizes[slots]) - sizes[slots]
+    of_words = (ids.flatten().to_numpy().astype("<u4"), starts, sizes)
     found: list[tuple] = []
-    for doc_ids, counts, packed in zip(*(documents.column(n).to_pylist() for n in ("doc_ids", "counts", "places")), strict=True):
+    columns = (documents.column(n).to_pylist() for n in ("doc_ids", "counts", "places"))
+    for doc_ids, counts, packed in zip(*columns, strict=True):
         planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-        places = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-        places = np.minimum(places, count)
+        places = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+        places = np.minimum(places.astype(np.int64), count)
         borders = np.append(0, np.cumsum(counts))
         hashes = [(hashlib.sha256(), hashlib.sha256()) for _ in doc_ids]
-        sizes = [0] * len(doc_ids)
-        # The blank between pieces goes before a text's next words, never after its last.
-        started = [False] * len(doc_ids)
+        totals = [0] * len(doc_ids)
         for low in range(0, len(places), STEP_WORDS):
             some = places[low : low + STEP_WORDS]
-            (ids, id_edges), (decoded, edges) = (_expanded(pool, some) for pool in pools)
-            first = int(np.searchsorted(borders, low, "right")) - 1
-            for doc in range(first, len(doc_ids)):
+            tokens, edges = _joined(of_words, some)
+            decoded, bounds = _joined(pieces, tokens)
+            for doc in range(int(np.searchsorted(borders, low, "right")) - 1, len(doc_ids)):
                 a, b = max(int(borders[doc]) - low, 0), min(int(borders[doc + 1]) - low, len(some))
                 if a >= len(some):
                     break
-                part = ids[id_edges[a] : id_edges[b]]
-                if not len(part):
+                first, last = int(edges[a]), int(edges[max(a, b)])
+                if first == last:
                     continue
-                sizes[doc] += len(part) // 4
-                hashes[doc][0].update(part)
-                if started[doc]:
+                hashes[doc][0].update(tokens[first:last])
+                # The blank that parts pieces goes before a text's next ones, never after its last.
+                if totals[doc]:
                     hashes[doc][1].update(b" ")
-                started[doc] = True
-                hashes[doc][1].update(decoded[edges[a] : edges[b] - 1])
-        found += [(d, n, x.hexdigest(), y.hexdigest()) for d, n, (x, y) in zip(doc_ids, sizes, hashes, strict=True)]
-    columns = map(list, zip(*found, strict=True)) if found else [[]] * 4
-    return pa.Table.from_batches([batch_of(_RESULT, *columns)], _RESULT)
+                hashes[doc][1].update(decoded[bounds[first] : bounds[last] - 1])
+                totals[doc] += last - first
+        found += [(d, n, x.hexdigest(), y.hexdigest()) for d, n, (x, y) in zip(doc_ids, totals, hashes, strict=True)]
+    rows = map(list, zip(*found, strict=True)) if found else [[]] * 4
+    return pa.Table.from_batches([batch_of(_RESULT, *rows)], _RESULT)
 
 
 def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row of ``docs``.
 
     Tasks split their texts and store them as places in the word lists of blocks. Each distinct
-    word is encoded once; its ids go back to the blocks that list it and become pieces there, by
-    a join on the id. Null and empty texts, and texts of white space, have no ids and decode to
+    word is encoded once; its ids go back to the blocks that list it and meet the pieces there,
+    whose table, bounded by the vocabulary, every task has. Null and empty texts, and texts of white space, have no ids and decode to
     the empty text. Repeated rows and null ids give rows of their own; further columns are not
     read. A text is held whole by its task, whatever its length.
     """
@@ -272,7 +254,12 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     blocks = _block_rows(docs, path)
     listed = blocks.filter("words IS NOT NULL").select("block", F.explode(F.arrays_zip("slots", "words")).alias("x"))
     words = listed.select("block", F.col("x.slots").alias("slot"), F.col("x.words").alias("word"))
-    known = with_pieces(encode_words(words, path).repartition("block"), path)
+    coded = encode_words(words, path).repartition("block")
+    pieces = docs.sparkSession.sparkContext.broadcast(piece_table(path))
+
+    def assemble(documents: pa.Table, words: pa.Table) -> pa.Table:
+        return _assembled(documents, words, pieces.value)
+
     documents = blocks.filter("places IS NOT NULL").select("block", "doc_ids", "counts", "places")
     result = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return documents.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_assembled, result)
+    return documents.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, result)
