@@ -59,7 +59,7 @@ def stored_by(df: DataFrame, purpose: str, key: str) -> DataFrame:
     folder = scratch_folder(spark, purpose)
     name = folder.rpartition("/")[2].replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, key).option("path", folder).saveAsTable(name)
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", folder).saveAsTable(name)
     read = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return read

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batch_of, binary_column, stored_by, text_slices, whole_text
+from .shared import batch_of, binary_column, stored_by, text_bounds, text_slices, whole_text
 
 BLOCK_BYTES = 32 << 20
 STEP_WORDS = 1 << 16
@@ -111,14 +111,14 @@ def _block_rows(docs: DataFrame, path: str) -> DataFrame:
         if held:
             yield from _finished(part + number, held)
 
-    columns = "block long, slots array<int>, words array<binary>, doc_ids array<long>, counts array<int>, places binary"
+    columns = "block long, first_slot int, words array<binary>, doc_ids array<long>, counts array<int>, places binary"
     read = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     return stored_by(read.mapInArrow(split, columns), "word-blocks", "block")
 
 
 _BLOCK_SCHEMA = pa.schema(
     [
-        ("block", pa.int64()), ("slots", pa.list_(pa.int32())), ("words", pa.list_(pa.binary())),
+        ("block", pa.int64()), ("first_slot", pa.int32()), ("words", pa.list_(pa.binary())),
         ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.binary()),
     ]
 )
@@ -138,8 +138,7 @@ def _finished(block: int, held: list):
     rank[order] = np.arange(len(order))
     for low in range(0, len(order), LISTED_WORDS):
         listed = every.dictionary.take(pa.array(order[low : low + LISTED_WORDS])).to_pylist()
-        slots = np.arange(low, low + len(listed), dtype=np.int32)
-        yield batch_of(_BLOCK_SCHEMA, [block], [slots], [listed], [None], [None], [None])
+        yield batch_of(_BLOCK_SCHEMA, [block], [low], [listed], [None], [None], [None])
     packer = zstandard.ZstdCompressor(1)
     for (doc_ids, counts, _, local), low, high in zip(held, edges[:-1], edges[1:], strict=True):
         places = rank[codes[low:high]][local]
@@ -149,13 +148,19 @@ def _finished(block: int, held: list):
         yield batch_of(_BLOCK_SCHEMA, [block], [None], [None], [doc_ids.to_pylist()], [counts.astype(np.int32)], [packed])
 
 
+def id_type(path: str) -> str:
+    """The narrowest number that holds every id of a vocabulary."""
+    return "<u2" if max(_library(path).get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4"
+
+
 def encode_words(words: DataFrame, path: str) -> DataFrame:
     """``words (block, slot, word)`` with the ``ids`` of each word, encoded once.
 
     Rows are dealt and sorted by word, so that equal words follow one another in one task. A
     word has one row per block at most, so none is frequent enough to fill a task.
     """
-    schema = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("ids", pa.list_(pa.int32()))])
+    schema = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("ids", pa.binary())])
+    kind = id_type(path)
 
     def encode(batches):
         library, last, known = _library(path), None, None
@@ -165,14 +170,15 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
             runs = pc.run_end_encode(batch.column("word"))
             distinct = [x.decode() for x in runs.values.to_pylist()]
             skip = last is not None and distinct[0] == last
-            found = [known] * skip + [x.ids for x in library.encode_batch_fast(distinct[skip:], add_special_tokens=False)]
+            coded = library.encode_batch_fast(distinct[skip:], add_special_tokens=False)
+            found = [known] * skip + [np.array(x.ids, kind).tobytes() for x in coded]
             last, known = distinct[-1], found[-1]
             each = np.repeat(np.arange(len(distinct)), np.diff(runs.run_ends.to_numpy(), prepend=0))
             ids = pa.array(found, schema.field("ids").type).take(pa.array(each))
             yield batch_of(schema, batch.column("block"), batch.column("slot"), ids)
 
     dealt = words.repartition("word").sortWithinPartitions("word").select("word", "block", "slot")
-    return dealt.mapInArrow(encode, "block long, slot int, ids array<int>")
+    return dealt.mapInArrow(encode, "block long, slot int, ids binary")
 
 
 def piece_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,15 +207,16 @@ _RESULT = pa.schema(
 )
 
 
-def _assembled(documents: pa.Table, words: pa.Table, pieces) -> pa.Table:
+def _assembled(documents: pa.Table, words: pa.Table, kind: str, pieces) -> pa.Table:
     """The digests of the documents of one block: ids by place, and pieces by id."""
     slots, ids = words.column("slot").to_numpy(), words.column("ids").combine_chunks()
     count = int(slots.max()) + 1 if len(slots) else 0
     # One more slot stands for words without ids.
     starts, sizes = np.zeros(count + 1, np.int64), np.zeros(count + 1, np.int64)
-    sizes[slots] = ids.value_lengths()
+    data, edges = text_bounds(ids)
+    sizes[slots] = np.diff(edges) // np.dtype(kind).itemsize
     starts[slots] = np.cumsum(sizes[slots]) - sizes[slots]
-    of_words = (ids.flatten().to_numpy().astype("<u4"), starts, sizes)
+    of_words = (data[edges[0] : edges[-1]].view(kind).astype("<u4"), starts, sizes)
     found: list[tuple] = []
     columns = (documents.column(n).to_pylist() for n in ("doc_ids", "counts", "places"))
     for doc_ids, counts, packed in zip(*columns, strict=True):
@@ -252,13 +259,13 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     """
     _check(path)
     blocks = _block_rows(docs, path)
-    listed = blocks.filter("words IS NOT NULL").select("block", F.explode(F.arrays_zip("slots", "words")).alias("x"))
-    words = listed.select("block", F.col("x.slots").alias("slot"), F.col("x.words").alias("word"))
+    listed = blocks.filter("words IS NOT NULL").select("block", "first_slot", F.posexplode("words").alias("at", "word"))
+    words = listed.select("block", (F.col("first_slot") + F.col("at")).alias("slot"), "word")
     coded = encode_words(words, path).repartition("block")
-    pieces = docs.sparkSession.sparkContext.broadcast(piece_table(path))
+    kind, pieces = id_type(path), docs.sparkSession.sparkContext.broadcast(piece_table(path))
 
     def assemble(documents: pa.Table, words: pa.Table) -> pa.Table:
-        return _assembled(documents, words, pieces.value)
+        return _assembled(documents, words, kind, pieces.value)
 
     documents = blocks.filter("places IS NOT NULL").select("block", "doc_ids", "counts", "places")
     result = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
