@@ -8,14 +8,12 @@ verified letter by letter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batch_of, stored, whole_text
+from .shared import batch_of, stored, text_bounds, whole_text
 
 # What a run consists of, the period of the deletions, the least length and count.
 RUN = "[A-Za-z\\u00C0-\\u00FF]+"
@@ -26,6 +24,9 @@ TIMES = 2
 # Letters are dealt to this many groups; a cell is the number of letters of each group.
 GROUPS = 6
 TILE_ROWS = 1024
+# Words of some tile pairs at a time, and letters of some word pairs.
+SLICE_WORDS = 1 << 15
+STEP_LETTERS = 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LETTERS = 26 + 64
 
@@ -75,37 +76,77 @@ def _tiles(words: DataFrame) -> DataFrame:
     return dealt.groupBy("cell", "tile").agg(F.collect_list(F.struct("word", "n")).alias("listed"))
 
 
-def letter_counts(words: list[str]) -> np.ndarray:
-    """A row of letter counts per word."""
-    points = np.frombuffer("".join(words).encode("utf-16-le"), np.uint16).astype(np.int64)
-    letter = np.where(points < 0xC0, points - ord("a"), points - 0xC0 + 26)
-    row = np.repeat(np.arange(len(words)), [len(x) for x in words])
-    flat = np.bincount(row * _LETTERS + letter, minlength=len(words) * _LETTERS)
-    return flat.reshape(len(words), _LETTERS).astype(np.float32)
-
-
-def one_edit(a: str, b: str) -> bool:
-    """Whether one inserted, deleted or replaced letter leads from one word to the other."""
-    if a == b or abs(len(a) - len(b)) > 1:
-        return False
-    if len(a) > len(b):
-        a, b = b, a
-    at = 0
-    while at < len(a) and a[at] == b[at]:
-        at += 1
-    return a[at + (len(a) == len(b)) :] == b[at + 1 :]
-
-
-def close_pairs(one: list[str], other: list[str], same: bool) -> Iterator[tuple[int, int]]:
-    """Places of the words of two tiles that are one edit apart, each pair once."""
-    x, y = letter_counts(one), letter_counts(other)
-    squared = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T)
-    close = squared <= 2
-    if same:
-        close = np.triu(close, 1)
-    for a, b in zip(*(v.tolist() for v in np.nonzero(close)), strict=True):
-        if one_edit(one[a], other[b]):
-            yield a, b
+class Spelled:
+    """The words of many tiles as letters one after the other; all are below U+0100."""
+
+    def __init__(self, tiles: pa.ListArray):
+        listed = tiles.flatten()
+        self.words, self.n = listed.field("word"), listed.field("n")
+        self.edges = np.append(0, np.cumsum(tiles.value_lengths().to_numpy()))
+        data, bounds = text_bounds(self.words)
+        data, bounds = data[bounds[0] : bounds[-1]], bounds - bounds[0]
+        kept = data != 0xC3
+        before = np.append(0, np.cumsum(kept))
+        # Letters beyond ASCII have the lead byte C3, and a second byte 0x40 below their number.
+        self.letters = np.where(data < 0x80, data, data + np.uint8(0x40))[kept]
+        self.starts = before[bounds[:-1]]
+        self.sizes = np.diff(before[bounds])
+
+    def counts(self) -> np.ndarray:
+        """A row of letter counts per word."""
+        letter = np.where(self.letters < 0xC0, self.letters - np.int64(ord("a")), self.letters - np.int64(0xC0 - 26))
+        row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        flat = np.bincount(row * _LETTERS + letter, minlength=len(self.sizes) * _LETTERS)
+        return flat.reshape(len(self.sizes), _LETTERS).astype(np.float32)
+
+    def padded(self, which: np.ndarray, width: int, at_end: bool) -> np.ndarray:
+        """Letters of some words in rows, zeros after them or before them."""
+        place = np.arange(width)[None, :] - (width - self.sizes[which] if at_end else np.zeros(len(which), int))[:, None]
+        inside = (place >= 0) & (place < self.sizes[which][:, None])
+        return np.where(inside, self.letters[np.where(inside, self.starts[which][:, None] + place, 0)], 0)
+
+
+def one_edit(one: Spelled, a: np.ndarray, other: Spelled, b: np.ndarray) -> np.ndarray:
+    """Which words ``a`` become words ``b`` by one inserted, deleted or replaced letter.
+
+    What both have in common at the start and at the end leaves one letter of the longer word.
+    """
+    verified = np.zeros(len(a), bool)
+    longest = np.maximum(one.sizes[a], other.sizes[b])
+    order, low = np.argsort(longest, kind="stable"), 0
+    while low < len(a):
+        high = low + max(1, min(len(a) - low, STEP_LETTERS // int(longest[order[min(low + 4096, len(a) - 1)]])))
+        some = order[low : min(high, low + 4096)]
+        x, y, width = a[some], b[some], int(longest[some].max())
+        shorter = np.minimum(one.sizes[x], other.sizes[y])
+        common = np.zeros(len(some), np.int64)
+        for at_end in (False, True):
+            equal = one.padded(x, width, at_end) == other.padded(y, width, at_end)
+            if at_end:
+                equal = equal[:, ::-1]
+            common += np.minimum(np.where(equal.all(1), width, equal.argmin(1)), shorter)
+        same = common >= 2 * shorter
+        apart = longest[some] - shorter
+        verified[some] = (apart <= 1) & (common >= longest[some] - 1) & ~((apart == 0) & same)
+        low += len(some)
+    return verified
+
+
+def close_pairs(one: Spelled, other: Spelled, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words that are one edit apart, in tile k of either side; each pair once."""
+    x, y = one.counts(), other.counts()
+    x_square, y_square = (x * x).sum(1), (y * y).sum(1)
+    found = []
+    for k in range(len(same)):
+        p, q = slice(*one.edges[k : k + 2]), slice(*other.edges[k : k + 2])
+        close = x_square[p, None] + y_square[None, q] - 2 * (x[p] @ y[q].T) <= 2
+        if same[k]:
+            close = np.triu(close, 1)
+        a, b = np.nonzero(close)
+        found.append((a + one.edges[k], b + other.edges[k]))
+    a, b = (np.concatenate([pair[side] for pair in found]) for side in (0, 1))
+    verified = one_edit(one, a, other, b)
+    return a[verified], b[verified]
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -126,15 +167,17 @@ def near_words(words: DataFrame) -> DataFrame:
 
     def multiply(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                one, other = row["one"], row["other"]
-                pairs = close_pairs([x["word"] for x in one], [x["word"] for x in other], row["same"])
-                found = []
-                for a, b in pairs:
-                    found.append((one[a]["word"], other[b]["word"], other[b]["n"]))
-                    found.append((other[b]["word"], one[a]["word"], one[a]["n"]))
-                if found:
-                    yield batch_of(schema, *map(list, zip(*found, strict=True)))
+            sizes = sum(batch.column(n).value_lengths().to_numpy() for n in ("one", "other"))
+            low = 0
+            while low < batch.num_rows:
+                some = int(np.searchsorted(np.cumsum(sizes[low:]), SLICE_WORDS, "right")) or 1
+                rows = batch.slice(low, some)
+                low += some
+                one, other = Spelled(rows.column("one")), Spelled(rows.column("other"))
+                a, b = (pa.array(x) for x in close_pairs(one, other, rows.column("same").to_numpy(zero_copy_only=False)))
+                if len(a):
+                    yield batch_of(schema, one.words.take(a), other.words.take(b), other.n.take(b))
+                    yield batch_of(schema, other.words.take(b), one.words.take(a), one.n.take(a))
 
     pairs = met.select("one", F.col("listed").alias("other"), same)
     return pairs.mapInArrow(multiply, "word string, near string, near_n long")
