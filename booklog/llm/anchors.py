@@ -278,10 +278,10 @@ def _next_entries(blocks: DataFrame, entries: np.ndarray) -> np.ndarray:
     return np.where(used, totals[:, :, 1:] // np.maximum(totals[:, :, :1], 1), entries)
 
 
-def codebooks(vectors: DataFrame, blocks: DataFrame, rounds: int = ROUNDS, count: int = ENTRIES) -> np.ndarray:
+def codebooks(vectors: DataFrame, blocks: DataFrame, width: int, rounds: int = ROUNDS, count: int = ENTRIES) -> np.ndarray:
     """Entries by part, from the ``count`` smallest ids on; of equal ids the smaller vector first."""
     first = vectors.orderBy(F.asc_nulls_last("vec_id"), "whole").limit(count).collect()
-    whole = np.array([x.whole for x in first], np.int64).reshape(len(first), PARTS, -1)
+    whole = np.array([x.whole for x in first], np.int64).reshape(len(first), PARTS, width)
     entries = whole.transpose(1, 0, 2)
     for _ in range(rounds):
         entries = _next_entries(blocks, entries)
@@ -304,7 +304,7 @@ def vector_codes(embeddings: DataFrame, rounds: int = ROUNDS, count: int = ENTRI
     first = vectors.select(F.size("whole").alias("width")).first()
     width = first.width // PARTS if first else 1
     blocks = trees(vectors, width)
-    entries = codebooks(vectors, blocks, rounds, count)
+    entries = codebooks(vectors, blocks, width, rounds, count)
     digest = codebook_digest(entries)
     kind = vectors.schema["label"].dataType.simpleString()
 
