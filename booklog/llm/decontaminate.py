@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import ALPHANUMERIC, mix, powers, prefix_sums, word_hashes, word_spans
-from .shared import text_slices, whole_text
+from .shared import text_slices, where_text, whole_text
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -311,7 +311,11 @@ def longest_matches(report: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no window of an item occurs."""
+    """The rows of ``docs``, with all their columns, in which no window of an item occurs.
+
+    Null and empty texts, and all texts where there are no items, stay; repeated rows and null
+    ids stay or go one by one.
+    """
     kept = docs
     for items in item_blocks(benchmark, window):
         kept = _without_hits(kept, items)
@@ -320,15 +324,12 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
 def _without_hits(docs: DataFrame, items: Items) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    text = "text of the document"
-    names = docs.columns
 
-    def clean(batches):
-        for rows, data, bounds in text_slices(batches, text, SHARD_BYTES):
-            hits, _, _ = shard_report(*hashed_words(data, bounds), shared.value)
-            yield rows.select(names).filter(pa.array([not x for x in hits]))
+    def clean(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        hits, _, _ = shard_report(*hashed_words(data, bounds), shared.value)
+        return np.array([not x for x in hits], bool)
 
-    return docs.withColumn(text, whole_text()).mapInArrow(clean, docs.schema)
+    return docs.filter(where_text(clean, SHARD_BYTES))
 
 
 def digest_columns(report: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import NOT_BLANK, mix, shingle_hashes, word_hashes, word_spans
-from .shared import batch_of, filter_of, in_filter, stored, text_key, text_slices, whole_text
+from .shared import batch_of, filter_of, in_filter, stored, text_key, text_slices, unused, where_in, whole_text
 
 WORDS = 5
 SIMILARITY = 80  # hundredths
@@ -445,7 +445,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARIT
     row with the smallest id stays, of equal ids that with the smallest number; one without an
     id stays only where the group has none.
     """
-    number = "number of the row"
+    number = unused(docs, "number of the row")
     numbered = docs.withColumn(number, F.monotonically_increasing_id())
     rows = numbered.select(F.col(number).alias("doc_id"), whole_text().alias("text"))
     found = stored(near_duplicates(rows, words, similarity), "minhash-groups")
@@ -459,19 +459,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARIT
     gone = stored(gone.select(F.col("row").alias(number), F.xxhash64("row").alias("slot")), "minhash-gone")
     # Only rows that the bitmap can't rule out are shuffled to be looked up.
     bitmap = filter_of(gone, "slot")
-    clear, doubtful = (_rows_where(numbered, number, bitmap, known) for known in (False, True))
+    known = where_in(bitmap, docs.sparkSession, F.xxhash64(number))
+    clear, doubtful = numbered.filter(~known), numbered.filter(known)
     kept = doubtful.join(gone.select(number), number, "left_anti")
     return clear.unionByName(kept).select(*docs.columns)
 
-
-def _rows_where(numbered: DataFrame, number: str, bitmap: np.ndarray, known: bool) -> DataFrame:
-    """The rows whose hashed number is (or is not) in the bitmap."""
-    shared = numbered.sparkSession.sparkContext.broadcast(bitmap)
-    slot, names = "slot of the row", numbered.columns
-
-    def keep(batches):
-        for batch in batches:
-            found = in_filter(shared.value, batch.column(slot).to_numpy())
-            yield batch.select(names).filter(pa.array(found == known))
-
-    return numbered.withColumn(slot, F.xxhash64(number)).mapInArrow(keep, numbered.schema)

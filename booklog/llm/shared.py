@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -117,6 +119,49 @@ def text_bounds(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return found, bounds.astype(np.int64)
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine, as workers are reused by later tasks."""
+    pa.default_memory_pool().release_unused()
+    library = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(library), "malloc_trim", None) if library else None
+    if trim:
+        trim(0)
+
+
+def where_text(test: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int = SLICE_BYTES) -> Column:
+    """Whether the whole text of a row passes ``test``, which takes the bytes and bounds of texts.
+
+    Only the text goes to Python and only the answer comes back; the rows stay where they are.
+    """
+
+    @F.arrow_udf("boolean")
+    def passes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in texts:
+            rows = pa.RecordBatch.from_arrays([array], ["text"])
+            answers = [test(data, bounds) for _, data, bounds in text_slices([rows], "text", size)]
+            yield pa.array(np.concatenate([np.zeros(0, bool), *answers]))
+
+    return passes(whole_text())
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or what it needs to differ from all columns of ``df``."""
+    while name.lower() in {column.lower() for column in df.columns}:
+        name += "_"
+    return name
+
+
+def where_in(bitmap: np.ndarray, spark: SparkSession, key: Column) -> Column:
+    """Whether a 64-bit key may be in a bitmap of ``filter_of``."""
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def known(keys: pa.Array) -> pa.Array:
+        return pa.array(in_filter(shared.value, keys.to_numpy()))
+
+    return known(key)
+
+
 def text_slices(
     batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -135,8 +180,7 @@ def text_slices(
             low, high = bounds[first], bounds[last]
             yield batch.slice(first, last - first), data[low:high], bounds[first : last + 1] - low
             first = last
-    # Workers are reused: give back what this task no longer needs.
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:

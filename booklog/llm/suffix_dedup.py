@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import mix, powers
-from .shared import batch_of, filter_of, in_filter, stored, text_key, text_slices, whole_text
+from .shared import batch_of, filter_of, in_filter, stored, text_key, text_slices, where_in, whole_text
 from .suffixes import byte_sums, repeated_windows
 
 LENGTH = 400
 GRAM = 64
+# For passages of fifty words: as many words of four letters with a blank, and a gram in it.
+PASSAGE = 250
+PASSAGE_GRAM = 48
 RUN_WINDOWS = 512
 SEGMENT = (1 << 20) - 1024
 # Content of one gram that a single suffix array takes; more is compared window by window.
@@ -114,13 +117,7 @@ def text_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _in_bitmap(df: DataFrame, bitmap: np.ndarray, column: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(bitmap)
-
-    def keep(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(in_filter(shared.value, batch.column(column).to_numpy())))
-
-    return df.mapInArrow(keep, df.schema)
+    return df.filter(where_in(bitmap, df.sparkSession, F.col(column)))
 
 
 def candidate_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -295,7 +292,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     return read.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
     """``docs`` with all their columns and without the repeated bytes of ``text``.
 
     Bytes of a character of which a part was removed go too, so that the text stays UTF-8.

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import ALPHANUMERIC, mix, word_hashes, word_spans
-from .shared import batch_of, stored, text_slices, whole_text
+from .shared import batch_of, stored, text_slices, where_text, whole_text
 
 FEATURES = 1 << 18
 # Bounds of the sample that the classifier is fitted on.
@@ -200,13 +200,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    text, names = "text of the document", docs.columns
-
-    def keep(batches):
-        for rows, data, bounds in text_slices(batches, text):
-            scores = shared.value.scores(*distinct_features(data, bounds))
-            yield rows.select(names).filter(pa.array(scores < threshold))
+    """The rows of ``docs``, with all their columns, that score below the threshold.
 
-    return docs.withColumn(text, whole_text()).mapInArrow(keep, docs.schema)
+    A null or empty text scores by the bias; repeated rows and null ids stay or go one by one.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.filter(where_text(lambda data, bounds: shared.value.scores(*distinct_features(data, bounds)) < threshold))

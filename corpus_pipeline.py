@@ -16,31 +16,41 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays below the threshold; learnt from the labels' training part."""
+    """Documents whose score stays below the threshold; learnt from the labels' training part.
+
+    A null or empty text scores by the bias. Repeated rows and null ids stay or go one by one.
+    """
     ship_package(spark)
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
+    """One document of each group of near duplicates, that with the smallest id.
+
+    Null and empty texts are like nothing. Of repeated rows one stays; a row without an id stays
+    only where its group has none with one.
+    """
     ship_package(spark)
     return minhash.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that occur twice in them."""
+    """All documents, without the passages of some fifty words that occur twice in them.
+
+    A passage loses all its places, in one document or several. Null texts stay null.
+    """
     ship_package(spark)
     return suffix_dedup.without_repeats(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with a benchmark item."""
+    """Documents that share no window of words with a benchmark item; null and empty ones stay."""
     ship_package(spark)
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences of the training length."""
+    """The pieces of the documents in sequences of the training length; null is an empty text."""
     ship_package(spark)
     return packing.pack(docs, public_tokenizers.path(VOCABULARY))
 
