@@ -118,21 +118,24 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
     bounds = key_bounds(keyed.select(*order), count)
     at = docs.sparkSession.sparkContext.broadcast(bounds)
     columns = [("bucket", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("place", pa.int64())]
-    coded, framed = pa.schema([*columns, ("ids", pa.binary())]), pa.schema([("frame", pa.binary())])
+    coded, framed = pa.schema([*columns, ("wide", pa.bool_()), ("ids", pa.binary())]), pa.schema([("frame", pa.binary())])
 
     def encode(batches):
         for rows, _, _ in text_slices(batches, "text"):
-            ids = [np.append(x, end_id).astype("<u4").tobytes() for x in encoder().encode(rows.column("text").to_pylist())]
+            found = [np.append(x, end_id) for x in encoder().encode(rows.column("text").to_pylist())]
+            wide = [bool(x.max() >> 16) for x in found]
+            ids = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(found, wide, strict=True)]
             doc_ids, ties = (rows.column(n).to_pylist() for n in ("doc_id", "tie"))
             keys = ((x is not None, x or 0, tie) for x, tie in zip(doc_ids, ties, strict=True))
             buckets = [bisect_right(at.value, key) for key in keys]
-            yield batch_of(coded, buckets, *(rows.column(n) for n in ("doc_id", "tie", "place")), ids)
+            yield batch_of(coded, buckets, *(rows.column(n) for n in ("doc_id", "tie", "place")), wide, ids)
 
     def write(batches):
         held, size = [], 0
         for batch in batches:
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                ids = np.frombuffer(found.as_buffer(), "<u4")
+            doc_ids, wide = batch.column("doc_id").to_pylist(), batch.column("wide").to_pylist()
+            for doc_id, is_wide, found in zip(doc_ids, wide, batch.column("ids"), strict=True):
+                ids = np.frombuffer(found.as_buffer(), "<u4" if is_wide else "<u2")
                 held.append((doc_id, ids))
                 size += len(ids)
                 if size >= FRAME_IDS:
@@ -142,9 +145,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
             yield batch_of(framed, [frame(*map(list, zip(*held, strict=True)))])
         give_back()
 
-    found = keyed.mapInArrow(encode, "bucket int, doc_id long, tie long, place long, ids binary")
+    found = keyed.mapInArrow(encode, "bucket int, doc_id long, tie long, place long, wide boolean, ids binary")
     dealt = found.repartitionById(count, "bucket").sortWithinPartitions("doc_id", "tie", "place")
-    write_frames(dealt.select("doc_id", "ids").mapInArrow(write, "frame binary"), folder, FRAME_END)
+    write_frames(dealt.select("doc_id", "wide", "ids").mapInArrow(write, "frame binary"), folder, FRAME_END)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
