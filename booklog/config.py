@@ -35,7 +35,9 @@ class Store:
     quality_metrics = property(lambda self: self.dataset("quality_metrics"))
     hourly_airline_deltas = property(lambda self: self.dataset("hourly_airline_deltas"))
     hourly_airline_metrics = property(lambda self: self.dataset("hourly_airline_metrics"))
+    hourly_airline_runs = property(lambda self: self.dataset("hourly_airline_runs"))
     commits = property(lambda self: self.dataset("_commits"))
+    ledger = property(lambda self: self.dataset("_ledger"))
 
 
 @dataclass(frozen=True)

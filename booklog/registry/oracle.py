@@ -514,6 +514,9 @@ def _pipeline_queries() -> dict[str, str]:
             (SELECT COUNT(*) FROM accepted WHERE record_reason IS NULL) AS business_valid_count,
             (SELECT COUNT(*) FROM dead) AS dead_letter_count""",
         "sink_publish_metrics": f"WITH {_EVENT_CUBE} SELECT {cube} FROM event_cube",
+        "agg_levelled_merge": f"WITH {_EVENT_CUBE} SELECT {cube} FROM event_cube",
+        "sink_ledger_snapshot": f"""WITH {_ENVELOPES} SELECT CAST("offset" % 5 AS BIGINT) AS batch_id,
+            COUNT(*) AS input_count FROM broker GROUP BY ALL""",
         "sink_snapshot_csv": f"WITH {_SNAPSHOT}, {digest_cte} {manifest} FROM snapshot",
         "sink_publication": f"""WITH {_SNAPSHOT}, {digest_cte}, totals AS (
               SELECT COUNT(*) AS source_row_count, {_SUMS} FROM cube)

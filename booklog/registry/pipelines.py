@@ -23,7 +23,8 @@ from booklog.sinks.cube import publish_metrics
 from booklog.sinks.profile import write_profile
 from booklog.sinks.publication import publish
 from booklog.sinks.snapshot import MANIFEST_FILE, METRICS_FILE, export_snapshot
-from booklog.sources import batches, storage
+from booklog.sinks.runs import close_runs, merged_runs
+from booklog.sources import batches, ledger, storage
 from booklog.sources.broker import record_file_stream
 from booklog.sources.lines import file_identity, log_lines as read_log_lines
 from booklog.sources.serving import ServingPaths, publication_log, serving_table
@@ -175,6 +176,32 @@ def publish_twice(spark, sf_dir):
     return batches.hourly_metrics(spark, settings.store)
 
 
+def _five_batches(spark: SparkSession, sf_dir: str, purpose: str) -> Ingest:
+    """Five batches, the second of them written twice."""
+    settings = _settings(spark, purpose)
+    records = broker_records(spark, sf_dir)
+    for number in (0, 1, 2, 3, 1, 4):
+        write_batch(records.filter(F.col("offset") % 5 == number), number, settings.store)
+    return settings
+
+
+@query("agg_levelled_merge")
+def levelled_merge(spark, sf_dir):
+    """Five batches merged through runs of two and four."""
+    paths = _five_batches(spark, sf_dir, "levels").store
+    close_runs(spark, paths, fan=2)
+    return merged_runs(spark, paths)
+
+
+@query("sink_ledger_snapshot")
+def ledger_snapshot(spark, sf_dir):
+    """The ledger after its tail became a snapshot, one batch hidden and committed again."""
+    paths = _five_batches(spark, sf_dir, "ledger").store
+    ledger.compact(spark, paths)
+    write_batch(broker_records(spark, sf_dir).filter(F.col("offset") % 5 == 3), 3, paths)
+    return batches.commits(spark, paths).select("batch_id", "input_count")
+
+
 @query("sink_snapshot_csv")
 def _(spark, sf_dir):
     path = f"{exported(spark, sf_dir)}/{MANIFEST_FILE}"

@@ -9,7 +9,8 @@ from booklog.config import Store
 from booklog.operators import classified as split
 from booklog.operators.metrics import hourly_deltas
 from booklog.schema import BATCH_COMMIT, QUALITY_METRIC
-from booklog.sources import storage
+from booklog.sinks.runs import drop_runs
+from booklog.sources import ledger
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,8 @@ def write_batch(records: DataFrame, batch_id: int, paths: Store) -> BatchSummary
     if batch_id < 0:
         raise ValueError("negative batch_id")
     spark = records.sparkSession
-    storage.delete(spark, _directory(paths.commits, batch_id))
+    ledger.hide(spark, paths, batch_id)
+    drop_runs(spark, paths, batch_id)
     classified = split.classify_broker_records(records).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # A closed set of metric rows; computing them fills the cache.
@@ -51,6 +53,7 @@ def write_batch(records: DataFrame, batch_id: int, paths: Store) -> BatchSummary
     finally:
         classified.unpersist()
     commit_batch(spark, summary, paths)
+    ledger.settle(spark, paths)
     return summary
 
 

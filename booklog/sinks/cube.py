@@ -3,22 +3,32 @@
 from pyspark.sql import SparkSession
 
 from booklog.config import Store
-from booklog.operators.metrics import merge_metrics
 from booklog.schema import HOURLY_METRIC
-from booklog.sources import batches, storage
+from booklog.sinks.runs import close_runs, merged_runs
+from booklog.sources import storage
+
+ATTEMPTS = 5
 
 
 def publish_metrics(spark: SparkSession, paths: Store) -> int:
-    """Recompute the cube from every committed delta and make it current; returns its rows.
+    """Merge every committed delta and make the cube current; returns its rows.
 
-    Nothing is incremented, so running it again changes nothing.
+    Deltas are read as sums of closed runs of batches. Nothing is incremented, so running it
+    again changes nothing. Where another writer makes a cube current in the meantime, this one
+    may lack its batches, so it is merged again.
     """
-    folder = storage.new_version(paths.hourly_airline_metrics)
-    try:
-        merge_metrics(batches.hourly_deltas(spark, paths)).write.parquet(folder)
-        rows = spark.read.schema(HOURLY_METRIC).parquet(folder).count()
-        storage.switch(spark, paths.hourly_airline_metrics, folder)
-    except Exception:
-        storage.delete(spark, folder)
-        raise
-    return rows
+    close_runs(spark, paths)
+    for _ in range(ATTEMPTS):
+        seen = storage.version_number(spark, paths.hourly_airline_metrics)
+        folder = storage.new_version(paths.hourly_airline_metrics)
+        try:
+            merged_runs(spark, paths).write.parquet(folder)
+            rows = spark.read.schema(HOURLY_METRIC).parquet(folder).count()
+            storage.switch(spark, paths.hourly_airline_metrics, folder, seen)
+            return rows
+        except storage.VersionConflict:
+            storage.delete(spark, folder)
+        except Exception:
+            storage.delete(spark, folder)
+            raise
+    raise storage.VersionConflict(f"{ATTEMPTS} other writers came before a merge of {paths.root}")

@@ -45,9 +45,10 @@ def publish(
 
     Rows are written to a folder of their own and re-read and verified there. Appending the
     log row is the switch: the newest published row names the folder that is served. Until
-    then, and after any failure, the previous snapshot stays in place. Publish from one
-    process at a time.
+    then, and after any failure, the previous snapshot stays in place. Of publications that
+    overlap, the first to finish is served; the others fail and are logged so.
     """
+    turn = storage.version_number(spark, paths.turns)
     if not force:
         same = find_publication(
             publication_log(spark, paths),
@@ -66,6 +67,7 @@ def publish(
         rows = serving_rows(to_cube(snapshot.rows), F.lit(publication_id), F.current_timestamp())
         rows.write.parquet(folder)
         _verify(spark, snapshot, folder)
+        storage.switch(spark, paths.turns, publication_id, turn)
     except Exception as error:
         try:
             storage.delete(spark, folder)

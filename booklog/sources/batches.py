@@ -5,7 +5,6 @@ from pyspark.sql import types as T
 
 from booklog.config import Store
 from booklog.schema import (
-    BATCH_COMMIT,
     CLEAN_EVENT,
     DEAD_LETTER,
     HOURLY_DELTA,
@@ -13,54 +12,49 @@ from booklog.schema import (
     QUALITY_METRIC,
     RAW_EVENT,
 )
-from booklog.sources import storage
+from booklog.sources import ledger, storage
 
 BATCH_KEY = T.StructField("batch_id", T.LongType())
 
 
 def commits(spark: SparkSession, paths: Store) -> DataFrame:
     """One row per batch whose outputs are complete."""
-    if not storage.exists(spark, paths.commits):
-        return spark.createDataFrame([], BATCH_COMMIT)
-    return spark.read.schema(BATCH_COMMIT).json(paths.commits)
+    return ledger.rows(spark, paths)
 
 
-def batches(
-    spark: SparkSession, root: str, schema: T.StructType, committed: DataFrame
-) -> DataFrame:
+def batches(spark: SparkSession, root: str, schema: T.StructType, paths: Store) -> DataFrame:
     """All committed batches of one dataset.
 
-    The ledger has one small row per batch. Only the directories that it names are listed and
-    read, so a batch that is incomplete or being replaced cannot fail a reader.
+    The ledger gives ranges of ids, which prune the directories of the one root, so a batch
+    that is incomplete or being replaced is never read.
     """
     fields = [field for field in schema.fields if field.name != BATCH_KEY.name]
     full_schema = T.StructType([*fields, BATCH_KEY])
-    complete = sorted({row.batch_id for row in committed.select("batch_id").collect()})
-    if not complete:
+    visible = ledger.read(spark, paths).visible()
+    if not visible:
         return spark.createDataFrame([], full_schema)
-    folders = [f"{root}/{BATCH_KEY.name}={number}" for number in complete]
-    stored = spark.read.schema(full_schema).option("basePath", root).parquet(*folders)
-    return stored.select(*full_schema.fieldNames())
+    stored = spark.read.schema(full_schema).parquet(root)
+    return stored.filter(ledger.in_ranges(BATCH_KEY.name, visible)).select(*full_schema.fieldNames())
 
 
 def raw_events(spark: SparkSession, paths: Store) -> DataFrame:
-    return batches(spark, paths.raw_events, RAW_EVENT, commits(spark, paths))
+    return batches(spark, paths.raw_events, RAW_EVENT, paths)
 
 
 def clean_events(spark: SparkSession, paths: Store) -> DataFrame:
-    return batches(spark, paths.clean_events, CLEAN_EVENT, commits(spark, paths))
+    return batches(spark, paths.clean_events, CLEAN_EVENT, paths)
 
 
 def dead_letters(spark: SparkSession, paths: Store) -> DataFrame:
-    return batches(spark, paths.dead_letter, DEAD_LETTER, commits(spark, paths))
+    return batches(spark, paths.dead_letter, DEAD_LETTER, paths)
 
 
 def quality_metrics(spark: SparkSession, paths: Store) -> DataFrame:
-    return batches(spark, paths.quality_metrics, QUALITY_METRIC, commits(spark, paths))
+    return batches(spark, paths.quality_metrics, QUALITY_METRIC, paths)
 
 
 def hourly_deltas(spark: SparkSession, paths: Store) -> DataFrame:
-    return batches(spark, paths.hourly_airline_deltas, HOURLY_DELTA, commits(spark, paths))
+    return batches(spark, paths.hourly_airline_deltas, HOURLY_DELTA, paths)
 
 
 def hourly_metrics(spark: SparkSession, paths: Store) -> DataFrame:

@@ -22,6 +22,10 @@ class ServingPaths:
     def publications(self) -> str:
         return f"{self.root.rstrip('/')}/publications"
 
+    @property
+    def turns(self) -> str:
+        return f"{self.root.rstrip('/')}/turns"
+
     def snapshot(self, publication_id: str) -> str:
         return f"{self.snapshots}/{publication_id}"
 
