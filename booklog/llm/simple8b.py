@@ -73,10 +73,10 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = np.zeros(len(start), np.uint64)
     for selector, (count, width) in enumerate(LAYOUTS):
         mine = np.flatnonzero(selected == selector)
-        packed = np.full(len(mine), selector << 60, np.uint64)
-        for k in range(count):
-            packed |= values[start[mine] + k] << np.uint64(k * width)
-        words[mine] = packed
+        if len(mine):
+            place = np.arange(count)
+            parts = values[start[mine][:, None] + place] << (place * width).astype(np.uint64)
+            words[mine] = np.bitwise_or.reduce(parts, axis=1) | np.uint64(selector << 60)
     escaped = np.flatnonzero(selected < 0)
     words[escaped] = np.uint64(ESCAPE << 60) | np.arange(len(escaped), dtype=np.uint64)
     offsets = np.zeros(blocks + 1, np.uint64)
@@ -101,10 +101,10 @@ def decode(words: np.ndarray, raw: np.ndarray) -> np.ndarray:
     values = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
     for selector, (count, width) in enumerate(LAYOUTS):
         mine = np.flatnonzero(selected == selector)
-        first = ends[mine] - count
-        mask = np.uint64((1 << width) - 1)
-        for k in range(count):
-            values[first + k] = (words[mine] >> np.uint64(k * width)) & mask
+        if len(mine):
+            place = np.arange(count)
+            parts = (words[mine][:, None] >> (place * width).astype(np.uint64)) & np.uint64((1 << width) - 1)
+            values[(ends[mine] - count)[:, None] + place] = parts
     mine = np.flatnonzero(selected == ESCAPE)
     values[ends[mine] - 1] = raw[(words[mine] & np.uint64((1 << 60) - 1)).astype(np.int64)]
     return values

@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from . import simple8b
 from .bpe import encoder_source
 from .files import read_files, write_frames
-from .shared import batch_of, give_back, stored, text_slices, whole_text
+from .shared import batch_of, binary_column, give_back, stored, text_slices, whole_text
 
 MAGIC = b"IDS8BV01"
 FRAME_END = b"\nEND8B\n\n"
 END_ID = 0
 # Ids of a frame before it is closed, blocks decoded at a time, sampled keys per file.
 FRAME_IDS = 1 << 18
-STEP_BLOCKS = 64
+STEP_BLOCKS = 512
 SAMPLE_KEYS = 100
 _HEADER_WORDS = 7
 
@@ -122,9 +122,15 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
 
     def encode(batches):
         for rows, _, _ in text_slices(batches, "text"):
-            found = [np.append(x, end_id) for x in encoder().encode(rows.column("text").to_pylist())]
-            wide = [bool(x.max() >> 16) for x in found]
-            ids = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(found, wide, strict=True)]
+            found = encoder().encode(rows.column("text").to_pylist())
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+            flat = np.full(int(ends[-1]), end_id, np.int64)
+            taken = np.ones(len(flat), bool)
+            taken[ends - 1] = False
+            flat[taken] = np.concatenate(found)
+            kind = np.dtype("<u4" if flat.max() >> 16 else "<u2")
+            ids = binary_column(flat.astype(kind).view(np.uint8), np.append(0, ends) * kind.itemsize)
+            wide = [kind.itemsize == 4] * len(found)
             doc_ids, ties = (rows.column(n).to_pylist() for n in ("doc_id", "tie"))
             keys = ((x is not None, x or 0, tie) for x, tie in zip(doc_ids, ties, strict=True))
             buckets = [bisect_right(at.value, key) for key in keys]
@@ -168,7 +174,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                     starts = within + np.cumsum(sizes) - sizes
                     within += int(sizes.sum())
-                    checks = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+                    checks = [zlib.crc32(x.astype("<u4", copy=False)) for x in ids]
                     yield batch_of(schema, [file] * len(ids), names, starts, sizes, checks)
 
     columns = "file string, doc_id long, within long, n_tokens long, ids_crc32 long"
