@@ -10,6 +10,8 @@ from booklog.schema import DIMENSIONS, ENVELOPE_STAGE, MEASURES, RECORD_STAGE
 
 # Numbers of one bitmap.
 BITMAP_BITS = 32768
+# Lines whose runs are put in order together.
+RUN_BLOCK = 1 << 20
 
 
 def one_row(*frames: DataFrame) -> DataFrame:
@@ -183,23 +185,71 @@ def confirmed_prefix(lines: DataFrame) -> DataFrame:
     )
 
 
-def line_gaps(lines: DataFrame) -> DataFrame:
-    """Runs of lines that did not land before a later line that did, per source.
-
-    Lines become 64-bit words, and words the runs of landed lines inside them, so what is
-    sorted is a fraction of the lines.
-    """
+def landed_runs(lines: DataFrame) -> DataFrame:
+    """``source_file, first, last`` of the runs of landed lines inside each word of 64 lines."""
     words = _words(lines, ["source_file"], F.col("source_line_number"))
     first, last = "bits & ~shiftleft(bits, 1)", "bits & ~shiftrightunsigned(bits, 1)"
     places = "filter(sequence(0, 63), k -> (shiftrightunsigned({0}, k) & 1L) = 1L)"
     begins, ends = (F.expr(places.format(f"({of})")) for of in (first, last))
     runs = F.explode(F.arrays_zip(begins.alias("begins"), ends.alias("ends"))).alias("run")
-    landed = words.select("source_file", "word", runs).select(
+    return words.select("source_file", "word", runs).select(
         "source_file",
         (F.col("word") * 64 + F.col("run.begins") + 1).alias("first"),
         (F.col("word") * 64 + F.col("run.ends") + 1).alias("last"),
     )
-    spans = _with_previous(landed, BITMAP_BITS, levels=2)
+
+
+def joined_runs(runs: DataFrame, block_lines: int = RUN_BLOCK) -> DataFrame:
+    """Runs of lines that touch or overlap, in any number and order, as one run each.
+
+    A run opens a new one when it begins beyond the reach of all runs before it. That reach
+    is a running maximum inside a block of lines, and over the blocks before, which have one
+    row each; so no window spans all runs of a source, however many gaps it has.
+    """
+    source = "source_file"
+    # One run per first line, so that the order inside a block is the same in both passes.
+    longest = runs.groupBy(source, "first").agg(F.max("last").alias("last"))
+    placed = longest.withColumn("block", F.floor((F.col("first") - 1) / F.lit(block_lines)))
+    opening = _running(placed, F.col("last"), before_row=True)
+    opens = F.col("running").isNull() | (F.col("first") > F.col("running") + 1)
+    starts = opening.withColumn("start", F.when(opens, F.col("first"))).drop("running")
+    return (
+        _running(starts, F.col("start"), before_row=False)
+        .groupBy(source, F.col("running").alias("first"))
+        .agg(F.max("last").alias("last"))
+    )
+
+
+def _running(placed: DataFrame, value: Column, before_row: bool) -> DataFrame:
+    """Runs with the greatest ``value`` of the runs before them, their own included or not."""
+    source = "source_file"
+    in_block = Window.partitionBy(source, "block").orderBy("first")
+    rows = in_block.rowsBetween(Window.unboundedPreceding, -1 if before_row else 0)
+    over_blocks = Window.partitionBy(source).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = placed.groupBy(source, "block").agg(F.max(value).alias("most"))
+    earlier = blocks.select(source, "block", F.max("most").over(over_blocks).alias("earlier"))
+    inside = placed.withColumn("inside", F.max(value).over(rows))
+    both = inside.join(earlier, [source, "block"])
+    return both.withColumn("running", F.greatest("inside", "earlier")).drop("inside", "earlier")
+
+
+def prefix_of_runs(runs: DataFrame) -> DataFrame:
+    """What ``confirmed_prefix`` returns, from joined runs."""
+    return runs.groupBy("source_file").agg(
+        F.coalesce(F.max(F.when(F.col("first") == 1, F.col("last"))), F.lit(0).cast("long")).alias(
+            "confirmed_line"
+        ),
+        F.sum(F.expr("last - first + 1")).alias("distinct_lines"),
+    )
+
+
+def line_gaps(lines: DataFrame) -> DataFrame:
+    """Runs of lines that did not land before a later line that did, per source.
+
+    Lines become 64-bit words, and words the runs of landed lines inside them, so what is
+    sorted is a fraction of the lines.
+    """
+    spans = _with_previous(landed_runs(lines), BITMAP_BITS, levels=2)
     return spans.filter("first - previous > 1").select(
         "source_file",
         F.expr("previous + 1").alias("first_missing"),

@@ -478,8 +478,20 @@ def _pipeline_queries() -> dict[str, str]:
         CAST(SUM(successful_booking_tokens) AS BIGINT) AS success_token_count,
         CAST(SUM(successful_response_records) AS BIGINT) AS successful_response_records"""
     digest_cte = f"digest AS ({digest})"
+    words = [f"CAST(SUM(CAST('0x' || substr(sha, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8)]
+    tree = f"""{_LINES}, hashed AS (SELECT (line_number - 1) // 4096 AS number,
+          sha256(line_number || ':' || raw_line) AS sha FROM lines),
+        leaves AS (SELECT number, sha256(CAST(COUNT(*) AS VARCHAR) || ',' || {" || ',' || ".join(words)})
+          AS digest FROM hashed GROUP BY number)"""
+    for below, nodes in (("leaves", "middle"), ("middle", "upper"), ("upper", "top")):
+        tree += f""", {nodes} AS (SELECT number // 1024 AS number,
+          sha256(string_agg(digest, '' ORDER BY number)) AS digest FROM {below} GROUP BY number // 1024)"""
     return {
         "src_log_lines": f"WITH {_LINES} SELECT line_number, raw_line FROM lines",
+        "src_tree_digest": f"""WITH {tree}, totals AS (
+              SELECT CAST(SUM(strlen(raw_line) + 1) AS BIGINT) AS byte_size, COUNT(*) AS line_count FROM lines)
+            SELECT byte_size, line_count, sha256(byte_size || ',' || line_count || ',' || digest)
+            AS tree_sha256 FROM totals, top""",
         "src_file_identity": f"""WITH {_SNAPSHOT}, body AS (SELECT
             'stat_date,stat_hour,airline_code,successful_response_records,successful_booking_tokens'
             || chr(10) || string_agg(stat_date || ',' || stat_hour || ',' || airline_code || ',' ||
@@ -518,6 +530,16 @@ def _pipeline_queries() -> dict[str, str]:
         "sink_ledger_snapshot": f"""WITH {_ENVELOPES} SELECT CAST("offset" % 5 AS BIGINT) AS batch_id,
             COUNT(*) AS input_count FROM broker GROUP BY ALL""",
         "sink_snapshot_csv": f"WITH {_SNAPSHOT}, {digest_cte} {manifest} FROM snapshot",
+        "sink_snapshot_parts": f"""WITH {_SNAPSHOT}, text AS (SELECT 1 AS line_number,
+              'stat_date,stat_hour,airline_code,successful_response_records,successful_booking_tokens'
+              AS raw_line UNION ALL SELECT 1 + row_number() OVER (ORDER BY stat_date, stat_hour,
+              airline_code), stat_date || ',' || stat_hour || ',' || airline_code || ',' ||
+              successful_response_records || ',' || successful_booking_tokens FROM snapshot),
+            totals AS (SELECT COUNT(*) AS row_count, {_SUMS} FROM cube)
+            SELECT *, (SELECT CAST(SUM(strlen(raw_line) + 1) AS BIGINT) FROM text) AS byte_size
+            FROM text, totals""",
+        "join_reconcile_ranges": _audit_queries()["join_reconcile"],
+        "str_confirmed_prefix": _audit_queries()["win_contiguous_prefix"],
         "sink_publication": f"""WITH {_SNAPSHOT}, {digest_cte}, totals AS (
               SELECT COUNT(*) AS source_row_count, {_SUMS} FROM cube)
             SELECT 'events-root' AS source_hdfs_root, totals.*,

@@ -11,24 +11,28 @@ from pyspark.sql import functions as F
 
 from booklog.config import Ingest, Store
 from booklog.operators.audit import broker_locations
+from booklog.operators.metrics import event_metrics
 from booklog.operators.snapshot_checks import to_snapshot
 from booklog.plans.cycle import inspect_outputs, output_counts, refresh
-from booklog.registry.queries import broker_records, query
+from booklog.plans.reconcile import reconcile_by_ranges
+from booklog.registry.queries import accepted_events, broker_records, query, spread_lines
 from booklog.registry.stores import log_cube, log_lines, shared
-from booklog.schema import MEASURES, RAW_EVENT, SNAPSHOT_COLUMNS, SNAPSHOT_MANIFEST
+from booklog.schema import HOURLY_METRIC, MEASURES, RAW_EVENT, SNAPSHOT_COLUMNS, SNAPSHOT_MANIFEST
 from booklog.session import scratch_folder
 from booklog.sinks.batch import write_batch
 from booklog.sinks.broker import broker_records as envelopes_of
 from booklog.sinks.cube import publish_metrics
+from booklog.sinks.parts import PARTS, PARTS_SUMMARY, SUMMARY, export_parts
 from booklog.sinks.profile import write_profile
 from booklog.sinks.publication import publish
 from booklog.sinks.snapshot import MANIFEST_FILE, METRICS_FILE, export_snapshot
 from booklog.sinks.runs import close_runs, merged_runs
 from booklog.sources import batches, ledger, storage
 from booklog.sources.broker import record_file_stream
-from booklog.sources.lines import file_identity, log_lines as read_log_lines
+from booklog.sources.lines import file_identity, log_lines as read_log_lines, tree_identity
 from booklog.sources.serving import ServingPaths, publication_log, serving_table
 from booklog.sources.snapshot import manifest_violation, snapshot_lines
+from booklog.streaming.prefix import live_prefix, start_prefix
 from booklog.streaming.query import await_rows, rows_seen, start_query
 
 
@@ -74,16 +78,27 @@ def _stage_counts(df: DataFrame) -> DataFrame:
 # --- sources ---------------------------------------------------------------------------
 
 
-@query("src_log_lines")
-def _(spark, sf_dir):
-    """The log as text files in line order, numbered across them again."""
+def _log_text(spark: SparkSession, sf_dir: str) -> str:
+    """The log as text files in line order."""
     folder = scratch_folder(spark, "text")
     ordered = log_lines(spark, sf_dir).repartitionByRange("line_number")
     ordered.sortWithinPartitions("line_number").select("raw_line").write.text(folder)
-    numbered = read_log_lines(spark, folder, number_across_files=True)
+    return folder
+
+
+@query("src_log_lines")
+def _(spark, sf_dir):
+    """The log as text files in line order, numbered across them again."""
+    numbered = read_log_lines(spark, _log_text(spark, sf_dir), number_across_files=True)
     return numbered.select("line_number", "raw_line")
 
 
+@query("src_tree_digest")
+def tree_digest(spark, sf_dir):
+    """The text files of the log as one source, digested by splits."""
+    return tree_identity(spark, _log_text(spark, sf_dir), number_across_files=True).drop("source_file")
+
+
 @query("src_file_identity")
 def _(spark, sf_dir):
     """The written snapshot: the one file whose bytes SQL can build too."""
@@ -208,6 +223,36 @@ def _(spark, sf_dir):
     return spark.read.schema(SNAPSHOT_MANIFEST).json(path)
 
 
+def _stored_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cube of all lines, as a table of its own."""
+    folder = shared(spark, sf_dir, "cube", lambda root: log_cube(spark, sf_dir).write.parquet(root))
+    return spark.read.schema(HOURLY_METRIC).parquet(folder)
+
+
+def ordered_parts(spark: SparkSession, sf_dir: str) -> str:
+    """The snapshot of the whole log in parts of about 500 rows."""
+    return export_parts(spark, _stored_cube(spark, sf_dir), scratch_folder(spark, "parts"), 500)
+
+
+@query("sink_snapshot_parts")
+def _(spark, sf_dir):
+    """The lines of all parts in order, and the totals that the summary states."""
+    folder = ordered_parts(spark, sf_dir)
+    summary = spark.read.schema(PARTS_SUMMARY).json(f"{folder}/{SUMMARY}").first()
+    lines = read_log_lines(spark, f"{folder}/{PARTS}", number_across_files=True, line_separator="\n")
+    totals = [F.lit(summary[name]).alias(name) for name in ("byte_size", "row_count", *MEASURES)]
+    return lines.select("line_number", "raw_line", *totals)
+
+
+@query("join_reconcile_ranges")
+def reconcile_ranges(spark, sf_dir):
+    """The stored cube behind damaged envelopes against the stored cube of all lines."""
+    folder = scratch_folder(spark, "accepted")
+    event_metrics(accepted_events(spark, sf_dir)).write.parquet(folder)
+    accepted = spark.read.schema(HOURLY_METRIC).parquet(folder)
+    return reconcile_by_ranges(spark, accepted, _stored_cube(spark, sf_dir))
+
+
 @query("sink_publication")
 def _(spark, sf_dir):
     """Published, found unchanged, then forced: two log rows, the newest is served."""
@@ -330,6 +375,18 @@ def _(spark, sf_dir):
     return dead.select(F.lit(rows_seen(running.recentProgress)).cast("long").alias("input_count"), "dead_letter_count")
 
 
+@query("str_confirmed_prefix")
+def streamed_prefix(spark, sf_dir):
+    """The landed lines of ``win_contiguous_prefix`` as a stream of three batches."""
+    folder, landed = scratch_folder(spark, "prefix"), scratch_folder(spark, "landed")
+    spread_lines(spark, sf_dir).write.parquet(landed)
+    files = sum(name.startswith("part-") for name in storage.children(spark, landed))
+    reader = spark.readStream.schema("source_file string, source_line_number bigint")
+    lines = reader.option("maxFilesPerTrigger", max(1, -(-files // 3))).parquet(landed)
+    start_prefix(lines, f"{folder}/runs", f"{folder}/checkpoint").awaitTermination()
+    return live_prefix(spark, f"{folder}/runs")
+
+
 @query("agg_pipeline_inspect")
 def _(spark, sf_dir):
     return inspect_outputs(spark, ingested(spark, sf_dir).store)

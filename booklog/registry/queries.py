@@ -317,17 +317,21 @@ def landed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_file", "source_line_number")
 
 
-@query("win_contiguous_prefix")
-def contiguous_prefix(spark, sf_dir):
-    """Every seventh line begins a gap-free source of its own."""
+def spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed lines, and again with every seventh in a source of its own."""
     number = F.col("source_line_number")
     own = F.struct("source_file", "source_line_number")
     spread = F.struct(
         F.concat("source_file", F.lit("-"), number % 7).alias("source_file"),
         F.floor((number + 6) / F.lit(7)).alias("source_line_number"),
     )
-    both = landed_lines(spark, sf_dir).select(F.inline(F.array(own, spread)))
-    return audit.confirmed_prefix(both)
+    return landed_lines(spark, sf_dir).select(F.inline(F.array(own, spread)))
+
+
+@query("win_contiguous_prefix")
+def contiguous_prefix(spark, sf_dir):
+    """Every seventh line begins a gap-free source of its own."""
+    return audit.confirmed_prefix(spread_lines(spark, sf_dir))
 
 
 @query("win_line_gaps")

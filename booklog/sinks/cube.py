@@ -31,4 +31,4 @@ def publish_metrics(spark: SparkSession, paths: Store) -> int:
         except Exception:
             storage.delete(spark, folder)
             raise
-    raise storage.VersionConflict(f"{ATTEMPTS} other writers came before a merge of {paths.root}")
+    raise storage.VersionConflict(f"{ATTEMPTS} other writers came before a merge of {paths.base}")

@@ -3,6 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from booklog.functions.digest import content_digests, tree_roots
+
+# Lines whose digests are added up to that of one block.
+BLOCK_LINES = 4096
 # A file is read whole to be hashed; no binary value can be larger.
 WHOLE_FILE_BYTES = (1 << 31) - 1024
 
@@ -99,3 +103,30 @@ def source_identity(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(
         [(count, size, digest)], "file_count long, byte_size long, sha256 string"
     )
+
+
+def tree_identity(spark: SparkSession, path: str, number_across_files: bool = False) -> DataFrame:
+    """``source_file, byte_size, line_count, tree_sha256`` of files of any size.
+
+    Files are read by splits, and the splits do not show in the result: a block is a fixed
+    count of lines, each hashed with its number, and the blocks of a file are the leaves of a
+    tree of digests. Size and line count enter the root, so a missing last line end changes
+    it. Lines end with LF; a CR is part of its line. The shuffle carries one row per block and
+    split. Spark lists no empty files, so these have no row. ``number_across_files`` takes the parts of a
+    directory, in name order, as one file whose name is the given path.
+    """
+    lines = log_lines(spark, path, number_across_files, line_separator="\n")
+    sizes = spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("source_file"), "length"
+    )
+    if number_across_files:
+        lines, sizes = (df.withColumn("source_file", F.lit(path)) for df in (lines, sizes))
+    number = F.floor((F.col("line_number") - 1) / F.lit(BLOCK_LINES))
+    content = F.concat(F.col("line_number").cast("string"), F.lit(":"), "raw_line")
+    blocks = content_digests(lines.withColumn("number", number), ["source_file", "number"], content)
+    roots = tree_roots(blocks, ["source_file"])
+    files = sizes.groupBy("source_file").agg(F.sum("length").alias("byte_size"))
+    root = F.concat_ws(",", "byte_size", "rows", "digest")
+    return files.join(roots, "source_file").select(
+        "source_file", "byte_size", F.col("rows").alias("line_count"), F.sha2(root, 256).alias("tree_sha256")
+    )

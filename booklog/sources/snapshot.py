@@ -47,9 +47,9 @@ class Snapshot:
     metrics_sha256: str
 
 
-def _numbered_lines(spark: SparkSession, csv_path: str) -> DataFrame:
+def _numbered_lines(spark: SparkSession, csv_path: str, in_parts: bool = False) -> DataFrame:
     """Typed lines with their first violation; only LF ends a line, so a CR stays visible."""
-    lines = log_lines(spark, csv_path, line_separator="\n")
+    lines = log_lines(spark, csv_path, number_across_files=in_parts, line_separator="\n")
     fields = lines.select("line_number", "raw_line", F.split("raw_line", ",", -1).alias("v"))
     integer = {"stat_hour": "int", SNAPSHOT_COLUMNS[3]: "bigint", SNAPSHOT_COLUMNS[4]: "bigint"}
     typed = fields.select(
@@ -115,13 +115,22 @@ def manifest_violation(df: DataFrame) -> DataFrame:
 
 
 def check_metrics_file(spark: SparkSession, csv_path: str) -> Row:
-    """Totals and digest of a canonical metrics file; raises ``SnapshotError`` for others.
+    """Totals and digest of a canonical metrics file; raises ``SnapshotError`` for others."""
+    totals = _checked_totals(spark, csv_path, in_parts=False)
+    return Row(**totals.asDict(), metrics_sha256=file_identity(spark, csv_path).first().sha256)
 
-    The bytes are canonical when the header and every line are, keys strictly ascend (so
-    none repeats), and the lines with one LF each add up to the file size. None of this
-    needs the file in one place; only its digest is read sequentially.
+
+def check_metrics_parts(spark: SparkSession, folder: str) -> Row:
+    """Totals of part files that make one canonical metrics file in name order, or ``SnapshotError``."""
+    return _checked_totals(spark, folder, in_parts=True)
+
+
+def _checked_totals(spark: SparkSession, path: str, in_parts: bool) -> Row:
+    """The bytes are canonical when the header and every line are, keys strictly ascend (so
+    none repeats), and the lines with one LF each add up to the size. None of this needs the
+    text in one place.
     """
-    lines = _numbered_lines(spark, csv_path).persist(StorageLevel.MEMORY_AND_DISK)
+    lines = _numbered_lines(spark, path, in_parts).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         is_row, broken = F.col("line_number") > 1, F.col("violation").isNotNull()
         found = lines.agg(
@@ -143,10 +152,10 @@ def check_metrics_file(spark: SparkSession, csv_path: str) -> Row:
         totals = snapshot_totals(rows).first()
         if totals.row_count == 0:
             raise SnapshotError("no rows")
-        file = file_identity(spark, csv_path).first()
-        if file.byte_size != found.bytes:
+        size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+        if size != found.bytes:
             raise SnapshotError("line ends are not canonical")
-        return Row(**totals.asDict(), metrics_sha256=file.sha256)
+        return totals
     finally:
         lines.unpersist()
 
