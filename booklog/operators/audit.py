@@ -48,6 +48,15 @@ def partition_counts(records: DataFrame) -> DataFrame:
     )
 
 
+def partition_offsets(records: DataFrame) -> DataFrame:
+    """Records per partition with the first and last offset among them."""
+    return records.groupBy("partition").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.min("offset").alias("first_offset"),
+        F.max("offset").alias("last_offset"),
+    )
+
+
 def topic_report(records: DataFrame, expected: int | None = None) -> DataFrame:
     """One row on a whole topic: totals, records per partition, and whether it is sound.
 

@@ -4,6 +4,8 @@ Results that the reader may find missing stay empty DataFrames; ``require_rows``
 that into an error where a caller wants one.
 """
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,21 @@ def overview(serving: DataFrame) -> DataFrame:
     return totals.filter("metric_rows > 0 AND publication_id IS NOT NULL")
 
 
+def in_dates(serving: DataFrame, first: date | None = None, last: date | None = None) -> DataFrame:
+    """Rows of the days from ``first`` to ``last``, both included; without one, from or to the end.
+
+    Every question can be asked of the result. The bounds reach the Parquet scan, and
+    published files hold ranges of days in order, so it opens only row groups of these days.
+    """
+    if first is not None and last is not None and first > last:
+        raise ValueError(f"the range from {first} to {last} is inverted")
+    if first is not None:
+        serving = serving.filter(F.col("stat_date") >= first)
+    if last is not None:
+        serving = serving.filter(F.col("stat_date") <= last)
+    return serving
+
+
 def timeline(serving: DataFrame) -> DataFrame:
     return serving.groupBy("stat_date", "stat_hour").agg(*_totals()).orderBy("stat_date", "stat_hour")
 
@@ -66,10 +83,24 @@ def airline_totals(serving: DataFrame) -> DataFrame:
     return serving.groupBy("airline_code").agg(*_totals())
 
 
-def airline_ranking(serving: DataFrame, limit: int = 20) -> DataFrame:
+def airline_ranking(serving: DataFrame, limit: int = 20, by: str = MEASURES[0]) -> DataFrame:
+    """The airlines with most responses, or most of the other measure."""
     _check_limit(limit, 100)
-    order = [F.desc("successful_response_records"), F.asc("airline_code")]
-    return airline_totals(serving).orderBy(*order).limit(limit)
+    if by not in MEASURES:
+        raise ValueError(f"{by!r} is not one of {', '.join(MEASURES)}")
+    return airline_totals(serving).orderBy(F.desc(by), F.asc("airline_code")).limit(limit)
+
+
+def airline_shares(serving: DataFrame) -> DataFrame:
+    """Each airline's part of both measures, from 0 to 1; null where a measure is 0 throughout.
+
+    The window without a key sees one row per airline.
+    """
+    shares = [
+        F.try_divide(name, F.sum(name).over(Window.partitionBy())).alias(name.rpartition("_")[0] + "_share")
+        for name in MEASURES
+    ]
+    return airline_totals(serving).select("airline_code", *MEASURES, *shares)
 
 
 def airline_timeline(serving: DataFrame, airline_code: str) -> DataFrame:

@@ -121,7 +121,25 @@ def _records_queries() -> dict[str, str]:
 
 
 def _serving_queries() -> dict[str, str]:
+    inner = f"""{_SERVING}, inner_days AS (SELECT * FROM serving WHERE
+        stat_date > (SELECT MIN(stat_date) FROM serving)
+        AND stat_date < (SELECT MAX(stat_date) FROM serving))"""
     return {
+        "q_timeline_range": f"""WITH {inner} SELECT strftime(stat_date, '%Y-%m-%d') AS stat_date,
+            stat_hour, {_SUMS} FROM inner_days GROUP BY ALL""",
+        "q_heatmap_range": f"""WITH {inner}, best AS (SELECT airline_code, CAST(row_number() OVER (
+              ORDER BY SUM(successful_response_records) DESC, airline_code) AS INTEGER) AS airline_rank
+              FROM inner_days GROUP BY airline_code)
+            SELECT airline_rank, airline_code, stat_hour, {_SUMS} FROM inner_days
+            JOIN best USING (airline_code) WHERE airline_rank <= 4 GROUP BY ALL""",
+        "q_ranking_by_tokens": f"""WITH {_TOTALS} SELECT airline_code, successful_response_records,
+            success_token_count FROM totals ORDER BY success_token_count DESC, airline_code LIMIT 20""",
+        "q_airline_share": f"""WITH {_TOTALS} SELECT airline_code, successful_response_records,
+            success_token_count, successful_response_records /
+            (SELECT CAST(SUM(successful_response_records) AS DOUBLE) FROM totals)
+            AS successful_response_share, success_token_count /
+            (SELECT CAST(SUM(success_token_count) AS DOUBLE) FROM totals) AS success_token_share
+            FROM totals""",
         "q_overview": f"""WITH {_SERVING} SELECT COUNT(*) AS metric_rows,
             COUNT(DISTINCT airline_code) AS airline_count, {_SUMS},
             strftime(MIN(stat_date), '%Y-%m-%d') AS start_date,
@@ -321,6 +339,8 @@ def _audit_queries() -> dict[str, str]:
                 AS unique_kafka_locations)
             SELECT * EXCLUDE (e, g), envelope_valid_count + e AS raw_plus_envelope_dead_count,
               business_valid_count + g AS clean_plus_business_dead_count FROM counts""",
+        "agg_partition_offsets": f"""WITH {_ENVELOPES} SELECT "partition", COUNT(*) AS records,
+            MIN("offset") AS first_offset, MAX("offset") AS last_offset FROM broker GROUP BY 1""",
         "join_reconcile": f"""WITH {_EVENT_CUBE},{_classified('log', 'lines')},
             {_tokens('tokens', 'log')},{_cube('cube', 'tokens', 'line_number')}
             SELECT {_ANY_DIM}, a.successful_response_records AS actual_successful_response_records,

@@ -121,6 +121,33 @@ def _(spark, sf_dir):
     return serving.timeline(served(spark, sf_dir)).withColumn("stat_date", _iso("stat_date"))
 
 
+def inner_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The served rows without those of the first and the last day."""
+    rows = served(spark, sf_dir)
+    ends = rows.agg(F.date_add(F.min("stat_date"), 1), F.date_sub(F.max("stat_date"), 1)).first()
+    return serving.in_dates(rows, *ends)
+
+
+@query("q_timeline_range")
+def _(spark, sf_dir):
+    return serving.timeline(inner_days(spark, sf_dir)).withColumn("stat_date", _iso("stat_date"))
+
+
+@query("q_heatmap_range")
+def _(spark, sf_dir):
+    return serving.heatmap(inner_days(spark, sf_dir), limit=4)
+
+
+@query("q_ranking_by_tokens")
+def _(spark, sf_dir):
+    return serving.airline_ranking(served(spark, sf_dir), by=MEASURES[1])
+
+
+@query("q_airline_share")
+def _(spark, sf_dir):
+    return serving.airline_shares(served(spark, sf_dir))
+
+
 @query("q_airline_count")
 def _(spark, sf_dir):
     return serving.airline_count(served(spark, sf_dir))
@@ -304,6 +331,11 @@ def _(spark, sf_dir):
     return audit.partition_counts(broker_records(spark, sf_dir))
 
 
+@query("agg_partition_offsets")
+def _(spark, sf_dir):
+    return audit.partition_offsets(broker_records(spark, sf_dir))
+
+
 @query("join_reconcile")
 def _(spark, sf_dir):
     """The cube behind damaged envelopes against the cube of all lines."""

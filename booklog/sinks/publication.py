@@ -65,7 +65,9 @@ def publish(
     folder = paths.snapshot(publication_id)
     try:
         rows = serving_rows(to_cube(snapshot.rows), F.lit(publication_id), F.current_timestamp())
-        rows.write.parquet(folder)
+        # Files of consecutive days, so that a range of dates opens few of them.
+        dealt = rows.repartitionByRange("stat_date")
+        dealt.sortWithinPartitions("stat_date", "stat_hour", "airline_code").write.parquet(folder)
         _verify(spark, snapshot, folder)
         storage.switch(spark, paths.turns, publication_id, turn)
     except Exception as error:
