@@ -36,6 +36,8 @@ class Store:
     hourly_airline_deltas = property(lambda self: self.dataset("hourly_airline_deltas"))
     hourly_airline_metrics = property(lambda self: self.dataset("hourly_airline_metrics"))
     hourly_airline_runs = property(lambda self: self.dataset("hourly_airline_runs"))
+    clean_by_date = property(lambda self: self.dataset("clean_events_by_date"))
+    seen_events = property(lambda self: self.dataset("seen_events"))
     commits = property(lambda self: self.dataset("_commits"))
     ledger = property(lambda self: self.dataset("_ledger"))
 

@@ -18,6 +18,28 @@ from booklog.schema import (
     RECORD_STAGE,
 )
 
+# Every reason that the two classifications give.
+ENVELOPE_REASONS = (
+    "invalid_json",
+    "missing_required_fields",
+    "unsupported_schema_version",
+    "event_id_mismatch",
+    "kafka_key_mismatch",
+)
+RECORD_REASONS = (
+    "blank_line",
+    "too_few_fields",
+    "missing_group_id",
+    "missing_log_type",
+    "invalid_date",
+    "invalid_hour",
+    "unsupported_log_type",
+)
+FAILURES = [
+    *((ENVELOPE_STAGE, reason) for reason in ENVELOPE_REASONS),
+    *((RECORD_STAGE, reason) for reason in RECORD_REASONS),
+]
+
 
 def classify_broker_records(records: DataFrame) -> DataFrame:
     """Both classifications in one pass, with the stage and reason of the first failure.
@@ -97,6 +119,60 @@ def quality_metrics(classified: DataFrame, batch_id: int) -> DataFrame:
     return rows.select(F.inline("metrics")).select(tagged, *QUALITY_METRIC.fieldNames()[1:])
 
 
+def observed_counts() -> list[Column]:
+    """Aggregates for ``observe``: all rows, the accepted ones, and those of every failure."""
+    stage, reason = F.col("failure_stage"), F.col("failure_reason")
+    failures = [
+        F.count_if((stage == of) & (reason == why)).alias(f"{of}:{why}") for of, why in FAILURES
+    ]
+    return [
+        F.count(F.lit(1)).alias("input_count"),
+        F.count_if(stage.isNull()).alias("business_valid_count"),
+        *failures,
+    ]
+
+
+def observed_quality(counts: dict[str, int], batch_id: int) -> list[tuple]:
+    """The rows of ``quality_metrics`` from what was observed while the batch was written."""
+    dead = {(of, why): counts[f"{of}:{why}"] for of, why in FAILURES}
+    if counts["business_valid_count"] + sum(dead.values()) != counts["input_count"]:
+        raise ValueError("a record failed for a reason that is not in the vocabulary")
+    broken = sum(number for (of, _), number in dead.items() if of == ENVELOPE_STAGE)
+    totals = (
+        ("input_count", counts["input_count"]),
+        ("envelope_valid_count", counts["input_count"] - broken),
+        ("business_valid_count", counts["business_valid_count"]),
+    )
+    rows = [(batch_id, name, None, None, number) for name, number in totals]
+    failed = [(batch_id, "dead_letter_count", *key, number) for key, number in dead.items()]
+    return rows + [row for row in failed if row[-1]]
+
+
+def quality_union(classified: DataFrame, batch_id: int) -> DataFrame:
+    """The rows of ``quality_metrics`` as two frames united: totals, and dead letters by reason.
+
+    Each frame is an aggregation of its own, so persist ``classified`` first.
+    """
+    stage = F.col("failure_stage")
+    totals = (
+        ("input_count", F.count(F.lit(1))),
+        ("envelope_valid_count", F.count_if(~stage.eqNullSafe(F.lit(ENVELOPE_STAGE)))),
+        ("business_valid_count", F.count_if(stage.isNull())),
+    )
+    named = classified.agg(
+        F.array(
+            *[F.struct(F.lit(name).alias("metric_name"), value.alias("metric_value")) for name, value in totals]
+        ).alias("totals")
+    ).select(F.inline("totals"))
+    reasons = dead_letters(classified).groupBy("failure_stage", "failure_reason")
+    counted = reasons.agg(F.count(F.lit(1)).alias("metric_value"))
+    united = named.unionByName(
+        counted.withColumn("metric_name", F.lit("dead_letter_count")), allowMissingColumns=True
+    )
+    tagged = F.lit(batch_id).cast("long").alias("batch_id")
+    return united.select(tagged, *QUALITY_METRIC.fieldNames()[1:])
+
+
 def batch_summary(quality: DataFrame) -> DataFrame:
     """The four counts of each batch, read from its quality metrics."""
     value, name = F.col("metric_value"), F.col("metric_name")

@@ -573,6 +573,24 @@ def _pipeline_queries() -> dict[str, str]:
         "str_resume": f"""WITH {_ENVELOPES} SELECT CASE WHEN "offset" % 5 < 2 THEN 0 ELSE 1
             END::BIGINT AS batch_id, COUNT(*) AS input_count FROM broker GROUP BY ALL""",
         "str_persist_batch": f"WITH {_DEAD_AND_CUBE} {_SIZES}",
+        "str_single_scan": f"""WITH {_DEAD} SELECT 'clean_events' AS dataset, COUNT(*) AS records,
+            COUNT(*) AS same_reading FROM accepted WHERE record_reason IS NULL
+            UNION ALL SELECT 'dead_letter', COUNT(*), COUNT(*) FROM dead WHERE failure_stage = 'gds'
+            HAVING COUNT(*) > 0""",
+        "set_first_batches": f"""WITH {_ACCEPTED_TOKENS} SELECT {_ANY_DIM}, event_id,
+            CAST(MIN(greatest("offset" % 4 - 1, 0)) AS BIGINT) AS first_batch
+            FROM accepted_tokens GROUP BY ALL""",
+        "set_fresh_events": f"""WITH {_ACCEPTED_TOKENS} SELECT {_ANY_DIM}, event_id
+            FROM accepted_tokens GROUP BY ALL HAVING MIN("offset" % 4) = 2""",
+        "agg_distinct_responses": f"""WITH {_ACCEPTED_TOKENS} SELECT {_ANY_DIM},
+            COUNT(DISTINCT event_id) AS successful_response_records FROM accepted_tokens GROUP BY ALL""",
+        "sink_clean_by_date": f"""WITH {_ACCEPTED}, filed AS (
+              SELECT CAST("offset" % 2 AS BIGINT) AS batch_id, event_date, event_hour, event_id, log_type
+              FROM accepted WHERE record_reason IS NULL AND "offset" % 4 <> 3)
+            SELECT * FROM filed WHERE strptime(event_date, '%Y%m%d') >
+                (SELECT MIN(strptime(event_date, '%Y%m%d')) FROM filed)
+              AND strptime(event_date, '%Y%m%d') <
+                (SELECT MAX(strptime(event_date, '%Y%m%d')) FROM filed)""",
         "str_progress": f"""WITH {_DEAD} SELECT (SELECT COUNT(*) FROM judged) AS input_count,
             COUNT(*) AS dead_letter_count FROM dead""",
         "agg_validate_outputs": f"""WITH {_QUALITY},{_tokens('accepted_tokens', 'accepted')},

@@ -5,6 +5,7 @@ what one ingest stored share that ingest within a session.
 """
 
 from dataclasses import replace
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +18,24 @@ from booklog.plans.cycle import inspect_outputs, output_counts, refresh
 from booklog.plans.reconcile import reconcile_by_ranges
 from booklog.registry.queries import accepted_events, broker_records, query, spread_lines
 from booklog.registry.stores import log_cube, log_lines, shared
-from booklog.schema import HOURLY_METRIC, MEASURES, RAW_EVENT, SNAPSHOT_COLUMNS, SNAPSHOT_MANIFEST
+from booklog.schema import (
+    DIMENSIONS,
+    HOURLY_METRIC,
+    MEASURES,
+    RAW_EVENT,
+    RECORD_STAGE,
+    SNAPSHOT_COLUMNS,
+    SNAPSHOT_MANIFEST,
+)
 from booklog.session import scratch_folder
 from booklog.sinks.batch import write_batch
 from booklog.sinks.broker import broker_records as envelopes_of
 from booklog.sinks.cube import publish_metrics
+from booklog.sinks.dated import clean_events_between, file_by_date
 from booklog.sinks.parts import PARTS, PARTS_SUMMARY, SUMMARY, export_parts
 from booklog.sinks.profile import write_profile
 from booklog.sinks.publication import publish
+from booklog.sinks.seen_events import distinct_responses, first_batches, fold_batches, fresh_events, record_batch
 from booklog.sinks.snapshot import MANIFEST_FILE, METRICS_FILE, export_snapshot
 from booklog.sinks.runs import close_runs, merged_runs
 from booklog.sources import batches, ledger, storage
@@ -33,7 +44,7 @@ from booklog.sources.lines import file_identity, log_lines as read_log_lines, tr
 from booklog.sources.serving import ServingPaths, publication_log, serving_table
 from booklog.sources.snapshot import manifest_violation, snapshot_lines
 from booklog.streaming.prefix import live_prefix, start_prefix
-from booklog.streaming.query import await_rows, rows_seen, start_query
+from booklog.streaming.query import RowCount, await_rows, start_query
 
 
 def _settings_below(root: str) -> Ingest:
@@ -208,6 +219,52 @@ def levelled_merge(spark, sf_dir):
     return merged_runs(spark, paths)
 
 
+def overlapping_batches(spark: SparkSession, sf_dir: str) -> Store:
+    """Three batches, each of which holds a quarter of the records again that the last one held."""
+    paths = _settings(spark, "seen").store
+    records = broker_records(spark, sf_dir)
+    for number in (0, 1, 2, 1):
+        write_batch(records.filter((F.col("offset") % 4).isin(number, number + 1)), number, paths)
+        record_batch(spark, paths, number)
+    return paths
+
+
+@query("set_first_batches")
+def first_seen(spark, sf_dir):
+    """Every event with the first batch that held it; the first two batches are folded."""
+    paths = overlapping_batches(spark, sf_dir)
+    fold_batches(spark, paths, before=2)
+    found = first_batches(spark, paths)
+    return found.select(*DIMENSIONS, F.lower(F.hex("event_key")).alias("event_id"), "first_batch")
+
+
+@query("set_fresh_events")
+def fresh(spark, sf_dir):
+    """The events of the second batch that the first one did not hold."""
+    found = fresh_events(spark, overlapping_batches(spark, sf_dir), 1)
+    return found.select(*DIMENSIONS, F.lower(F.hex("event_key")).alias("event_id"))
+
+
+@query("agg_distinct_responses")
+def distinct_over_batches(spark, sf_dir):
+    """Responses over all batches, an event that several of them hold counting once."""
+    return distinct_responses(spark, overlapping_batches(spark, sf_dir))
+
+
+@query("sink_clean_by_date")
+def clean_by_date(spark, sf_dir):
+    """Two batches under their dates; the second is replayed with fewer records. Inner days."""
+    paths = _settings(spark, "dated").store
+    records = broker_records(spark, sf_dir)
+    for number, kept in ((0, F.col("offset") % 2 == 0), (1, F.col("offset") % 2 == 1), (1, F.col("offset") % 4 == 1)):
+        write_batch(records.filter(kept), number, paths)
+        file_by_date(spark, paths, number)
+    days = clean_events_between(spark, paths).agg(F.min("event_date"), F.max("event_date")).first()
+    inner = [(datetime.strptime(day, "%Y%m%d") + timedelta(step)).strftime("%Y%m%d") for day, step in zip(days, (1, -1))]
+    found = clean_events_between(spark, paths, *inner)
+    return found.select("batch_id", "event_date", "event_hour", "event_id", "log_type")
+
+
 @query("sink_ledger_snapshot")
 def ledger_snapshot(spark, sf_dir):
     """The ledger after its tail became a snapshot, one batch hidden and committed again."""
@@ -363,16 +420,38 @@ def _(spark, sf_dir):
     return output_sizes(spark, ingested(spark, sf_dir))
 
 
+@query("str_single_scan")
+def _(spark, sf_dir):
+    """Records stamped at random as they are read: all outputs show the stamp of one reading."""
+    settings = _settings(spark, "scan")
+    moment = F.timestamp_micros((F.rand() * 10**15).cast("long"))
+    write_batch(broker_records(spark, sf_dir).withColumn("timestamp", moment), 0, settings.store)
+    key = ["partition", "offset", "kafka_timestamp"]
+    raw = batches.raw_events(spark, settings.store).select(*key).withColumn("in_raw", F.lit(1))
+    clean = batches.clean_events(spark, settings.store)
+    dead = batches.dead_letters(spark, settings.store).filter(F.col("failure_stage") == RECORD_STAGE)
+    outputs = clean.select(F.lit("clean_events").alias("dataset"), *key).unionByName(
+        dead.select(F.lit("dead_letter").alias("dataset"), *key)
+    )
+    joined = outputs.join(raw, key, "left").groupBy("dataset")
+    return joined.agg(F.count(F.lit(1)).alias("records"), F.count("in_raw").alias("same_reading"))
+
+
 @query("str_progress")
 def _(spark, sf_dir):
-    """Three batches of a third of the files each, as the query reports its progress."""
+    """Three batches of a third of the files each, counted by a listener as they end."""
     settings, folder = _settings(spark, "progress"), _landed(spark, sf_dir)
     files = sum(name.startswith("part-") for name in storage.children(spark, folder))
     stream = record_file_stream(spark, folder, files_per_batch=max(1, -(-files // 3)))
-    running = start_query(stream, settings)
-    running.awaitTermination()
+    counted = RowCount()
+    spark.streams.addListener(counted)
+    try:
+        start_query(stream, settings).awaitTermination()
+        rows = counted.total()
+    finally:
+        spark.streams.removeListener(counted)
     dead = batches.commits(spark, settings.store).agg(F.sum("dead_letter_count").alias("dead_letter_count"))
-    return dead.select(F.lit(rows_seen(running.recentProgress)).cast("long").alias("input_count"), "dead_letter_count")
+    return dead.select(F.lit(rows).cast("long").alias("input_count"), "dead_letter_count")
 
 
 @query("str_confirmed_prefix")

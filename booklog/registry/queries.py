@@ -309,7 +309,7 @@ def _(spark, sf_dir):
 
 @query("set_quality_union")
 def _(spark, sf_dir):
-    return quality(spark, sf_dir)
+    return classified.quality_union(classified_records(spark, sf_dir), batch_id=7)
 
 
 @query("set_dead_union")

@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.storagelevel import StorageLevel
 
 from booklog.config import Store
@@ -26,7 +26,9 @@ def write_batch(records: DataFrame, batch_id: int, paths: Store) -> BatchSummary
     """Classify broker records once and replace every output of the batch.
 
     The classified rows are cached, so decoding and parsing happen once for all outputs;
-    lost blocks are recomputed from the source. A batch is visible from the moment its
+    lost blocks are recomputed from the source. The first output fills the cache, and the
+    counts of the batch are observed while it does: they take no job, and they are read before
+    anything can recompute a block, which would count its rows again. A batch is visible from the moment its
     ledger entry exists, and a repeated batch loses its entry first, so readers never see
     a half-replaced one.
     """
@@ -35,17 +37,18 @@ def write_batch(records: DataFrame, batch_id: int, paths: Store) -> BatchSummary
     spark = records.sparkSession
     ledger.hide(spark, paths, batch_id)
     drop_runs(spark, paths, batch_id)
-    classified = split.classify_broker_records(records).persist(StorageLevel.MEMORY_AND_DISK)
+    seen = Observation()
+    classified = split.classify_broker_records(records).observe(seen, *split.observed_counts())
+    classified.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        # A closed set of metric rows; computing them fills the cache.
-        quality = split.quality_metrics(classified, batch_id).collect()
+        replace_batch(split.raw_events(classified), paths.raw_events, batch_id)
+        quality = split.observed_quality(seen.get, batch_id)
         summary = _summary(batch_id, quality)
         clean = split.clean_events(classified)
         # Usually few rows spread over every partition: the rebalance shuffles just them
         # into files of the advisory size.
         dead = split.dead_letters(classified).hint("rebalance")
         quality_rows = spark.createDataFrame(quality, QUALITY_METRIC).coalesce(1)
-        replace_batch(split.raw_events(classified), paths.raw_events, batch_id)
         replace_batch(clean, paths.clean_events, batch_id)
         replace_batch(dead, paths.dead_letter, batch_id)
         replace_batch(quality_rows, paths.quality_metrics, batch_id)
@@ -75,9 +78,9 @@ def _directory(dataset: str, batch_id: int) -> str:
     return f"{dataset}/batch_id={batch_id}"
 
 
-def _summary(batch_id: int, quality: list) -> BatchSummary:
+def _summary(batch_id: int, quality: list[tuple]) -> BatchSummary:
     def total(name: str) -> int:
-        return sum(row.metric_value for row in quality if row.metric_name == name)
+        return sum(row[-1] for row in quality if row[1] == name)
 
     return BatchSummary(
         batch_id,

@@ -7,6 +7,8 @@ from booklog.functions.digest import content_digests, tree_roots
 
 # Lines whose digests are added up to that of one block.
 BLOCK_LINES = 4096
+# File splits whose offsets may be sent to every task: two numbers each, 64 MB in all.
+SENT_SPLITS = 4_000_000
 # A file is read whole to be hashed; no binary value can be larger.
 WHOLE_FILE_BYTES = (1 << 31) - 1024
 
@@ -28,7 +30,8 @@ def log_lines(
     The text is never shuffled or sorted. A row's id counts up inside its read task, so its
     line number is that id plus an offset of its file split, and the offsets come from one
     count per split. They are sent to all tasks as two numbers per split: a split of 128 MB
-    makes that 1.6 MB for every 10 TB of text. ``number_across_files`` numbers the parts of
+    makes that 1.3 MB for every 10 TB of text. More than ``SENT_SPLITS`` splits are refused
+    before they are sent; larger splits (``spark.sql.files.maxPartitionBytes``) are fewer. ``number_across_files`` numbers the parts of
     a directory, in name order, as one file.
     """
     rows = split_rows(spark, path, line_separator)
@@ -62,11 +65,24 @@ def numbered(rows: DataFrame, splits: DataFrame, number_across_files: bool) -> D
         split.alias("split"),
         (F.coalesce(F.sum("lines").over(before), F.lit(0)) + 1 - F.col("first_id")).alias("shift"),
     )
+    # Counted in the task that the broadcast reads, so the bound holds before anything is sent.
+    found = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    shifts = shifts.withColumn("splits", found)
+    refused = F.raise_error(
+        F.concat(
+            F.lit(f"more than {SENT_SPLITS} file splits to number lines by: "),
+            F.col("splits").cast("string"),
+            F.lit("; raise spark.sql.files.maxPartitionBytes"),
+        )
+    )
     # Two splits with one hash would number lines wrongly, so they are an error.
     collision = F.raise_error(F.lit("two file splits share a hash"))
     offsets = shifts.groupBy("split").agg(
-        F.when(F.count(F.lit(1)) == 1, F.min("shift")).otherwise(collision.cast("long")).alias("shift")
+        F.when(F.count(F.lit(1)) == 1, F.min("shift")).otherwise(collision.cast("long")).alias("shift"),
+        F.min("splits").alias("splits"),
     )
+    within = F.when(F.col("splits") <= SENT_SPLITS, F.col("shift")).otherwise(refused.cast("long"))
+    offsets = offsets.select("split", within.alias("shift"))
     return rows.join(F.broadcast(offsets), split == F.col("split")).select(
         *rows.columns, (F.col("row_id") + F.col("shift")).alias("line_number")
     )

@@ -1,9 +1,10 @@
 """The one checkpointed ingest query and its progress."""
 
+import threading
 import time
 
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from booklog.config import Ingest
 from booklog.sinks.batch import write_batch
@@ -25,6 +26,45 @@ def start_query(records: DataFrame, ingest: Ingest) -> StreamingQuery:
     return writer.trigger(processingTime=ingest.every).start()
 
 
+class RowCount(StreamingQueryListener):
+    """Input rows of one query, counted as its batches end.
+
+    Register it with ``spark.streams.addListener`` before the query starts; the first query
+    that starts then is the one it counts. The history of a query forgets old batches, while
+    this keeps a sum, so it is complete however many there are. A batch reports in order and
+    perhaps repeatedly; its last report counts.
+    """
+
+    def __init__(self) -> None:
+        self._run_id, self._batch, self._rows, self._before = None, -1, 0, 0
+        self._ended = threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        self._run_id = self._run_id or event.runId
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        # An idle trigger repeats the id of the coming batch with no rows.
+        if progress.runId != self._run_id or not progress.numInputRows:
+            return
+        if progress.batchId != self._batch:
+            self._before += self._rows
+        self._batch, self._rows = progress.batchId, progress.numInputRows
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.runId == self._run_id:
+            self._ended.set()
+
+    def total(self, timeout: float = 60.0) -> int:
+        """Rows of all batches, once the query has ended; reports arrive a little later."""
+        if not self._ended.wait(timeout):
+            raise TimeoutError("the query has not reported its end")
+        return self._before + self._rows
+
+
 def rows_seen(progress: list) -> int:
     """Input rows over distinct batches; a batch may report its progress repeatedly."""
     return sum(_rows_by_batch(progress).values())
