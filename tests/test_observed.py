@@ -55,7 +55,7 @@ def test_counts_are_complete_beyond_the_history(spark, tmp_path):
         query = start_query(record_file_stream(spark, folder, 1), settings)
         query.awaitTermination()
         assert counted.total() == 100
-        assert len(query.recentProgress) == 1
+        assert len(query.recentProgress) < 4
     finally:
         spark.streams.removeListener(counted)
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
