@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,13 +57,25 @@ def filters(units: np.ndarray, codewords: int = CODEWORDS, cap: float = CAP) ->
     return np.split(found, np.searchsorted(owner[row], np.arange(1, len(units))))
 
 
-def _usable(vector) -> np.ndarray | None:
-    if vector is None or any(x is None for x in vector):
-        return None
-    values = np.array(vector, np.float64)
-    if not len(values) or not np.isfinite(values).all() or not values.any():
-        return None
-    return values
+def _usable(labels: pa.Array, vectors: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The rows that can link, with their vectors as a matrix, by number of components.
+
+    Left out are rows whose label or vector is null, and vectors that are empty, zero or hold a
+    null or non-finite component. Nothing is done component by component outside of numpy.
+    """
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+    # Null components become NaN; null lists have none.
+    values = vectors.flatten().to_numpy(zero_copy_only=False)
+    owners, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    broken = np.bincount(owners[~np.isfinite(values)], minlength=len(sizes))
+    filled = np.bincount(owners[values != 0], minlength=len(sizes))
+    named = pc.is_valid(labels).to_numpy(zero_copy_only=False)
+    usable = named & (broken == 0) & (filled > 0)
+    found = []
+    for size in np.unique(sizes[usable]):
+        mine = np.flatnonzero(usable & (sizes == size))
+        found.append((mine, values[starts[mine, None] + np.arange(size)]))
+    return found
 
 
 def decoded(vectors: DataFrame, codewords: int, cap: float) -> DataFrame:
@@ -82,20 +95,13 @@ def decoded(vectors: DataFrame, codewords: int, cap: float) -> DataFrame:
             for low in range(0, whole.num_rows, _BLOCK):
                 rows = whole.slice(low, _BLOCK)
                 labels = rows.column("label").to_pylist()
-                usable = [_usable(x) for x in rows.column("embedding").to_pylist()]
-                usable = [None if label is None else x for x, label in zip(usable, labels, strict=True)]
-                found: list = [None] * len(usable)
-                for size in {len(x) for x in usable if x is not None}:
-                    mine = [at for at, x in enumerate(usable) if x is not None and len(x) == size]
-                    for at, one in zip(mine, filters(_units(np.array([usable[k] for k in mine])), codewords, cap), strict=True):
-                        found[at] = one.astype("<u4").tobytes()
-                packed = [None if x is None else (x + 0.0).tobytes() for x in usable]
-                classes = [
-                    None if x is None else xxhash.xxh3_128_digest(str(label).encode() + b"\0" + x)
-                    for x, label in zip(packed, labels, strict=True)
-                ]
-                sizes = [None if x is None else len(x) for x in usable]
-                short = [None if x is None else _shortened(x) for x in usable]
+                classes, sizes, short, found = ([None] * rows.num_rows for _ in range(4))
+                for mine, matrix in _usable(rows.column("label"), rows.column("embedding")):
+                    listed = filters(_units(matrix), codewords, cap)
+                    for at, values, one in zip(mine.tolist(), matrix, listed, strict=True):
+                        packed = str(labels[at]).encode() + b"\0" + (values + 0.0).tobytes()
+                        classes[at], sizes[at] = xxhash.xxh3_128_digest(packed), len(values)
+                        short[at], found[at] = _shortened(values), one.astype("<u4").tobytes()
                 yield batch_of(schema, rows.column("vec_id"), labels, classes, sizes, short, found)
 
     read = vectors.select(
@@ -260,7 +266,8 @@ def near_duplicate_vectors(
     and compared with the rest once. Null, empty or zero vectors and those with a null or
     non-finite component link with nothing. Rows without an id take part; a component's id is
     its smallest. Rows with equal ids are rows of their own. Links are found where two vectors
-    share a filter, and none below ``cosine`` is reported.
+    share a filter, and none below ``cosine`` is reported. Only ``vec_id``, ``label`` and
+    ``embedding`` are read, so further columns, whatever their names, do not matter.
     """
     rows = decoded(vectors, codewords, cap)
     counts = rows.filter("class IS NOT NULL").groupBy("class").agg(

@@ -50,7 +50,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     each, give every partition its offset in the stream. The second pass cuts each document
     where the stream reaches a multiple of ``window``: a document across a boundary gives one
     record on either side. Nothing is shuffled. A null or empty text is its end id alone;
-    repeated rows and null ids are documents of their own. ``with_ids`` adds the ids of each
+    repeated rows and null ids are documents of their own; a long text spans as many sequences
+    as it fills. Columns besides ``doc_id`` and ``text`` are not read. ``with_ids`` adds the ids of each
     piece.
     """
     spark = docs.sparkSession

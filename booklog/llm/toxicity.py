@@ -186,6 +186,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """``doc_id, held_out, score, predicted`` of every row, from its whole text alone.
 
     A null or empty text scores by the bias. Rows with null or repeated ids keep their own row.
+    Columns besides ``doc_id`` and ``text`` are not read. Held-out texts can be among the
+    unlabelled ones of the training; their labels are not.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])

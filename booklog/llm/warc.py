@@ -118,7 +118,12 @@ def dictionary_frame(dictionary: bytes) -> bytes:
 
 
 def write_archives(pages: DataFrame, folder: str) -> None:
-    """Writes one archive per partition; a revisit's record has no payload."""
+    """Writes one archive per partition; a revisit's record has no payload.
+
+    A null ``html`` is an empty payload. Rows with equal payloads of some length are one
+    response and its revisits, repeated rows too. No rows give archives without records.
+    Columns besides ``page_id``, ``url`` and ``html`` are not read.
+    """
     dictionary = dictionary_of(pages)
     columns = with_originals(pages).select("page_id", "url", "payload", "digest", "original")
     schema = pa.schema([("frame", pa.binary())])
