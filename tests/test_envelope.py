@@ -182,6 +182,13 @@ def test_no_python_in_the_hot_path(spark):
         assert plan.count("from_json(StructField") <= 1
 
 
+def test_a_record_is_parsed_once(spark):
+    """The decode is mentioned once in the plan; a generator computes each mention anew."""
+    rows = classified.classify_broker_records(topic(spark, message(GOOD)))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(ArrayType(StructType(") == 1
+
+
 def test_confirmed_prefix_and_gaps_against_brute_force(spark):
     bits = audit.BITMAP_BITS
     sources = {
