@@ -40,7 +40,7 @@ from booklog.sinks.snapshot import MANIFEST_FILE, METRICS_FILE, export_snapshot
 from booklog.sinks.runs import close_runs, merged_runs
 from booklog.sources import batches, ledger, storage
 from booklog.sources.broker import record_file_stream
-from booklog.sources.lines import file_identity, log_lines as read_log_lines, tree_identity
+from booklog.sources.lines import file_identity, log_lines as read_log_lines, stepwise_identity, tree_identity
 from booklog.sources.serving import ServingPaths, publication_log, serving_table
 from booklog.sources.snapshot import manifest_violation, snapshot_lines
 from booklog.streaming.prefix import live_prefix, start_prefix
@@ -119,7 +119,7 @@ def _(spark, sf_dir):
 
 def table_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file of the given tables, hashed in parallel; SQL cannot read their bytes."""
-    identity = file_identity(spark, f"{sf_dir}/*.parquet")
+    identity = stepwise_identity(spark, f"{sf_dir}/*.parquet")
     return identity.withColumn("path", F.regexp_extract("path", r"([^/]+\.parquet(?:/.*)?)$", 1))
 
 

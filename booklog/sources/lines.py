@@ -1,9 +1,12 @@
 """Log text with physical line numbers, and the identity of source files."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from booklog.functions import sha_state
 from booklog.functions.digest import content_digests, tree_roots
+from booklog.session import ship_package
 
 # Lines whose digests are added up to that of one block.
 BLOCK_LINES = 4096
@@ -11,6 +14,9 @@ BLOCK_LINES = 4096
 SENT_SPLITS = 4_000_000
 # A file is read whole to be hashed; no binary value can be larger.
 WHOLE_FILE_BYTES = (1 << 31) - 1024
+# Larger files are hashed split by split where no task may hold one.
+STEP_FILE_BYTES = 128 << 20
+_BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 
 
 class InvalidEncodingError(ValueError):
@@ -107,6 +113,98 @@ def file_identity(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("byte_size"), digest.alias("sha256"))
 
 
+def stepwise_identity(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``file_identity``, files of any size, a task reading one file split at most.
+
+    The splits of a file above ``STEP_FILE_BYTES`` are hashed one after the other, as the digest
+    is sequential: a step is a job over the next split of every such file, and hands on the
+    digests' states of 112 bytes. Steps are as many as the largest file has splits. Splits end at
+    a byte 10; a stretch without one is a single value and must stay below 2 GiB. Where the splits
+    do not add up to the file, as Spark unpacks it, or the hash library is missing, the file is
+    hashed whole. The driver holds a row per split of the large files.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    # By the name that its splits have; blanks are escaped in it, but not in the path.
+    name = F.col("_metadata.file_path").alias("name")
+    rows = files.filter(F.col("length") > STEP_FILE_BYTES).select(name, "path", "length").collect()
+    large = {row.name: (row.path, row.length) for row in rows}
+    found = _stepwise(spark, large) if large and sha_state.is_available() else []
+    if not found:
+        return file_identity(spark, path)
+    left = {path for path, _ in large.values()} - {row[0] for row in found}
+    columns = "path string, byte_size long, sha256 string"
+    small = files.filter(F.col("length") <= STEP_FILE_BYTES)
+    parts = [small.select("path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"))]
+    parts += [file_identity(spark, whole) for whole in sorted(left)]
+    result = spark.createDataFrame(found, columns)
+    for part in parts:
+        result = result.unionByName(part)
+    return result
+
+
+def _stepwise(spark: SparkSession, large: dict[str, tuple[str, int]]) -> list[tuple[str, int, str]]:
+    """Path, size and digest of the files whose splits add up to their size."""
+    ship_package(spark)
+    rows = spark.read.text(sorted(path for path, _ in large.values()), lineSep="\n").select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").cast("binary").alias("line"),
+    )
+    # Every line with the byte that ends it; the last may have none.
+    splits = rows.groupBy("path", "block", F.spark_partition_id().alias("task")).agg(
+        F.sum(F.length("line") + F.lit(1).cast("long")).alias("size")
+    )
+    found: dict[str, list] = {}
+    for split in splits.orderBy("path", "block").collect():
+        found.setdefault(split.path, []).append(split)
+    states, ends = {}, {}
+    for path, of_file in found.items():
+        missing = large[path][1] - sum(split.size for split in of_file)
+        # The reader passes over a byte order mark.
+        if missing in (0, -1, 3, 2):
+            states[path] = sha_state.update(sha_state.begin(), _BYTE_ORDER_MARK if missing > 0 else b"")
+            ends[path] = b"\n" if missing in (0, 3) else b""
+    for step in range(max((len(found[path]) for path in states), default=0)):
+        due = {path: found[path][step] for path in states if step < len(found[path])}
+        handed = _step(spark, rows, {(s.path, s.block): states[s.path] for s in due.values()}, step == 0, due.values())
+        if handed.keys() != due.keys():
+            raise RuntimeError("the splits of a file changed while it was hashed")
+        states |= handed
+    return [(*large[path], sha_state.digest(sha_state.update(x, ends[path]))) for path, x in states.items()]
+
+
+def _step(spark: SparkSession, rows: DataFrame, begun: dict, first: bool, splits) -> dict[str, bytes]:
+    """The states after one split of each file; only the tasks of these splits run."""
+    schema = pa.schema([("path", pa.string()), ("state", pa.binary())])
+
+    def hashed(batches):
+        held, opening = {}, set(begun) if first else set()
+        for batch in batches:
+            keys = list(zip(batch.column("path").to_pylist(), batch.column("block").to_pylist(), strict=True))
+            lines = batch.column("line").to_pylist()
+            low = 0
+            while low < len(keys):
+                key, high = keys[low], low + 1
+                if keys[-1] == key:
+                    high = len(keys)
+                while high < len(keys) and keys[high] == key:
+                    high += 1
+                if key in begun:
+                    content = b"\n".join(lines[low:high])
+                    if key in opening:
+                        opening.discard(key)
+                    else:
+                        content = b"\n" + content
+                    held[key] = sha_state.update(held.get(key, begun[key]), content)
+                low = high
+        if held:
+            yield pa.record_batch([[path for path, _ in held], list(held.values())], schema=schema)
+
+    tasks = sorted({split.task for split in splits})
+    after = rows.mapInArrow(hashed, "path string, state binary").rdd
+    return {row.path: bytes(row.state) for row in spark.sparkContext.runJob(after, list, tasks)}
+
+
 def source_identity(spark: SparkSession, path: str) -> DataFrame:
     """File count and total size, and the digest of a source that is a single file.
 

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import json
 import os
@@ -463,6 +464,30 @@ def test_file_identity(spark, tmp_path, monkeypatch):
         lines.file_identity(spark, str(tmp_path)).collect()
 
 
+def test_identity_split_by_split(spark, tmp_path, monkeypatch):
+    """No task reads more than a split, and files beyond the bound of whole ones have digests."""
+    mark = b"\xef\xbb\xbf"
+    contents = (os.urandom(70_000), os.urandom(50_000) + b"\n\n", mark + os.urandom(30_000) + b"\r\n", b"x" * 9000, b"y")
+    content = {f"f {i}.bin": data for i, data in enumerate((*contents, gzip.compress(os.urandom(2000))))}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "packed.gz").write_bytes(content.setdefault("packed.gz", gzip.compress(b"a line\n" * 50_000)))
+    expected = {(n, len(d), hashlib.sha256(d).hexdigest()) for n, d in content.items()}
+    monkeypatch.setattr(lines, "STEP_FILE_BYTES", 100)
+    monkeypatch.setattr(lines, "WHOLE_FILE_BYTES", 25_000)
+    for size in ("7000", "40000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            rows = lines.stepwise_identity(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert len(rows) == len(expected)
+        found = {(r.path.rsplit("/", 1)[1].replace("%20", " "), r.byte_size, r.sha256) for r in rows}
+        assert found == expected
+
+
 def test_kafka_options_and_missing_connector(spark):
     topic = Topic("broker:1", "log", from_start=False, batch_records=5, read_tasks=7)
     assert stream_options(topic) == {
