@@ -15,7 +15,7 @@ from booklog.operators import (
     serving,
     snapshot_checks,
 )
-from booklog.plans.event_log import event_envelopes, event_records, read_events
+from booklog.plans.event_log import dealt_events, event_envelopes, event_records, read_events
 from booklog.registry.stores import log_cube, log_lines, published
 from booklog.schema import MEASURES, SNAPSHOT_COLUMNS
 from booklog.sources import serving as publications
@@ -192,7 +192,7 @@ def _(spark, sf_dir):
 
 
 def broker_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_records(read_events(spark, sf_dir))
+    return event_records(dealt_events(read_events(spark, sf_dir)))
 
 
 def classified_records(spark: SparkSession, sf_dir: str) -> DataFrame:
