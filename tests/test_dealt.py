@@ -4,8 +4,13 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from booklog.config import Store
 from booklog.plans.event_log import LEAST_EVENTS, event_records, read_events
 from booklog.registry.queries import broker_records
+from booklog.schema import BROKER_RECORD
+from booklog.sinks import batch
+from booklog.sources import batches
+from tests.test_storage import hundred
 
 
 def events_file(folder, number):
@@ -31,3 +36,17 @@ def test_records_of_one_row_group_are_dealt_to_all_cores(spark, tmp_path):
 def test_few_events_stay_together(spark, tmp_path):
     assert broker_records(spark, events_file(tmp_path, 100)).rdd.getNumPartitions() == 1
     assert broker_records(spark, events_file(tmp_path, 0)).count() == 0
+
+
+def test_a_batch_is_cached_without_encoding(spark, tmp_path, monkeypatch):
+    name, seen, write = "spark.sql.inMemoryColumnarStorage.compressed", [], batch.replace_batch
+
+    def replace(frame, dataset, batch_id):
+        seen.append(frame.sparkSession.conf.get(name))
+        write(frame, dataset, batch_id)
+
+    monkeypatch.setattr(batch, "replace_batch", replace)
+    before, paths = spark.conf.get(name), Store(f"{tmp_path}/data")
+    batch.write_batch(spark.createDataFrame(hundred(), BROKER_RECORD), 0, paths)
+    assert seen[0] == "false" and set(seen[1:]) == {before} and spark.conf.get(name) == before
+    assert (batches.clean_events(spark, paths).count(), batches.dead_letters(spark, paths).count()) == (75, 25)
