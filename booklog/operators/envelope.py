@@ -56,8 +56,9 @@ def decode_records(records: DataFrame) -> DataFrame:
     """Broker bytes to text and typed envelope fields, one JSON parse per record.
 
     The text is parsed as the only element of an array, so that anything after the closing
-    brace makes the document invalid instead of being passed over. The array is a column of its
-    own generator: mentioned twice in one, it would be parsed twice for every record.
+    brace makes the document invalid instead of being passed over. A lambda takes that array
+    down to its element: mentioned twice outside of one, it would be parsed twice for every record,
+    and as a column it would be copied along with it.
     """
     text = records.select(
         F.col("key").cast("string").alias("kafka_key"),
@@ -68,9 +69,8 @@ def decode_records(records: DataFrame) -> DataFrame:
         F.col("timestamp").alias("kafka_timestamp"),
     )
     parsed = F.from_json(_as_array(F.col("value_text")), T.ArrayType(ENVELOPE), _DECODE)
-    listed = evaluate_once(text, "parsed", parsed)
-    only = F.when(F.size("parsed") == 1, F.get("parsed", F.lit(0)))
-    decoded = listed.select(*text.columns, only.alias("envelope"))
+    only = F.transform(F.array(parsed), lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
+    decoded = text.select("*", F.explode(only).alias("envelope"))
     return decoded.select(
         "kafka_key", "value_text", "envelope.*", *BROKER_METADATA.fieldNames()
     )
